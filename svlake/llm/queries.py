@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, decontaminate, mixing, near_dedup, quality, token_files
+from . import compaction, decontaminate, hilbert_ann, licences, mixing, near_dedup, quality, token_files, toxicity, warc
 from .common import scratch, table
 
 
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -32,6 +36,10 @@ def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "shard", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"), block_words=64, shards=16)
 
@@ -40,5 +48,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_near_dedup, op4_token_files, op5_compaction, op7_mixing, op8_decontaminate)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "place"]
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select(*columns)
+
+
+def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_licences, op3_near_dedup, op4_token_files, op5_compaction, op6_toxicity, op7_mixing, op8_decontaminate, op9_warc, op10_hilbert_ann)
+}
 SQL: dict[str, str] = {}

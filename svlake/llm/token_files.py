@@ -46,7 +46,7 @@ class Writer:
         self.fs, self.path = open_fs(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{xxhash.xxh3_64_hexdigest(np.random.bytes(16))}.part"
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         self.frame_ids, self.zip = frame_ids, zstandard.ZstdCompressor(level=level)
         self.held, self.held_ids, self.table = [], 0, []
         self.docs: list[tuple[int | None, int, int, int]] = []
