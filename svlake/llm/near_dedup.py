@@ -2,11 +2,13 @@
 
 Texts become sets of word shingles; equal sets form one class. Signatures of class representatives are banded, so that
 similar sets meet in a bucket. Candidates compare their signatures batch by batch and drop out as soon as the posterior
-probability of reaching the threshold falls below ``miss``; survivors are verified on their full sets.
+probability of reaching the threshold falls below ``miss``: the first batch travels with the bucket's rows, so that a pair is
+first judged where it is made; only pairs that pass fetch the rest, and survivors are verified on their full sets.
 
-A bucket may hold a third of all rows, so no bucket is gathered: each member is compared with the bucket's least member
-(found by a pre-aggregated minimum), links make components, and only buckets in which several components still meet are
-compared pair by pair, over pairs of different components. Pairs within one component could add no information.
+A bucket may hold a third of all rows, so no bucket is gathered. First each member is compared with the least of its buckets'
+leaders (minima, found by pre-aggregation), then, in buckets where more than one component is left, with those buckets'
+leaders until that finds nothing new, and last, where several components still meet, pairs of different components are
+compared with each other. Pairs within one component could add no information, and pairs whose sizes differ too much can't be similar.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
 
-BANDS, ROWS, BATCH = 32, 5, 32  # a pair at 0.8 is missed by the bands with probability (1 - 0.8**5)**32 = 3e-6
+BANDS, ROWS, BATCH = 48, 7, 32  # a pair at 0.8 is missed by the bands with probability (1 - 0.8**7)**48 = 1e-5
 
 
 def least_matches(threshold: float, miss: float, hashes: int, batch: int) -> list[tuple[int, int]]:
@@ -49,7 +51,7 @@ def _signer(words: int, hashes: int, seed: int):
         best = np.full(hashes, 0xFFFFFFFF, np.uint32)
         for at in range(0, h.shape[1], 1024):
             np.minimum(best, ((h[:, at : at + 1024] ^ flips) * odd).min(axis=1), out=best)
-        return best
+        return (best * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # 16 bits tell all but 1 of 65536 apart
 
     def run(batches):
         for batch in batches:
@@ -72,7 +74,7 @@ def _bander(bands: int, rows: int):
         for batch in batches:
             ids, keys = [], []
             for rep, signature in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                step = 4 * rows
+                step = 2 * rows
                 ids += [rep] * bands
                 keys += [xxhash.xxh3_64_intdigest(signature[b * step : (b + 1) * step], seed=b) - (1 << 63) for b in range(bands)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["bucket", "rep"])
@@ -81,15 +83,19 @@ def _bander(bands: int, rows: int):
 
 
 def _pruner(steps: list[tuple[int, int]]):
+    """(a, sa, b, sb, matches so far) -> (a, b, matches) of the pairs that pass every step over these hashes; steps count all hashes."""
+
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (1, 3))
-            live = np.arange(batch.num_rows)
-            matches, before = np.zeros(batch.num_rows, np.int64), 0
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (1, 3))
+            live, matches = np.arange(batch.num_rows), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = steps[0][0] - BATCH
             for n, least in steps:
-                matches[live] += (a[live, before:n] == b[live, before:n]).sum(axis=1)
-                live, before = live[matches[live] >= least], n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), batch.column(2).take(pa.array(live))], ["a", "b"])
+                lo, hi = n - BATCH - first, n - first
+                matches[live] += (a[live, lo:hi] == b[live, lo:hi]).sum(axis=1)
+                live = live[matches[live] >= least]
+            at = pa.array(live)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(matches[live])], ["a", "b", "matches"])
 
     return run
 
@@ -127,43 +133,71 @@ def near_duplicates(
     doc_id reachable over links. Null and empty texts have no shingles and no links. Rows that share a doc_id are one node.
     Rows without doc_id take no part; their component_id is null and they are kept. An empty table gives an empty result.
     """
-    spark, hashes = docs.sparkSession, bands * rows
+    spark, hashes = docs.sparkSession, bands * rows // BATCH * BATCH
     bounded_batches(spark)
+    steps = least_matches(percent / 100, miss, hashes, BATCH)
     signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows_ = materialise(signed.mapInArrow(_signer(words, hashes, seed), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
-    classes = rows_.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
-    classes = materialise(classes, "classes")
-    reps = classes.select("rep", "signature")
-    buckets = materialise(reps.mapInArrow(_bander(bands, rows), "bucket long, rep long"), "buckets")
+    rows_ = materialise(signed.mapInArrow(_signer(words, bands * rows, seed), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
+    named = rows_.where("doc_id is not null and n_shingles > 0")
+    classes = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = named.join(classes, (named.doc_id == classes.rep) & (named.set_key == classes.set_key)).select("rep", "n_shingles", "signature")
+    buckets = materialise(reps.select("rep", "signature").mapInArrow(_bander(bands, rows), "bucket long, rep long"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("bucket", "leader")
-    met = materialise(buckets.join(shared, "bucket").select("bucket", "leader", "rep"), "met")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that hold, by signature batches and then on full sets."""
-        left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-        right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "sa", "b", "sb")
-        likely = materialise(both.mapInArrow(_pruner(least_matches(percent / 100, miss, hashes, BATCH)), "a long, b long").distinct(), "likely")
-        named = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        sets = materialise(signed.join(named, "doc_id", "left_semi").mapInArrow(_shingler(words), "doc_id long, shingles binary"), "sets")
+    met = materialise(buckets.join(shared, "bucket").select("bucket", "leader", "rep").distinct(), "met")
+    # What a pair is first judged by: the size and the first batch of hashes; the rest stays behind.
+    need = met.select("rep").distinct()
+    kept = reps.join(need, "rep", "left_semi").dropDuplicates(["rep", "signature"])
+    heads = materialise(kept.select("rep", "n_shingles", F.expr(f"substring(signature, 1, {2 * BATCH})").alias("head"), F.expr(f"substring(signature, {2 * BATCH + 1}, {2 * (hashes - BATCH)})").alias("tail")), "heads")
+    sketch = heads.select("rep", F.col("n_shingles").alias("n"), "head")
+    near = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
+
+    def links(judged: DataFrame) -> DataFrame:
+        """Those of the pairs (a, na, sa, b, nb, sb) that hold."""
+        first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb", F.lit(0).alias("matches"))
+        first = first.mapInArrow(_pruner(steps[:1]), "a long, b long, matches long").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+        left, right = (heads.select(F.col("rep").alias(k), F.col("tail").alias(f"s{k}")) for k in "ab")
+        rest = materialise(first, "passed").join(right, "b").join(left, "a").select("a", "sa", "b", "sb", "matches")
+        likely = materialise(rest.mapInArrow(_pruner(steps[1:]), "a long, b long, matches long").select("a", "b").distinct(), "likely")
+        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+        sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words), "doc_id long, shingles binary"), "sets")
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
         full = likely.join(right, "b").join(left, "a").select("a", "sa", "b", "sb")
         return materialise(full.mapInArrow(_verifier(percent), "a long, b long").distinct(), "links")
 
-    found = links(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    def sketched(pairs: DataFrame) -> DataFrame:
+        left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("head").alias(f"s{k}")) for k in "ab")
+        return pairs.join(right, "b").join(left, "a")
+
+    def open_rows() -> DataFrame:
+        """Rows of the buckets in which more than one component is left, with their component and the leader's."""
+        mine = reached.withColumnRenamed("node", "rep")
+        seen = met.join(mine, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        seen = materialise(seen, "seen")
+        several = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "rep").alias("led")).where("lo <> hi")
+        return materialise(seen.join(several.select("bucket", "led"), "bucket"), "open")
+
+    found = links(sketched(met.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a"))))
     reached = components(found)
-    # Buckets in which more than one component is left: compare the pairs of different components.
-    seen = met.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    seen = materialise(seen, "seen")
-    open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left_over = seen.join(open_, "bucket")
-    x = left_over.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), "leader")
-    y = left_over.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where("a < b and ca <> cb and a <> leader").select("a", "b").distinct()
-    more = links(materialise(rest, "rest"))
+    tried = None
+    while True:
+        left_over = open_rows()
+        pairs = left_over.where("rep <> leader and component <> led").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "starred")
+        more = links(sketched(pairs))
+        if not more.limit(1).count():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        found = found.union(more)
+        reached = components(found)
+    # Every member has been compared with its buckets' leaders; what is left are pairs of members of different components.
+    cross = left_over.join(sketch, "rep").where("rep <> leader")
+    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("head").alias("sa"))
+    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("head").alias("sb"))
+    y = y.toDF("bucket", "b", "cb", "nb", "sb")
+    more = links(x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb"))
     if more.limit(1).count():
         reached = components(found.union(more))
-    named = classes.select("set_key", "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
-    out = rows_.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    owners = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
+    out = rows_.select("doc_id", "n_shingles", "set_key").join(owners, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
