@@ -131,13 +131,14 @@ class ShardStore:
 
 def compacted(docs: DataFrame, path: str, arrivals: int = 16, target_bytes: int = 128 << 20) -> DataFrame:
     """Append ``docs`` as ``arrivals`` runs, dealt by a hash of doc_id and text, compact them, and read the store back: all
-    columns of ``docs`` and ``shard``, the file that holds the row. Every row is stored as it is, whatever is null or
+    columns of ``docs`` and ``shard`` (shard1, ... if there is such a column), the file that holds the row. Every row is stored as it is, whatever is null or
     repeated. An empty table gives an empty result."""
     store = ShardStore(docs.sparkSession, path, target_bytes)
-    key = next(f"arrival{i or ''}" for i in range(len(docs.columns) + 1) if f"arrival{i or ''}" not in {c.lower() for c in docs.columns})
+    taken = {c.lower() for c in docs.columns}
+    key, shard = (next(f"{name}{i or ''}" for i in range(len(taken) + 1) if f"{name}{i or ''}" not in taken) for name in ("arrival", "shard"))
     store.append(docs.withColumn(key, F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals)).cast("int")), key)
     store.compact()
     rows = store.read()
     if rows is None:
-        return docs.limit(0).withColumn("shard", F.lit(None).cast("string"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.regexp_extract("_metadata.file_path", r"runs/(.*)$", 1).alias("shard"))
+        return docs.limit(0).withColumn(shard, F.lit(None).cast("string"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.regexp_extract("_metadata.file_path", r"runs/(.*)$", 1).alias(shard))

@@ -2,8 +2,9 @@
 
 Texts become sets of word shingles; equal sets form one class. Signatures of class representatives are banded, so that
 similar sets meet in a bucket. Candidates compare their signatures batch by batch and drop out as soon as the posterior
-probability of reaching the threshold falls below ``miss``: the first batch travels with the bucket's rows, so that a pair is
-first judged where it is made; only pairs that pass fetch the rest, and survivors are verified on their full sets.
+probability of reaching the threshold falls below ``miss``. A sketch with one byte of each hash travels with the bucket's rows, so a
+pair is judged where it is made and only survivors are shuffled. Survivors are verified on their full sets, first on 16 bits
+of each shingle, which can only overstate what they share, then, if that reaches the threshold, on the shingles themselves.
 
 A bucket may hold a third of all rows, so no bucket is gathered. First each member is compared with the least of its buckets'
 leaders (minima, found by pre-aggregation), then, in buckets where more than one component is left, with those buckets'
@@ -41,7 +42,8 @@ def least_matches(threshold: float, miss: float, hashes: int, batch: int) -> lis
     return out
 
 
-def _signer(words: int, hashes: int, seed: int):
+def _signer(words: int, bands: int, rows: int, seed: int):
+    hashes = bands * rows
     rng = np.random.default_rng(seed)
     flips = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)[:, None]
     odd = (rng.integers(0, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -51,71 +53,74 @@ def _signer(words: int, hashes: int, seed: int):
         best = np.full(hashes, 0xFFFFFFFF, np.uint32)
         for at in range(0, h.shape[1], 1024):
             np.minimum(best, ((h[:, at : at + 1024] ^ flips) * odd).min(axis=1), out=best)
-        return (best * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)  # 16 bits tell all but 1 of 65536 apart
+        return best * np.uint32(0x9E3779B1)
 
     def run(batches):
         for batch in batches:
-            ids, sizes, keys, signs = batch.column(0).to_pylist(), [], [], []
+            ids, sizes, keys, buckets, sketches = batch.column(0).to_pylist(), [], [], [], []
             for text in arrow_texts(batch.column(1)):
                 s = shingle_set(word_hashes(text), words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signs.append(sign(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "signature"],
-            )
-
-    return run
-
-
-def _bander(bands: int, rows: int):
-    def run(batches):
-        for batch in batches:
-            ids, keys = [], []
-            for rep, signature in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                step = 2 * rows
-                ids += [rep] * bands
-                keys += [xxhash.xxh3_64_intdigest(signature[b * step : (b + 1) * step], seed=b) - (1 << 63) for b in range(bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["bucket", "rep"])
+                found = sign(s) if len(s) else None
+                sketches.append(None if found is None else (found[: hashes // BATCH * BATCH] >> np.uint32(24)).astype(np.uint8).tobytes())
+                buckets.append(None if found is None else [xxhash.xxh3_64_intdigest(found[b * rows : (b + 1) * rows].tobytes(), seed=b) - (1 << 63) for b in range(bands)])
+            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "set_key", "buckets", "sketch"])
 
     return run
 
 
 def _pruner(steps: list[tuple[int, int]]):
-    """(a, sa, b, sb, matches so far) -> (a, b, matches) of the pairs that pass every step over these hashes; steps count all hashes."""
+    """(a, sa, b, sb) -> (a, b) of the pairs of sketches that pass every step."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (1, 3))
-            live, matches = np.arange(batch.num_rows), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-            first = steps[0][0] - BATCH
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (1, 3))
+            live, matches, before = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in steps:
-                lo, hi = n - BATCH - first, n - first
-                matches[live] += (a[live, lo:hi] == b[live, lo:hi]).sum(axis=1)
-                live = live[matches[live] >= least]
+                matches[live] += (a[live, before:n] == b[live, before:n]).sum(axis=1)
+                live, before = live[matches[live] >= least], n
             at = pa.array(live)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(matches[live])], ["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], ["a", "b"])
 
     return run
 
 
-def _shingler(words: int):
+def _shingler(words: int, short: bool):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(word_hashes(t), words).tobytes() for t in arrow_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [shingle_set(word_hashes(t), words) for t in arrow_texts(batch.column(1))]
+            if short:
+                sets = [np.sort((s >> np.uint64(48)).astype(np.uint16)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
     return run
 
 
-def _verifier(percent: int):
+def _shared(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    if s.dtype != np.uint16:
+        return int((both[1:] == both[:-1]).sum())
+    return int(np.minimum(np.bincount(s, minlength=1 << 16), np.bincount(t, minlength=1 << 16)).sum()) if len(s) > 20_000 else _shared_runs(s, t)
+
+
+def _shared_runs(s: np.ndarray, t: np.ndarray) -> int:
+    x, n = np.unique(s, return_counts=True)
+    y, m = np.unique(t, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def _verifier(percent: int, kind: type):
     def run(batches):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(1), batch.column(3), strict=True)):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(s) + len(t) - len(np.union1d(s, t))
+                s, t = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                common = _shared(s, t)
                 if 100 * common >= percent * (len(s) + len(t) - common):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
@@ -137,35 +142,31 @@ def near_duplicates(
     bounded_batches(spark)
     steps = least_matches(percent / 100, miss, hashes, BATCH)
     signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows_ = materialise(signed.mapInArrow(_signer(words, bands * rows, seed), "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
+    rows_ = materialise(signed.mapInArrow(_signer(words, bands, rows, seed), "doc_id long, n_shingles long, set_key binary, buckets array<long>, sketch binary"), "signed")
     named = rows_.where("doc_id is not null and n_shingles > 0")
     classes = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes, (named.doc_id == classes.rep) & (named.set_key == classes.set_key)).select("rep", "n_shingles", "signature")
-    buckets = materialise(reps.select("rep", "signature").mapInArrow(_bander(bands, rows), "bucket long, rep long"), "buckets")
+    reps = named.join(classes, (named.doc_id == classes.rep) & (named.set_key == classes.set_key)).select("rep", F.col("n_shingles").alias("n"), "buckets", "sketch")
+    buckets = materialise(reps.select(F.explode("buckets").alias("bucket"), "rep"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("bucket", "leader")
     met = materialise(buckets.join(shared, "bucket").select("bucket", "leader", "rep").distinct(), "met")
-    # What a pair is first judged by: the size and the first batch of hashes; the rest stays behind.
-    need = met.select("rep").distinct()
-    kept = reps.join(need, "rep", "left_semi").dropDuplicates(["rep", "signature"])
-    heads = materialise(kept.select("rep", "n_shingles", F.expr(f"substring(signature, 1, {2 * BATCH})").alias("head"), F.expr(f"substring(signature, {2 * BATCH + 1}, {2 * (hashes - BATCH)})").alias("tail")), "heads")
-    sketch = heads.select("rep", F.col("n_shingles").alias("n"), "head")
+    sketch = materialise(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch").dropDuplicates(), "sketches")
     near = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
+    def verified(pairs: DataFrame, short: bool) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, short), "doc_id long, shingles binary"), "sets")
+        left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+        full = pairs.join(right, "b").join(left, "a").select("a", "sa", "b", "sb")
+        return materialise(full.mapInArrow(_verifier(percent, np.uint16 if short else np.uint64), "a long, b long").distinct(), "links")
+
     def links(judged: DataFrame) -> DataFrame:
         """Those of the pairs (a, na, sa, b, nb, sb) that hold."""
-        first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb", F.lit(0).alias("matches"))
-        first = first.mapInArrow(_pruner(steps[:1]), "a long, b long, matches long").groupBy("a", "b").agg(F.max("matches").alias("matches"))
-        left, right = (heads.select(F.col("rep").alias(k), F.col("tail").alias(f"s{k}")) for k in "ab")
-        rest = materialise(first, "passed").join(right, "b").join(left, "a").select("a", "sa", "b", "sb", "matches")
-        likely = materialise(rest.mapInArrow(_pruner(steps[1:]), "a long, b long, matches long").select("a", "b").distinct(), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words), "doc_id long, shingles binary"), "sets")
-        left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-        full = likely.join(right, "b").join(left, "a").select("a", "sa", "b", "sb")
-        return materialise(full.mapInArrow(_verifier(percent), "a long, b long").distinct(), "links")
+        first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb")
+        likely = materialise(first.mapInArrow(_pruner(steps), "a long, b long").distinct(), "likely")
+        return verified(verified(likely, short=True), short=False)
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("head").alias(f"s{k}")) for k in "ab")
+        left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
         return pairs.join(right, "b").join(left, "a")
 
     def open_rows() -> DataFrame:
@@ -191,8 +192,8 @@ def near_duplicates(
         reached = components(found)
     # Every member has been compared with its buckets' leaders; what is left are pairs of members of different components.
     cross = left_over.join(sketch, "rep").where("rep <> leader")
-    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("head").alias("sa"))
-    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("head").alias("sb"))
+    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     y = y.toDF("bucket", "b", "cb", "nb", "sb")
     more = links(x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb"))
     if more.limit(1).count():
