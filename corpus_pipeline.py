@@ -28,7 +28,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near duplicates over 5-word shingles, that with the smallest doc_id; of rows that share a doc_id one."""
     out = _without(docs, near_dedup.near_duplicates(docs, words=5).where("not kept"))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.limit(1).count() and not docs.where("doc_id is null").limit(1).count() else out
+    if not repeated.limit(1).count():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
