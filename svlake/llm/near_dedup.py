@@ -10,6 +10,11 @@ A bucket may hold a third of all rows, so no bucket is gathered. First each memb
 leaders (minima, found by pre-aggregation), then, in buckets where more than one component is left, with those buckets'
 leaders until that finds nothing new, and last, where several components still meet, pairs of different components are
 compared with each other. Pairs within one component could add no information, and pairs whose sizes differ too much can't be similar.
+
+A large family of near copies has many members just below the threshold to most others. Members with a common pivot (a leader
+they resemble) are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
+|a ^ b| = |D(a)| + |D(b)| - 2 |D(a) & D(b)|, so a linked pair must share more of its differences than sizes allow to be missing
+from the rarest-first prefixes of D(a) and D(b). Joining prefixes finds every such pair and hardly any other.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
@@ -129,6 +134,44 @@ def _verifier(percent: int, kind: type):
     return run
 
 
+def _differences(batches):
+    """(rep, component, n, set, pivot, pivot's set) -> the rep's difference from its pivot, with both sizes."""
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(3), batch.column(5), strict=True):
+            s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            out.append((np.setxor1d(s, t, assume_unique=True), len(s), len(t)))
+        made = [pa.array([o[0].view(np.int64) for o in out], pa.list_(pa.int64())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), batch.column(1), *made], ["pivot", "rep", "component", "d", "n", "np"])
+
+
+def _difference_links(percent: int, delta: DataFrame) -> DataFrame:
+    """Links between members (pivot, rep, component, d, n, np) of one pivot and different components.
+
+    With c = (100 - percent) / (100 + percent), a pair is linked iff |a ^ b| <= c (n(a) + n(b)), and x is near its pivot iff
+    |D(x)| <= c (n(x) + np). Two near ones are of one component. If b is not near, the pair shares more than
+    (|D(a)| + c (np - n(a))) / 2 differences, which bounds a's prefix, and b's too if a isn't near either; otherwise b's is bounded by
+    |D(b)| - c (n(a) + n(b)) with n(a) <= n(b) * 100 / percent."""
+    c = (100 - percent) / (100 + percent)
+    size, slack = F.size("d"), 1e-6
+    far = size > c * (F.col("n") + F.col("np"))
+    half = size - F.greatest(F.floor((size + c * (F.col("np") - F.col("n"))) / 2 - slack), F.lit(0))
+    most = size - F.greatest(F.ceil(size - c * F.col("n") * (1 + 100 / percent) - slack), F.lit(1)) + 1
+    rows = delta.select("pivot", "rep", "component", far.alias("far"), half.alias("half"), most.alias("most"), F.explode("d").alias("e"))
+    common = rows.groupBy("pivot", "e").agg(F.count("*").alias("f")).where("f > 1")  # differences of one member only link nothing, but keep their place
+    rows = rows.join(common, ["pivot", "e"], "left").withColumn("at", F.row_number().over(Window.partitionBy("pivot", "rep").orderBy(F.coalesce("f", F.lit(1)), "e")))
+    rows = materialise(rows.where("f > 1").where(F.col("at") <= F.when(F.col("far"), F.greatest("half", "most")).otherwise(F.col("half"))), "prefixes")
+    b = rows.where("far").select("pivot", "e", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("at") <= F.col("half")).alias("hb"), (F.col("at") <= F.col("most")).alias("mb"))
+    b = b.toDF("pivot", "e", "b", "cb", "hb", "mb")
+    a = rows.where(F.col("at") <= F.col("half")).select("pivot", "e", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"))
+    pairs = a.join(b, ["pivot", "e"]).where("ca <> cb and ((fa and a < b and hb) or (not fa and mb))").select("pivot", "a", "b").distinct()
+    full = lambda k: delta.select("pivot", F.col("rep").alias(k), F.col("d").alias(f"d{k}"), F.col("n").alias(f"n{k}"))
+    both = materialise(pairs, "differing").join(full("b"), ["pivot", "b"]).join(full("a"), ["pivot", "a"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    links = both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, seed: int = 7
 ) -> DataFrame:
@@ -163,8 +206,11 @@ def near_duplicates(
         """Those of the pairs (a, na, sa, b, nb, sb) that hold."""
         first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb")
         likely = materialise(first.mapInArrow(_pruner(steps), "a long, b long").distinct(), "likely")
+        resembling.append(likely)
         return verified(verified(likely, short=True), short=False)
 
+    resembling: list[DataFrame] = []
+
     def sketched(pairs: DataFrame) -> DataFrame:
         left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
         return pairs.join(right, "b").join(left, "a")
@@ -191,11 +237,24 @@ def near_duplicates(
         found = found.union(more)
         reached = components(found)
     # Every member has been compared with its buckets' leaders; what is left are pairs of members of different components.
-    cross = left_over.join(sketch, "rep").where("rep <> leader")
-    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    y = y.toDF("bucket", "b", "cb", "nb", "sb")
-    more = links(x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb"))
+    # Those with a common pivot are compared by their differences from it, the others by their sketches.
+    alike = resembling[0]
+    for more in resembling[1:]:
+        alike = alike.union(more)
+    pivots = alike.select(F.col("b").alias("rep"), F.col("a").alias("pivot")).union(alike.select("a", "a")).groupBy("rep").agg(F.min("pivot").alias("pivot"))
+    members = materialise(left_over.select("rep", "component").distinct().join(pivots, "rep"), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).union(members.select("pivot")).distinct()
+    sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, False), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    own, other = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s)) for k, s in (("rep", "s"), ("pivot", "p")))
+    apart = members.join(own, "rep").join(other, "pivot").select("rep", "component", F.lit(0).alias("unused"), "s", "pivot", "p")
+    delta = materialise(apart.mapInArrow(_differences, "pivot long, rep long, component long, d array<long>, n long, np long"), "differences")
+    more = materialise(_difference_links(percent, delta), "links")
+    cross = left_over.join(sketch, "rep").join(members.select("rep", "pivot"), "rep", "left").where("rep <> leader")
+    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("pivot").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("pivot").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    y = y.toDF("bucket", "b", "cb", "pb", "nb", "sb")
+    apart = ~F.coalesce(x.pa == y.pb, F.lit(False))
+    more = more.union(links(x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & apart & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb")))
     if more.limit(1).count():
         reached = components(found.union(more))
     owners = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
