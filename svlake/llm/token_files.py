@@ -14,9 +14,11 @@ A reader fetches the footer, the table and the index, then only the frames that
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +125,12 @@ class _Unsafe(Exception):
 
 class Encoder:
     """Ids of whole texts. A byte-level pre-tokenizer never joins what stands on the two sides of a lone space, except that
-    the space goes with the word behind it; so words with their space are encoded once by the tokenizer and their ids kept,
-    for at most ``most`` words at a time. Texts with other white space beside a space are encoded whole."""
+    the space goes with the word behind it; so words with their space are encoded once by the tokenizer and their ids kept.
+    New words are encoded many to a call and cut apart by their bytes. At most ``most`` words are kept; then the later half,
+    which has the rarer ones, is dropped. Texts with other white space beside a space are encoded whole."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,31 +139,52 @@ class Encoder:
         self.most = most
         described = str(self.tokenizer.pre_tokenizer)
         self.by_words = self.tokenizer.normalizer is None and described.startswith("ByteLevel(") and "add_prefix_space=False" in described and "use_regex=True" in described
+        vocabulary = self.tokenizer.get_vocab() if self.by_words else {}
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a byte-level token has a character for each byte
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], together: int = 256) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, got = np.cumsum([1 + len(w.encode()) for w in group]), np.cumsum(self.sizes[ids])
+            at = np.searchsorted(got, ends)
+            if at[-1] != len(ids) - 1 or (got[at] != ends).any():
+                out += self._whole([" " + w for w in group])
+                continue
+            cuts, raw = [0, *(4 * (at + 1)).tolist()], ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._whole(texts)
-        if len(self.words) > self.most:
-            self.words.clear()
-        cut = [t.split(" ") for t in texts]
-        new: dict[str, None] = {}
-        unsafe = set()
         known = self.words
-        for i, parts in enumerate(cut):
-            fresh = [p for p in parts[1:] if p not in known]
-            for p in [parts[0][-1:], *fresh]:
-                if len(parts) > 1 and (not p or p[0].isspace() or p[-1].isspace()):
-                    unsafe.add(i)
-                    break
-            else:
-                new |= dict.fromkeys(fresh)
+        if len(known) > self.most:
+            known = self.words = dict(islice(known.items(), self.most // 2))
+        cut = [t.split(" ") for t in texts]
+        firsts = [parts.pop(0) for parts in cut]
+        new = [w for w in set().union(*cut) if w not in known]
+        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new = [w for w in new if w not in bad]
+        # A final point or comma is a token of its own behind letters: the word without it may be known, or is worth knowing.
+        ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        if ended:
+            new = [*dict.fromkeys([*(w for w in new if w[-1] not in ".," or not w[:-1].isalpha()), *(w[:-1] for w in ended if w[:-1] not in known)])]
         if new:
-            known |= zip(new, self._whole([" " + p for p in new]), strict=True)
-        firsts = iter(self._whole([texts[i] if i in unsafe else parts[0] for i, parts in enumerate(cut)]))
-        return [next(firsts) if i in unsafe else b"".join([next(firsts), *map(known.__getitem__, parts[1:])]) for i, parts in enumerate(cut)]
+            known.update(zip(new, self._words(new), strict=True))
+        if ended:
+            mark = {m: self._whole([m])[0] for m in ".,"}
+            known.update((w, known[w[:-1]] + mark[w[-1]]) for w in ended)
+        unsafe = {i for i, (first, parts) in enumerate(zip(firsts, cut, strict=True)) if parts and (not first or first[-1].isspace() or (bad and not bad.isdisjoint(parts)))}
+        whole = self._whole([texts[i] if i in unsafe else first for i, first in enumerate(firsts)])
+        return [head if i in unsafe else head + b"".join(map(known.__getitem__, parts)) for i, (head, parts) in enumerate(zip(whole, cut, strict=True))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
