@@ -49,7 +49,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "place"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return warc.capture_histories(table(spark, sf_dir, "pages")).select(*columns)
 
 
@@ -61,4 +61,21 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_licences, op3_near_dedup, op4_token_files, op5_compaction, op6_toxicity, op7_mixing, op8_decontaminate, op9_warc, op10_hilbert_ann)
 }
-SQL: dict[str, str] = {}
+# Near duplicates by comparing all pairs of documents that share a shingle; meant for small tables.
+_NEAR = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 2 then w else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+linked as (select a, b from e union all select b, a from e),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, linked.b from r join linked on linked.a = r.y),
+m as (select x, min(y) as component_id from r group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from documents d join m on m.x = d.doc_id left join n on n.doc_id = d.doc_id"""
+
+_CHARS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = f"array_to_string([array_to_string([{_CHARS}[((('0x' || sha[5 * i + 1:5 * i + 5])::bigint >> (15 - 5 * j)) & 31) + 1] for j in range(4)], '') for i in range(8)], '')"
+_WARC = f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+f as (select *, min(page_id) over (partition by html) as first from p)
+select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f"""
+
+SQL: dict[str, str] = {"op3_near_dedup": _NEAR, "op9_warc": _WARC}
