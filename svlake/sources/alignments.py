@@ -140,7 +140,8 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(uri)``: reads of BAM files."""
+    """``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(uri)``: reads of BAM files. Needs
+    spark.sql.python.filterPushdown.enabled; read_bam does all of it."""
 
     @classmethod
     def name(cls) -> str:
@@ -154,5 +155,6 @@ class BamSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").load(path)
