@@ -11,8 +11,7 @@ leaders (minima, found by pre-aggregation), then, in buckets where more than one
 leaders until that finds nothing new, and last, where several components still meet, pairs of different components are
 compared with each other. Pairs within one component could add no information, and pairs whose sizes differ too much can't be similar.
 
-A large family of near copies has many members just below the threshold to most others. Members with a common pivot (a leader
-they resemble) are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
+A large family of near copies has many members just below the threshold to most others. Members with a common pivot are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
 |a ^ b| = |D(a)| + |D(b)| - 2 |D(a) & D(b)|, so a linked pair must share more of its differences than sizes allow to be missing
 from the rarest-first prefixes of D(a) and D(b). Joining prefixes finds every such pair and hardly any other.
 """
@@ -206,11 +205,8 @@ def near_duplicates(
         """Those of the pairs (a, na, sa, b, nb, sb) that hold."""
         first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb")
         likely = materialise(first.mapInArrow(_pruner(steps), "a long, b long").distinct(), "likely")
-        resembling.append(likely)
         return verified(verified(likely, short=True), short=False)
 
-    resembling: list[DataFrame] = []
-
     def sketched(pairs: DataFrame) -> DataFrame:
         left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
         return pairs.join(right, "b").join(left, "a")
@@ -237,12 +233,14 @@ def near_duplicates(
         found = found.union(more)
         reached = components(found)
     # Every member has been compared with its buckets' leaders; what is left are pairs of members of different components.
-    # Those with a common pivot are compared by their differences from it, the others by their sketches.
-    alike = resembling[0]
-    for more in resembling[1:]:
-        alike = alike.union(more)
-    pivots = alike.select(F.col("b").alias("rep"), F.col("a").alias("pivot")).union(alike.select("a", "a")).groupBy("rep").agg(F.min("pivot").alias("pivot"))
-    members = materialise(left_over.select("rep", "component").distinct().join(pivots, "rep"), "members")
+    # Those with a common pivot are compared by their differences from it, the others by their sketches. A member's pivot is the
+    # leader it meets that most others meet too, or that leader's own pivot; any choice is exact, a related one is quick.
+    meets = materialise(left_over.select("rep", "leader").distinct(), "meets")
+    often = meets.groupBy("leader").agg(F.count("*").alias("f"))
+    own = meets.join(often, "leader").groupBy("rep").agg(F.max_by("leader", F.struct("f", -F.col("leader"))).alias("pivot"))
+    own = materialise(own, "pivots")
+    jumped = own.join(own.select(F.col("rep").alias("pivot"), F.col("pivot").alias("next")), "pivot", "left").select("rep", F.coalesce("next", "pivot").alias("pivot"))
+    members = materialise(left_over.select("rep", "component").distinct().join(jumped, "rep"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).union(members.select("pivot")).distinct()
     sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, False), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
     own, other = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s)) for k, s in (("rep", "s"), ("pivot", "p")))
