@@ -63,7 +63,7 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words; keeps those of the first ``most`` distinct words, which bounds its memory."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
