@@ -4,8 +4,9 @@ Words are maximal runs of letters, marks and digits, lower-cased, so punctuation
 a document is as long as the benchmark item it may repeat. A window that shares no shingle with an item has similarity 0,
 so only windows that are aligned with some item by a shared shingle are built: an exact restriction. Equal windows are
 fingerprinted once. The 64-bit SimHash is cut into radius + 1 blocks; two fingerprints within the radius agree in one of
-them at least, so an equi-join on (block, bits) finds all such pairs. They are verified exactly: the weight of the item's
-shingles that the window holds, against the weight of all the item's shingles.
+them at least, so an equi-join on (block, bits) finds all such pairs. These, and every window with the item it is aligned
+with however far apart their fingerprints are, are verified exactly: the weight of the item's shingles that the window
+holds, against the weight of all the item's shingles. So the radius costs no aligned window; it only adds pairs.
 
 Everything is DataFrame and SQL work. A document's words stay arrays within its row; a bitmap of the items' shingles, sized
 by their count, drops positions that can't match before rows are made of them.
@@ -98,12 +99,12 @@ def _scan(docs: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _hashes(F.col("text")).alias("h"), bits.alias("m")).where(f"size(h) >= {size}")
     rows = rows.select("doc_id", F.explode(F.expr(anchors)).alias("a")).select("doc_id", "a.*")
     # A position continues the one before it if that has the item's shingle before: one row for each run is enough.
-    known = small(grams.select(F.col("sh").alias("gsh"), "p", "n", "before"))
+    known = small(grams.select(F.col("sh").alias("gsh"), "item", "p", "n", "before"))
     met = rows.join(known, (F.col("sh") == F.col("gsh")) & ~F.coalesce(F.col("last") == F.col("before"), F.lit(False)))
     start = F.col("i") - F.col("p")
     window = F.expr("slice(near, greatest(start, 0) - from + 1, start + n - greatest(start, 0))")
-    windows = met.withColumn("start", start).select("doc_id", "start", "n", window.alias("w"))
-    windows = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start"), F.xxhash64("w").alias("key"), "w")
+    windows = met.withColumn("start", start).select("doc_id", "start", "item", window.alias("w"))
+    windows = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start"), "item", F.xxhash64("w").alias("key"), "w")
     windows = materialise(windows, "windows")
     texts = windows.groupBy("key").agg(F.first("w").alias("w"))
     texts = materialise(texts.withColumn("sim", F.expr(_simhash("w"))), "texts")
@@ -111,7 +112,9 @@ def _scan(docs: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     a = texts.select("key", F.col("sim").alias("ws"), _blocks(radius).alias("x")).select("key", "ws", "x.*")
     b = materialise(marked.select("item", F.col("sim").alias("is"), _blocks(radius).alias("x")).select("item", "is", "x.*"), "blocks")
     near = a.join(small(b), ["block", "bits"]).withColumn("hamming", F.expr("bit_count(ws ^ is)")).where(f"hamming <= {radius}")
-    near = near.select("key", "item", "hamming").distinct()
+    aligned = windows.select("key", "item").distinct().join(texts.select("key", F.col("sim").alias("ws")), "key")
+    aligned = aligned.join(small(marked.select("item", F.col("sim").alias("is"))), "item").withColumn("hamming", F.expr("bit_count(ws ^ is)"))
+    near = near.select("key", "item", "hamming").union(aligned.select("key", "item", "hamming")).distinct()
     full = counted.groupBy("item").agg(F.sum(F.col("weight") * F.col("c")).alias("whole"))
     held = texts.select("key", F.explode(F.expr(_grams("w", size))).alias("sh")).groupBy("key", "sh").agg(F.count("*").alias("k"))
     common = near.join(small(counted), "item").join(held, ["key", "sh"])

@@ -61,3 +61,20 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.item_id, r.start) for r in got) == [(1, 1, 1), (4, 4, 1), (5, 1, 30_000)]
     assert D.leaks(spark.createDataFrame([], DOCS), items).count() == 0
     assert D.leaks(spark.createDataFrame(docs, DOCS), items.limit(0)).count() == 0
+
+
+def test_cut_and_changed_copies_by_default(spark):
+    """Copies far apart in Hamming distance count too: items cut at an end, and with several changed words."""
+    items = [(i, [f"i{i}x{j}" for j in range(n)]) for i, n in enumerate([59, 59, 38, 15])]
+    docs = []
+    for d in range(120):
+        i, passage = items[d % 4]
+        n, keep = len(passage), {59: 48, 38: 32, 15: 13}[len(passage)] + d % 3 * (d % 4 != 3)
+        passage = passage[:keep] if d % 5 < 2 else passage[n - keep :] if d % 5 < 4 else [w if j not in (1, n - 2) else "changed" for j, w in enumerate(passage)]
+        docs.append((d, say(RNG.randrange(60)) + passage + say(RNG.randrange(60))))
+    want = brute(docs, items)
+    dd = spark.createDataFrame([(d, " ".join(w), "x") for d, w in docs], DOCS)
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(dd, spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEMS)).collect()}
+    assert len(want) > 60 and got.keys() == want.keys()
+    assert all(abs(got[k].similarity - want[k]) < 1e-9 for k in want)
+    assert any(r.hamming > D.RADIUS for r in got.values())
