@@ -4,20 +4,25 @@ Three operators that differ on purpose: ``band_pairs`` (every equal pair), ``for
 the first equal call of the second behind the last match) and ``two_pointer_match`` (a merge of both sets by position).
 
 Calls are rows (ord, chrom, pos, id, svtype, svlen, ...), ``ord`` unique per set and breaking ties of pos. The two ordered
-operators are sequential, but only within stretches of calls without a wide gap: cells as wide as the tolerance that hold
-calls, in unbroken runs. A match never crosses an empty cell, so each run is folded by itself, on its own task's rows.
+operators are sequential. They run over fixed tiles of positions: each tile is folded from an assumed entry state (nothing
+behind its start taken), and those whose entry turns out to differ from their left neighbour's exit are folded again, until
+none does. Only tiles whose entry is right stay, so the result is that of one pass, however dense the calls are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POS, LEN = 500, 100
-TILE_CELLS = 20_000  # runs that begin in the same stretch of so many cells are merged by one task step
+TILE_CELLS = 64  # a tile is so many times as wide as the tolerance; a state reaches beyond it by one tolerance
 
 
 def equal_calls(a: str = "a", b: str = "b", pos: int = POS, length: int = LEN, only_ins_del: bool = False) -> Column:
@@ -41,40 +46,60 @@ def band_pairs(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN, on
     return a.join(hit, "ord", "left_semi" if how == "left_semi" else "left_anti")
 
 
-def runs(a: DataFrame, b: DataFrame, pos: int = POS) -> DataFrame:
-    """(chrom, cell, run): unbroken runs of cells of ``pos`` bases that hold calls of either set; as many rows as the genome has cells at most."""
-    width = max(pos, 1)
-    cells = a.select("chrom", F.floor(F.col("pos") / width).alias("cell")).union(b.select("chrom", F.floor(F.col("pos") / width).alias("cell"))).distinct()
-    return cells.withColumn("run", F.col("cell") - F.row_number().over(Window.partitionBy("chrom").orderBy("cell")))
-
-
-def forward_match(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN, only_ins_del: bool = False) -> DataFrame:
-    """(i, j): ord of matched calls. In the order of (pos, ord), each call of ``a`` takes the first equal call of ``b`` behind the
-    call of ``b`` that was matched last; calls without one leave that place as it is."""
-    pairs = band_pairs(a, b, pos, length, only_ins_del).select("a.chrom", F.floor(F.col("a.pos") / max(pos, 1)).alias("cell"), F.struct(F.col("a.pos").alias("pi"), F.col("a.ord").alias("i"), F.col("b.pos").alias("pj"), F.col("b.ord").alias("j")).alias("p"))
-    grouped = pairs.join(runs(a, b, pos), ["chrom", "cell"]).groupBy("chrom", "run").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    fold = (
-        "aggregate(ps, named_struct('i', cast(null as bigint), 'pj', cast(null as bigint), 'j', cast(null as bigint), 'out', cast(array() as array<struct<i:bigint,j:bigint>>)), "
-        "(s, p) -> if(s.j is null or (p.i <> s.i and (p.pj > s.pj or (p.pj = s.pj and p.j > s.j))), "
-        "named_struct('i', p.i, 'pj', p.pj, 'j', p.j, 'out', concat(s.out, array(named_struct('i', p.i, 'j', p.j)))), s), s -> s.out)"
-    )
-    return grouped.select(F.inline(F.expr(fold)))
-
-
-def _two_pointers(pos: int, length: int):
-    def equal(x: tuple, y: tuple) -> bool:
-        if x[2] != y[2] or abs(x[0] - y[0]) > pos:
-            return False
-        return x[3] is None or y[3] is None or abs(x[3] - y[3]) <= length
-
-    def rows(t: pa.Table) -> list[tuple]:
-        return sorted(zip(*[t.column(c).to_pylist() for c in ("pos", "ord", "svtype", "svlen")], strict=True), key=lambda r: r[:2])
-
-    def steps(a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
-        i = j = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and equal(a[i], b[j]):
+def _kept(df: DataFrame) -> DataFrame:
+    """A table written to the folder that driver and executors share, and read back."""
+    spark = df.sparkSession
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="svlake-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/svlake/tiles-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _equal(x: tuple, y: tuple, pos: int, length: int) -> bool:
+    if x[2] != y[2] or abs(x[0] - y[0]) > pos:
+        return False
+    return x[3] is None or y[3] is None or abs(x[3] - y[3]) <= length
+
+
+# A fold takes a tile's calls (pos, ord, svtype, svlen) of both sets in order, the tile's end and its entry state (at, i, j); it
+# yields steps (at, i, j) and returns its exit state: the last call taken of either set that the next tile can see, or nulls.
+_NONE = (None, None, None)
+
+
+def _forward(pos: int, length: int, only_ins_del: bool) -> Callable:
+    def fold(a: list[tuple], b: list[tuple], end: int, entry: tuple) -> Iterator[tuple]:
+        at, last = 0, entry
+        if entry[0] is not None:
+            at = bisect_right(b, (entry[0], entry[2]), key=lambda y: y[:2])
+        for x in a:
+            while at < len(b) and b[at][0] < x[0] - pos:
+                at += 1
+            k = at if not only_ins_del or x[2] in ("INS", "DEL") else len(b)
+            while k < len(b) and b[k][0] <= x[0] + pos:
+                if _equal(x, b[k], pos, length):
+                    yield x[0], x[1], b[k][1]
+                    last, at = (b[k][0], None, b[k][1]), k + 1
+                    break
+                k += 1
+        return last if last[0] is not None and last[0] >= end - pos else _NONE
+
+    return fold
+
+
+def _two_pointers(pos: int, length: int) -> Callable:
+    def fold(a: list[tuple], b: list[tuple], end: int, entry: tuple) -> Iterator[tuple]:
+        i = bisect_right(a, (entry[0], entry[1]), key=lambda x: x[:2]) if entry[1] is not None else 0
+        j = bisect_right(b, (entry[0], entry[2]), key=lambda y: y[:2]) if entry[2] is not None else 0
+        last = entry
+        while (i < len(a) and a[i][0] < end) or (j < len(b) and b[j][0] < end):
+            if i < len(a) and j < len(b) and _equal(a[i], b[j], pos, length):
                 yield a[i][0], a[i][1], b[j][1]
+                last = (a[i][0], a[i][1], None) if a[i][0] >= end else (b[j][0], None, b[j][1])
                 i, j = i + 1, j + 1
             elif j == len(b) or (i < len(a) and a[i][0] < b[j][0]):  # at equal positions the second set goes on
                 yield a[i][0], a[i][1], None
@@ -82,25 +107,71 @@ def _two_pointers(pos: int, length: int):
             else:
                 yield b[j][0], None, b[j][1]
                 j += 1
+        return last if last[0] is not None and last[0] >= end else _NONE
+
+    return fold
+
 
+def _tiled(d: DataFrame, side: int, before: int, behind: int, width: int) -> DataFrame:
+    """Calls in each tile they are seen from: ``before`` bases before its start to ``behind`` bases behind its end."""
+    first, last = F.floor((F.col("pos") - behind) / width), F.floor((F.col("pos") + before) / width)
+    d = d.where("chrom is not null and pos is not null")
+    return d.select("chrom", F.explode(F.sequence(first, last)).alias("tile"), F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "svtype", F.col("svlen").cast("long").alias("svlen"))
+
+
+def _sweep(calls: DataFrame, fold: Callable, width: int) -> DataFrame:
+    """(chrom, tile, step, at, i, j) of a fold over all tiles, as if one pass had gone through each chromosome. ``calls`` has side 0
+    or 1; an entry state is a row of side 2 with pos, ord (of the first set) and svlen (ord of the second)."""
     kinds = pa.schema([("chrom", pa.string()), ("tile", pa.int64()), ("step", pa.int64()), ("at", pa.int64()), ("i", pa.int64()), ("j", pa.int64())])
 
-    def merge(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(key[0].as_py(), key[1].as_py(), n, *s) for n, s in enumerate(steps(rows(left), rows(right)))]
-        return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds.types)], schema=kinds)
+    def folded(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        sides = ([], [], [])
+        for side, *row in zip(*[t.column(c).to_pylist() for c in ("side", "pos", "ord", "svtype", "svlen")], strict=True):
+            sides[side].append(tuple(row))
+        entry = (sides[2][0][0], sides[2][0][1], sides[2][0][3]) if sides[2] else _NONE
+        steps, chrom, tile = [], key[0].as_py(), key[1].as_py()
+
+        def run():
+            exit_ = yield from fold(sorted(sides[0], key=lambda r: r[:2]), sorted(sides[1], key=lambda r: r[:2]), (tile + 1) * width, entry)
+            steps.append((-1, *exit_))
+
+        steps += [(n, *s) for n, s in enumerate(run())]
+        columns = list(zip(*steps, strict=True))
+        return pa.table([pa.array([chrom] * len(steps), pa.string()), pa.array([tile] * len(steps), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], schema=kinds)
+
+    go = lambda d: _kept(d.groupBy("chrom", "tile").applyInArrow(folded, "chrom string, tile long, step long, at long, i long, j long"))
+    exits = lambda d, n: d.where("step = -1").select("chrom", "tile", F.lit(n).alias("round"), F.struct("at", "i", "j").alias("leave"))
+    calls = _kept(calls)
+    rounds = [go(calls)]
+    none = F.struct(*[F.lit(None).cast("long").alias(c) for c in ("at", "i", "j")])
+    states = _kept(exits(rounds[0], 0).withColumn("enter", none))
+    while True:
+        ahead = states.select("chrom", (F.col("tile") + 1).alias("tile"), F.col("leave").alias("now"))
+        due = states.join(ahead, ["chrom", "tile"], "left").withColumn("now", F.coalesce("now", none)).where(~F.col("now").eqNullSafe(F.col("enter")))
+        due = _kept(due.select("chrom", "tile", "now"))
+        if due.limit(1).count() == 0:
+            break
+        entry = due.select("chrom", "tile", F.lit(2).alias("side"), F.col("now.at").alias("pos"), F.col("now.i").alias("ord"), F.lit(None).cast("string").alias("svtype"), F.col("now.j").alias("svlen"))
+        rounds.append(go(calls.join(due, ["chrom", "tile"], "left_semi").unionByName(entry)))
+        new = exits(rounds[-1], len(rounds) - 1).join(due.withColumnRenamed("now", "enter"), ["chrom", "tile"])
+        states = _kept(states.join(due, ["chrom", "tile"], "left_anti").unionByName(new))
+    last = [r.where("step >= 0").join(states.where(F.col("round") == n), ["chrom", "tile"], "left_semi") for n, r in enumerate(rounds)]
+    return reduce(DataFrame.union, last)
+
 
-    return merge
+def forward_match(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN, only_ins_del: bool = False) -> DataFrame:
+    """(i, j): ord of matched calls. In the order of (pos, ord), each call of ``a`` takes the first equal call of ``b`` behind the
+    call of ``b`` that was matched last; calls without one leave that place as it is."""
+    width = TILE_CELLS * max(pos, 1)
+    calls = _tiled(a, 0, 0, 0, width).unionByName(_tiled(b, 1, pos, pos, width))
+    return _sweep(calls, _forward(pos, length, only_ins_del), width).select("i", "j")
 
 
 def two_pointer_steps(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN) -> DataFrame:
     """The merge of two sets by position, one row per step: chrom, tile, step, at, i, j - a matched pair has both i and j (ord of
     the calls), a call passed over has one. Order steps by (chrom, tile, step)."""
-    where = runs(a, b, pos)
-    first = F.min("cell").over(Window.partitionBy("chrom", "run"))
-    where = where.select("chrom", "cell", F.floor(first / TILE_CELLS).alias("tile"))
-    side = lambda d: d.select("chrom", "pos", "ord", "svtype", "svlen", F.floor(F.col("pos") / max(pos, 1)).alias("cell")).join(where, ["chrom", "cell"]).drop("cell")
-    x, y = side(a), side(b).toDF("chrom", "pos", "ord", "svtype", "svlen", "tile")
-    return x.groupBy("chrom", "tile").cogroup(y.groupBy("chrom", "tile")).applyInArrow(_two_pointers(pos, length), "chrom string, tile long, step long, at long, i long, j long")
+    width = TILE_CELLS * max(pos, 1)
+    return _sweep(_tiled(a, 0, 0, pos, width).unionByName(_tiled(b, 1, 0, pos, width)), _two_pointers(pos, length), width)
 
 
 def two_pointer_match(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN) -> DataFrame:

@@ -124,6 +124,38 @@ def test_matching_equals_sequential_loops(spark, seed):
     assert merge.union_interleaved(da, db, m).count() == s.same + s.dif1 + s.dif2
 
 
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_matching_dense_calls(spark, monkeypatch, kinds):
+    """No empty cell anywhere: work is cut all the same, and results are those of one pass."""
+    rng = random.Random(kinds)
+    sets = [[(n, "1", rng.randrange(120_000), f"x.{n}", ["INS", "DEL", None][rng.randrange(kinds)], rng.choice([None, 50, 120, 300, 900])) for n in range(2000 + 300 * k)] for k in range(2)]
+    x, y = map(in_order, sets)
+    forward, last = set(), -1
+    for r in x:
+        hit = next((j for j in range(last + 1, len(y)) if same(r, y[j])), None)
+        if hit is not None:
+            forward.add((r[0], y[hit][0]))
+            last = hit
+    steps, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and same(x[i], y[j]):
+            steps.append((x[i][0], y[j][0]))
+            i, j = i + 1, j + 1
+        elif j == len(y) or (i < len(x) and x[i][2] < y[j][2]):
+            steps.append((x[i][0], None))
+            i += 1
+        else:
+            steps.append((None, y[j][0]))
+            j += 1
+    da, db = (spark.createDataFrame(d, SCHEMA) for d in sets)
+    for cells in (match.TILE_CELLS, 8):
+        monkeypatch.setattr(match, "TILE_CELLS", cells)
+        assert {tuple(r) for r in match.forward_match(da, db).collect()} == forward
+        got = sorted(match.two_pointer_steps(da, db).collect(), key=lambda r: (r.tile, r.step))
+        assert [(r.i, r.j) for r in got] == steps
+        assert len({r.tile for r in got}) >= 240 // cells
+
+
 def test_empty_sets(spark):
     empty = spark.createDataFrame([], SCHEMA)
     one = spark.createDataFrame([(1, "1", 5, "a.1", "INS", 3)], SCHEMA)
