@@ -153,3 +153,15 @@ def arrow_texts(column: Iterable) -> list:
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+def by_bytes(batch, name: str, most: int) -> Iterable:
+    """Slices of an Arrow batch whose texts have about ``most`` bytes together; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, most + (int(ends[at - 1]) if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -18,10 +18,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -29,9 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bounded_batches, materialise, scratch
+from .common import bounded_batches, by_bytes, materialise, scratch
 
 FRAME_IDS = 32_768
+#: About so many bytes of text go through the tokenizer at once.
+CALL_BYTES = 4_000_000
+#: A word that can't be encoded apart: empty, or with white space at an end, except one line break before letters. Unicode's white space and the separators 1C to 1F.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BESIDE = rf"^$|^[{_SPACE}]{{2}}|^[{_SPACE.replace(r'\t-', r'\t\x0b-')}]|[{_SPACE}]$"
+#: Marks that can't join the letters before them.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 2
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -119,92 +127,162 @@ class Reader:
         self.file.close()
 
 
-class _Unsafe(Exception):
-    """White space beside a space: the text can't be cut at its spaces."""
-
-
 class Encoder:
-    """Ids of whole texts. A byte-level pre-tokenizer never joins what stands on the two sides of a lone space, except that
-    the space goes with the word behind it; so words with their space are encoded once by the tokenizer and their ids kept.
-    New words are encoded many to a call and cut apart by their bytes. At most ``most`` words are kept; then the later half,
-    which has the rarer ones, is dropped. Texts with other white space beside a space are encoded whole."""
+    """Ids of whole texts, many to a call. A byte-level pre-tokenizer never joins what stands on the two sides of a lone space
+    or line break, except that a space goes with the word behind it. So a batch is cut there, each distinct word is encoded
+    once with the character before it, and texts are put together from the words' ids by index. A worker keeps the ids of at
+    most ``most`` words; then the later half, which has the rarer ones, is dropped. Texts with other white space beside a
+    space or with the spelling of an added token, and all texts of other kinds of tokenizers, are encoded whole."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.most = most
+        self.end, self.most = end_id, most
+        self.slots: dict[str | bytes, int] = {}  # a word; as bytes, marks behind letters; a word from the start of a line has the break before it
+        # The words' ids lie one behind the other in ``pool``; ``at`` says where each begins, the last entry where free room begins.
+        self.pool, self.at, self.unsafe = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
         described = str(self.tokenizer.pre_tokenizer)
         self.by_words = self.tokenizer.normalizer is None and described.startswith("ByteLevel(") and "add_prefix_space=False" in described and "use_regex=True" in described
-        vocabulary = self.tokenizer.get_vocab() if self.by_words else {}
+        self.by_words &= not any(" " in t.content or "\n" in t.content or t.lstrip or t.rstrip or t.single_word for t in added)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False) if self.by_words else {}
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # a byte-level token has a character for each byte
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str], together: int = 256) -> list[bytes]:
-        """Ids of each word with a space before it."""
-        groups = [words[k : k + together] for k in range(0, len(words), together)]
-        out = []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends, got = np.cumsum([1 + len(w.encode()) for w in group]), np.cumsum(self.sizes[ids])
-            at = np.searchsorted(got, ends)
-            if at[-1] != len(ids) - 1 or (got[at] != ends).any():
-                out += self._whole([" " + w for w in group])
-                continue
-            cuts, raw = [0, *(4 * (at + 1)).tolist()], ids.tobytes()
-            out += [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
-            return self._whole(texts)
-        known = self.words
-        if len(known) > self.most:
-            known = self.words = dict(islice(known.items(), self.most // 2))
-        cut = [t.split(" ") for t in texts]
-        firsts = [parts.pop(0) for parts in cut]
-        new = [w for w in set().union(*cut) if w not in known]
-        bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new = [w for w in new if w not in bad]
-        # A final point or comma is a token of its own behind letters: the word without it may be known, or is worth knowing.
-        ended = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each with the space or line break before it, and how many each has."""
+        spaced = [w if w[0] == "\n" else " " + w for w in words]
+        lengths = np.asarray(pc.binary_length(pa.array(spaced, pa.string())))
+        groups = range(0, len(spaced), together)
+        found, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for k, ids in zip(groups, self._whole(["".join(spaced[k : k + together]) for k in groups]), strict=True):
+            ends, got = np.cumsum(lengths[k : k + together]), np.cumsum(self.sizes[ids])
+            cut = np.searchsorted(got, ends)
+            if cut[-1] != len(ids) - 1 or (got[cut] != ends).any():
+                single = self._whole(spaced[k : k + together])
+                ids, cut = np.concatenate(single), np.cumsum([len(x) for x in single]) - 1
+            found.append(ids)
+            counts.append(np.diff(cut, prepend=-1))
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _room(self, words: int, ids: int) -> None:
+        for name, n in (("pool", ids), ("at", words + 1), ("unsafe", words)):
+            if len(held := getattr(self, name)) < n:
+                setattr(self, name, np.concatenate([held, np.zeros(max(n - len(held), len(held)), held.dtype)]))
+
+    def _keep(self, words: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = len(self.slots), int(self.at[len(self.slots)])
+        self._room(n + len(words), used + len(ids))
+        self.pool[used : used + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(words)] = used + np.cumsum(counts)
+        self.slots.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Give words their slots; unsafe ones have no ids. Marks at the end of letters are tokens of their own: such a word is a word and marks."""
+        array = pa.array(words, pa.string())
+        risky = pc.match_substring_regex(array, BESIDE)
+        for t in self.added:
+            risky = pc.or_(risky, pc.match_substring(array, t))
+        bad = [words[i] for i in np.flatnonzero(risky).tolist()]
+        if bad:
+            apart = set(bad)
+            words = [w for w in words if w not in apart]
+        stems = [w.rstrip(MARKS) for w in words]
+        ended = [(w, s) for w, s in zip(words, stems, strict=True) if len(s) < len(w) and (s.isalpha() or s[:1] == "\n" and s[1:].isalpha())]
         if ended:
-            new = [*dict.fromkeys([*(w for w in new if w[-1] not in ".," or not w[:-1].isalpha()), *(w[:-1] for w in ended if w[:-1] not in known)])]
-        if new:
-            known.update(zip(new, self._words(new), strict=True))
+            apart = {w for w, _ in ended}
+            words = list(dict.fromkeys([*(w for w in words if w not in apart), *(s for _, s in ended if s not in self.slots)]))
+        self._keep(words, *self._words(words))
         if ended:
-            mark = {m: self._whole([m])[0] for m in ".,"}
-            known.update((w, known[w[:-1]] + mark[w[-1]]) for w in ended)
-        unsafe = {i for i, (first, parts) in enumerate(zip(firsts, cut, strict=True)) if parts and (not first or first[-1].isspace() or (bad and not bad.isdisjoint(parts)))}
-        whole = self._whole([texts[i] if i in unsafe else first for i, first in enumerate(firsts)])
-        return [head if i in unsafe else head + b"".join(map(known.__getitem__, parts)) for i, (head, parts) in enumerate(zip(whole, cut, strict=True))]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+            tails = [w[len(s) :].encode() for w, s in ended]
+            if new := [t for t in dict.fromkeys(tails) if t not in self.slots]:
+                ids = self._whole([t.decode() for t in new])
+                self._keep(new, np.concatenate(ids), np.array([len(x) for x in ids]))
+            pairs = np.array([[self.slots[s], self.slots[t]] for (_, s), t in zip(ended, tails, strict=True)])
+            size = self.at[pairs + 1] - self.at[pairs]
+            self._keep([w for w, _ in ended], _gather(self.pool, self.at[pairs].ravel(), size.ravel()), size.sum(axis=1))
+        if bad:
+            n = len(self.slots)
+            self._keep(bad, np.empty(0, np.uint32), np.zeros(len(bad), np.int64))
+            self.unsafe[n : n + len(bad)] = True
+
+    def _forget(self) -> None:
+        """Keep the earlier half of the words, their slots unchanged."""
+        kept = self.most // 2
+        self.slots = dict(islice(self.slots.items(), kept))
+        self.pool, self.at, self.unsafe = self.pool[: self.at[kept]].copy(), self.at[: kept + 1].copy(), self.unsafe[:kept].copy()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a string array without nulls) one after another, each text's followed by the end id, and how many each has."""
+        end = np.array([self.end], np.uint32)
+        if not self.by_words or not len(texts):
+            whole = [np.concatenate([x, end]) for x in self._whole(texts.to_pylist())]
+            return np.concatenate([end[:0], *whole]), np.array([len(x) for x in whole], np.int64)
+        if len(self.slots) > self.most:
+            self._forget()
+        cut = pc.split_pattern(pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1 \n\\2"), " ")
+        bounds = np.asarray(cut.offsets, dtype=np.int64)
+        first, lengths = bounds[:-1] - bounds[0], np.diff(bounds)
+        coded = cut.flatten().dictionary_encode()
+        distinct, words = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        behind = np.ones(len(words), bool)
+        behind[first] = False
+        slot = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
+        needed = np.zeros(len(distinct), bool)
+        needed[words[behind]] = True  # a word that only begins texts has no space before it
+        if len(new := np.flatnonzero(needed & (slot < 0)).tolist()):
+            unknown = [distinct[i] for i in new]
+            self._learn(unknown)
+            slot[new] = np.fromiter(map(self.slots.__getitem__, unknown), np.int64, len(new))
+        alone = np.logical_or.reduceat(self.unsafe[slot][words] & behind, first)
+        alone |= np.asarray(pc.match_substring(texts, " \n"))
+        heads = [distinct[i] for i in words[first].tolist()]
+        alone |= [n > 1 and (not h or h[-1].isspace()) or any(t in h for t in self.added) for h, n in zip(heads, lengths.tolist(), strict=True)]
+        for i in np.flatnonzero(alone).tolist():
+            heads[i] = texts[i].as_py()
+        # Beginnings and the end id lie in the free room behind the words, for this call only.
+        spare = [*self._whole(heads), end]
+        sizes = np.array([len(x) for x in spare], np.int64)
+        used = int(self.at[len(self.slots)])
+        self._room(0, used + int(sizes.sum()))
+        self.pool[used : used + int(sizes.sum())] = np.concatenate(spare)
+        begins = used + np.cumsum(sizes) - sizes
+        begin, size = self.at[slot][words], (self.at[slot + 1] - self.at[slot])[words]
+        size[np.repeat(alone, lengths)] = 0
+        begin[first], size[first] = begins[:-1], sizes[:-1]
+        begin, size = np.insert(begin, first + lengths, begins[-1]), np.insert(size, first + lengths, 1)
+        return _gather(self.pool, begin, size), np.add.reduceat(size, first + np.arange(len(first)))
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of ``pool`` that begin at ``begin`` and have ``size`` entries, one after another."""
+    return pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def _writer(base: str, tokenizer: str, end_id: int, frame_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _ENCODERS.setdefault(tokenizer, None) or _ENCODERS.update({tokenizer: Encoder(tokenizer)}) or _ENCODERS[tokenizer]
-        shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        if (tokenizer, end_id) not in _ENCODERS:
+            _ENCODERS[tokenizer, end_id] = Encoder(tokenizer, end_id)
+        encoder, shard = _ENCODERS[tokenizer, end_id], TaskContext.get().partitionId()
         uri = f"{base}/shard-{shard:06d}.zst"
         writer, docs, tokens = None, 0, 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 128):
-                for doc_id, coded in zip(ids[at : at + 128], encoder.encode([t or "" for t in texts[at : at + 128]]), strict=True):
-                    writer = writer or Writer(uri, frame_ids)
-                    writer.add(doc_id, coded + end)
-                    docs, tokens = docs + 1, tokens + len(coded) // 4 + 1
+            for part in by_bytes(batch, "text", CALL_BYTES):
+                coded, counts = encoder.encode(pc.fill_null(part.column("text"), ""))
+                cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                writer = writer or Writer(uri, frame_ids)
+                for doc_id, i, j in zip(part.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
+                    writer.add(doc_id, coded[i:j].astype("<u4", copy=False).tobytes())
+                docs, tokens = docs + len(counts), tokens + len(coded)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [docs], "n_tokens": [tokens]})
@@ -212,6 +290,9 @@ def _writer(base: str, tokenizer: str, end_id: int, frame_ids: int):
     return run
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, base: str, end_id: int = END_ID, frame_ids: int = FRAME_IDS, shards: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files below ``base`` (a URI that all executors reach), ascending by doc_id from
     file to file; rows without doc_id come first, equal ids by text. Null texts are empty and hold the end id alone. Returns

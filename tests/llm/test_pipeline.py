@@ -30,7 +30,6 @@ def test_stages(spark, sf_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rows, start = sorted((r.doc_id, r.text) for r in docs.collect()), 0
     for r, (doc_id, text) in zip(sorted(got, key=lambda r: r.start), rows, strict=True):
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]

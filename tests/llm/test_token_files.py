@@ -3,14 +3,17 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from svlake.llm import token_files as T
-from svlake.llm.common import scratch
+from svlake.llm.common import by_bytes, scratch
 from svlake.llm.queries import tokenizer_path
 
-TEXTS = ["Hello world", "", "  two  spaces ", "tab\there\nline \n end", " lead", "don't it's 'quoted' I'll", "é ü ñ — “x”", "a b 　c", "<|endoftext|> in text", "x" * 3000, "\n", " ", "1 2  3\n\n4", "\x1c odd", "word " * 40_000]
+TEXTS = ["Hello world", "", "  two  spaces ", "tab\there\nline \n end", " lead", "don't it's 'quoted' I'll", "é ü ñ — “x”", "a b 　c", "<|endoftext|> in text", "see <|endoftext|> here", "end<|endoftext|>", "a\nb\nc d\n\ne", "line one.\nLine \nthree", "so\u00a0\nit", "well*** said!? it's; 9,5 don't.'", "x" * 3000, "\n", " ", "1 2  3\n\n4", "\x1c odd", "word " * 40_000]
 
 
 @pytest.fixture(scope="module")
@@ -18,16 +21,31 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library(reference):
-    e = T.Encoder(tokenizer_path(), most=5)
+    e = T.Encoder(tokenizer_path(), 2, most=5)
     assert e.by_words
-    for _ in range(2):
-        got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(TEXTS)]
-        assert got == [reference(t) for t in TEXTS]
+    for texts in (TEXTS, TEXTS[:4], TEXTS[::-1], [], TEXTS):
+        ids, counts = e.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*reference(t), 2] for t in texts] or not texts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZé9.,'!_ \n\t\r\x0b\x1c\x85\u00a0\u2028\u3000\u0301文😀<|>")), min_size=1, max_size=4))
+def test_any_text_equals_the_library(reference, texts):
+    e = _ENCODER.setdefault(0, None) or _ENCODER.update({0: T.Encoder(tokenizer_path(), 2)}) or _ENCODER[0]
+    ids, counts = e.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*reference(t), 2] for t in texts]
+
+
+_ENCODER: dict = {}
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 50, "", "c"]})
+    assert [b.column("text").to_pylist() for b in by_bytes(batch, "text", 20)] == [["a" * 10, None], ["b" * 50], ["", "c"]]
 
 
 def test_round_trip(spark, reference):
