@@ -18,7 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +131,10 @@ class Encoder:
     """Ids of whole texts, many to a call. A byte-level pre-tokenizer never joins what stands on the two sides of a lone space
     or line break, except that a space goes with the word behind it. So a batch is cut there, each distinct word is encoded
     once with the character before it, and texts are put together from the words' ids by index. A worker keeps the ids of at
-    most ``most`` words; then the later half, which has the rarer ones, is dropped. Texts with other white space beside a
+    most ``most`` words; then the half that fewer calls had is dropped. Texts with other white space beside a
     space or with the spelling of an added token, and all texts of other kinds of tokenizers, are encoded whole."""
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -143,6 +143,7 @@ class Encoder:
         self.slots: dict[str | bytes, int] = {}  # a word; as bytes, marks behind letters; a word from the start of a line has the break before it
         # The words' ids lie one behind the other in ``pool``; ``at`` says where each begins, the last entry where free room begins.
         self.pool, self.at, self.unsafe = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+        self.calls = np.zeros(1 << 12, np.int64)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
         described = str(self.tokenizer.pre_tokenizer)
@@ -173,7 +174,7 @@ class Encoder:
         return np.concatenate(found), np.concatenate(counts)
 
     def _room(self, words: int, ids: int) -> None:
-        for name, n in (("pool", ids), ("at", words + 1), ("unsafe", words)):
+        for name, n in (("pool", ids), ("at", words + 1), ("unsafe", words), ("calls", words)):
             if len(held := getattr(self, name)) < n:
                 setattr(self, name, np.concatenate([held, np.zeros(max(n - len(held), len(held)), held.dtype)]))
 
@@ -214,10 +215,13 @@ class Encoder:
             self.unsafe[n : n + len(bad)] = True
 
     def _forget(self) -> None:
-        """Keep the earlier half of the words, their slots unchanged."""
-        kept = self.most // 2
-        self.slots = dict(islice(self.slots.items(), kept))
-        self.pool, self.at, self.unsafe = self.pool[: self.at[kept]].copy(), self.at[: kept + 1].copy(), self.unsafe[:kept].copy()
+        """Keep the half of the words that most calls had, the earlier ones of equals."""
+        names, n = list(self.slots), len(self.slots)
+        kept = np.sort(np.argsort(-self.calls[:n], kind="stable")[: self.most // 2])
+        size = self.at[kept + 1] - self.at[kept]
+        self.pool, self.unsafe, self.calls = _gather(self.pool, self.at[kept], size), self.unsafe[kept], self.calls[kept] // 2
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.slots = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (a string array without nulls) one after another, each text's followed by the end id, and how many each has."""
@@ -241,6 +245,7 @@ class Encoder:
             unknown = [distinct[i] for i in new]
             self._learn(unknown)
             slot[new] = np.fromiter(map(self.slots.__getitem__, unknown), np.int64, len(new))
+        self.calls[slot[slot >= 0]] += 1
         alone = np.logical_or.reduceat(self.unsafe[slot][words] & behind, first)
         alone |= np.asarray(pc.match_substring(texts, " \n"))
         heads = [distinct[i] for i in words[first].tolist()]
