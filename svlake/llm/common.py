@@ -43,10 +43,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches hold at most so many rows, so that a worker's memory follows a few hundred texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Arrow batches hold at most so many rows and about ``size`` bytes, so that a worker's memory doesn't grow with the texts. A
+    plan reads these settings when it runs, so they stay set in the session; smaller ones are left alone."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if not 0 < int(str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("bB")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,8 +7,10 @@ ranks them; a query meets the candidates within ``window`` ranks on either side
 find is merged and ranked anew in double precision.
 
 Equal vectors are one entry of the index with its smallest ids, so copies, however many, neither crowd a window nor get lost.
-The window is a fraction of the index: on vectors without structure no curve keeps neighbours closer than that, and recall,
-not the candidate count, is what is kept the same at every size. Candidates and queries meet in cells of bounded size.
+How wide a window must be depends on the data, so it is measured: a bounded number of queries is compared with every
+vector, and the window is the smallest one in which the wanted share of their true neighbours lies. Clustered vectors need
+few ranks, vectors without structure a part of the index; nothing else depends on the size. Candidates travel as one byte a
+component; the best 2 k of each query are reranked on the vectors themselves. Both meet in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, small
 
 DIMS, BITS = 8, 4
-CELL, QUERY_CELL = 4096, 65_536  # ranks of candidates and of queries that may meet in one task step
-SAMPLE = 10_000
+QUERY_CELL = 65_536  # ranks of queries that may meet in one task step; of candidates it is the window, 512 to 4096
+SAMPLE, PROBES = 10_000, 128  # rows that fit the projections, queries that measure the window
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -80,6 +82,21 @@ def _keyer(shared, orderings: int):
     return run
 
 
+def _packer(batches):
+    """Vectors as bytes -127 to 127 and what one is worth."""
+    for batch in batches:
+        if batch.num_rows:
+            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
+            scale = np.abs(x).max(axis=1) / 127
+            packed = np.rint(x / scale[:, None]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(scale.astype(np.float32))], ["rep", "vector", "scale"])
+
+
+def _unpacked(t: pa.Table) -> np.ndarray:
+    x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.int8).reshape(t.num_rows, -1)
+    return x * t.column("scale").to_numpy()[:, None]
+
+
 def _meet(k: int, window: int):
     """The k best candidates of each query within a pair of cells."""
 
@@ -87,9 +104,8 @@ def _meet(k: int, window: int):
         kinds = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float32())])
         if not candidates.num_rows or not queries.num_rows:
             return kinds.empty_table()
-        of = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(t.num_rows, -1)
-        x, ids, ranks = of(candidates), candidates.column("rep").to_numpy(), candidates.column("rank").to_numpy()
-        q, qids, qranks = of(queries), queries.column("rep").to_numpy(), queries.column("rank").to_numpy()
+        x, ids, ranks = _unpacked(candidates), candidates.column("rep").to_numpy(), candidates.column("rank").to_numpy()
+        q, qids, qranks = _unpacked(queries), queries.column("rep").to_numpy(), queries.column("rank").to_numpy()
         out = []
         for lo in range(0, len(q), 1024):
             s = q[lo : lo + 1024] @ x.T
@@ -104,15 +120,73 @@ def _meet(k: int, window: int):
     return run
 
 
+def _scan(shared, k: int):
+    """The k nearest of each probe within a partition, the probe itself left out."""
+
+    def run(batches):
+        ids, q = shared.value
+        best_s, best_i = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep = batch.column(0).to_numpy()
+            s = q @ np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]).T
+            s[ids[:, None] == rep[None, :]] = -np.inf
+            s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(rep, s.shape)], axis=1)
+            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(s, top, axis=1), np.take_along_axis(i, top, axis=1)
+        row, col = np.nonzero(np.isfinite(best_s))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(best_i[row, col], pa.int64()), pa.array(best_s[row, col])], ["query", "rep", "score"])
+
+    return run
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, orderings: int = 14, window: float = 0.05, least_window: int = 512, seed: int = 9) -> DataFrame:
+def ranked(reps: DataFrame, orderings: int, seed: int = 9) -> DataFrame:
+    """(rep, c, rank): the place of each vector (rep, v), from 0, along each ordering c. Written before it is returned."""
+    spark = reps.sparkSession
+    largest = reps.agg(F.max(F.sqrt(_dot(F.col("v"), F.col("v"))))).first()[0]
+    sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()  # SAMPLE rows at most
+    x = np.array([r.v for r in sample])
+    x = np.concatenate([x, np.sqrt(np.maximum(largest**2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
+    shared = spark.sparkContext.broadcast((*_projections(x, orderings, seed), largest))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of (ordering, key) are counted, then rows are numbered within their range.
+    keyed = reps.mapInArrow(_keyer(shared, orderings), "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("c", "key"))
+    ranged = materialise(keyed.repartitionByRange(parts, "c", "key", "rep").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("c", "part").count()
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = sums.select("c", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy("c", "part").orderBy("key", "rep"))
+    return materialise(ranged.withColumn("r", local).join(small(sums), ["c", "part"]).select("rep", "c", (F.col("offset") + F.col("r") - 1).alias("rank")), "ranks")
+
+
+def fitted_window(reps: DataFrame, asked: DataFrame, ranks: DataFrame, k: int, recall: float, probes: int = PROBES) -> int:
+    """Ranks within which the share ``recall`` of the k nearest of ``probes`` queries lies in some ordering. The probes are
+    the first in the order of a hash; each is compared with every vector."""
+    spark = reps.sparkSession
+    rows = asked.join(reps, "rep").orderBy(F.xxhash64("rep")).limit(probes).collect()  # probes rows at most
+    if not rows:
+        return k
+    shared = spark.sparkContext.broadcast((np.array([r.rep for r in rows]), np.array([r.v for r in rows])))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    true = reps.mapInArrow(_scan(shared, k), "query long, rep long, score double").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query", "rep")
+    true = F.broadcast(materialise(true, "probes"))  # probes * k rows at most
+    mine = F.broadcast(ranks.join(true.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("query"), "c", F.col("rank").alias("mine")))  # probes * orderings rows
+    apart = ranks.join(true, "rep").join(mine, ["query", "c"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("rank") - F.col("mine"))).alias("apart"))
+    found = sorted(r.apart for r in apart.select("apart").collect())  # probes * k rows at most
+    return max(k, found[min(len(found) - 1, int(recall * len(found)))] if found else k)
+
+
+def nearest(vectors: DataFrame, query: Column, k: int = 20, orderings: int = 32, recall: float = 0.94, window: float | None = None, seed: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) that satisfies ``query``, its k
     nearest found among all other rows, nearest first, ties to the smaller vec_id; all of them if there are fewer.
 
-    Rows without vec_id, with null, zero or other than the commonest number of components, with null or non-finite ones, and
+    The window is fitted to ``recall``, or given as a share of the index; 1.0 compares all, which is exact. Rows without
+    vec_id, with null, zero or other than the commonest number of components, with null or non-finite ones, and
     zero vectors take no part; of rows that share a vec_id, the smallest vector does. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -132,32 +206,19 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, orderings: int = 14,
     reps = members.where("r = 1").select("rep", "v")
     asking = materialise(rows.where("asks").join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep"), "asking")
     asked = asking.select("rep").distinct()
-    total, largest = reps.agg(F.count("*"), F.max(F.sqrt(_dot(F.col("v"), F.col("v"))))).first()
-    sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()  # SAMPLE rows at most
-    x = np.array([r.v for r in sample])
-    x = np.concatenate([x, np.sqrt(np.maximum(largest**2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
-    shared = spark.sparkContext.broadcast((*_projections(x, orderings, seed), largest))
-    half = max(least_window, int(window * total))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Ranks along each ordering: ranges of (ordering, key) are counted, then rows are numbered within their range.
-    keyed = reps.mapInArrow(_keyer(shared, orderings), "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("c", "key"))
-    ranged = keyed.repartitionByRange(parts, "c", "key", "rep").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged, "ranged")
-    sums = ranged.groupBy("c", "part").count()
-    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    sums = sums.select("c", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("c", "part").orderBy("key", "rep"))
-    ranks = ranged.withColumn("r", local).join(small(sums), ["c", "part"]).select("rep", "c", (F.col("offset") + F.col("r") - 1).alias("rank"))
-    ranks = materialise(ranks, "ranks")
+    total = reps.count()
+    ranks = ranked(reps, orderings, seed)
+    half = fitted_window(reps, asked, ranks, k, recall) if window is None else max(1, int(window * total))
+    cells = min(4096, max(512, 1 << (half - 1).bit_length()))
 
-    packed = reps.mapInArrow(_packer, "rep long, vector binary")
+    packed = reps.mapInArrow(_packer, "rep long, vector binary, scale float")
     cell = lambda col, size: F.floor(col / size)
-    reach = F.sequence(cell(F.greatest(F.col("rank") - half, F.lit(0)), CELL), cell(F.least(F.col("rank") + half, F.lit(total - 1)), CELL))
+    reach = F.sequence(cell(F.greatest(F.col("rank") - half, F.lit(0)), cells), cell(F.least(F.col("rank") + half, F.lit(total - 1)), cells))
     queries = ranks.join(asked, "rep").withColumn("qc", cell(F.col("rank"), QUERY_CELL)).withColumn("cc", F.explode(reach)).join(packed, "rep")
-    span = F.sequence(cell(F.greatest(F.col("cc") * CELL - half, F.lit(0)), QUERY_CELL), cell(F.least(F.col("cc") * CELL + CELL + half, F.lit(total - 1)), QUERY_CELL))
-    candidates = ranks.withColumn("cc", cell(F.col("rank"), CELL)).withColumn("qc", F.explode(span)).join(packed, "rep")
+    span = F.sequence(cell(F.greatest(F.col("cc") * cells - half, F.lit(0)), QUERY_CELL), cell(F.least(F.col("cc") * cells + cells + half, F.lit(total - 1)), QUERY_CELL))
+    candidates = ranks.withColumn("cc", cell(F.col("rank"), cells)).withColumn("qc", F.explode(span)).join(packed, "rep")
     keys = ["c", "cc", "qc"]
-    columns = [*keys, "rep", "rank", "vector"]
+    columns = [*keys, "rep", "rank", "vector", "scale"]
     apart = queries.select(*[F.col(c).alias(f"q_{c}") for c in columns]).toDF(*columns)  # the same columns under identities of their own
     found = candidates.select(*columns).groupBy(*keys).cogroup(apart.groupBy(*keys))
     found = found.applyInArrow(_meet(2 * k, half), "query long, rep long, score float")
@@ -172,9 +233,3 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, orderings: int = 14,
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answers = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _packer(batches):
-    for batch in batches:
-        vectors = [np.asarray(v, np.float32).tobytes() for v in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], ["rep", "vector"])
