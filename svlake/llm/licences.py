@@ -1,6 +1,8 @@
 """Licence scanning: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-Paragraphs are lines. A multinomial logistic regression over sparse word 1- to 3-grams tells the licence families and
+Lines of up to ``LONG`` words are paragraphs. Longer ones, and wrapped ones joined up to the next blank line, are read in
+overlapping windows of 8 to 64 words, half a window apart, wherever they hold a template's word triple; so a notice is
+found however much text stands around it. A multinomial logistic regression over sparse word 1- to 3-grams tells the licence families and
 ``unknown`` apart. It is trained from the templates below - whole, in parts, with words lost or replaced, beside other words -
 and from a bounded sample of the corpus's own lines as unknown. Its temperature is set on rows kept out of training, and a
 paragraph with less than the calibrated probability is unknown. A prediction counts if the paragraph also shares enough
@@ -22,6 +24,7 @@ from .common import bounded_batches, materialise
 
 WORD = re.compile(r"\w+")
 UNKNOWN = "unknown"
+LONG, WINDOWS = 64, (8, 16, 32, 64)
 
 # Short licence notices and the best-known sentences of licence texts, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -136,6 +139,7 @@ class LicenceModel:
             for t in templates[f]:
                 for g in _grams(words(t)):
                     self.grams.setdefault(g, len(self.grams))
+        self.triples = frozenset(g for g in self.grams if len(g) == 3)
         self.known_words = frozenset(g[0] for g in self.grams if len(g) == 1)
         self.weights = np.zeros((len(self.grams), len(self.families)))
         self.bias = np.zeros(len(self.families))
@@ -160,9 +164,13 @@ class LicenceModel:
         return p / p.sum()
 
     def similarity(self, w: list[str], family: str) -> float:
-        """The largest share of a template's or the paragraph's word pairs that both have, whichever has fewer pairs."""
+        return self.compare(w, family)[0]
+
+    def compare(self, w: list[str], family: str) -> tuple[float, int, frozenset]:
+        """Of the template that is closest: the share of its or the paragraph's word pairs that both have, whichever has fewer, how many these are, and which."""
         mine = _pairs(w)
-        return max((len(mine & t) / max(1, min(len(mine), len(t))) for t in self.pairs[family]), default=0.0)
+        shared = [(len(both) / max(1, min(len(mine), len(t))), len(both), both) for t in self.pairs[family] if (both := mine & t)]
+        return max(shared, key=lambda x: x[:2], default=(0.0, 0, frozenset()))
 
     def train(self, samples: list[tuple[list[str], int]], epochs: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
@@ -221,22 +229,60 @@ def samples_of(model: LicenceModel, lines: list[str], seed: int = 2, copies: int
     return out
 
 
+def blocks(lines: list[list[str]]) -> list[tuple[list[str], list[int]]]:
+    """Runs of lines with words: all their words and the line of each."""
+    out, run = [], []
+    for n, w in enumerate([*lines, []]):
+        if w:
+            run.append(n)
+        elif run:
+            out.append(([x for k in run for x in lines[k]], [k for k in run for _ in lines[k]]))
+            run = []
+    return out
+
+
+def stretches(model: LicenceModel, w: list[str], line: list[int]) -> list[tuple[int, int]]:
+    """(from, to) of what is classified in a block: each line of up to ``LONG`` words with a word of a template and, unless the block is
+    one such line, each window with a word triple of a template."""
+    starts = [i for i in range(len(w)) if i == 0 or line[i] != line[i - 1]]
+    out = [(i, j) for i, j in zip(starts, [*starts[1:], len(w)], strict=True) if j - i <= LONG and not model.known_words.isdisjoint(w[i:j])]
+    if len(starts) > 1 or len(w) > LONG:
+        at = [i for i, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if g in model.triples]
+        wide = ((size, k) for size in WINDOWS for i in at for k in range(max(0, -(-(i + 3 - size) // (size // 2))), i // (size // 2) + 1))
+        out += dict.fromkeys((k * (size // 2), min(len(w), k * (size // 2) + size)) for size, k in wide)
+    return out
+
+
+def named(model: LicenceModel, text: str | None) -> list[tuple[int, str, float, float]]:
+    """(line, family, probability, similarity) of the notices in a text. Of named stretches whose words in common with a template
+    overlap, that with the most pairs in common counts, the shorter of equals, and others of its family; a notice has the line where
+    those words begin, and is reported once for each line and family with its best similarity."""
+    best: dict[tuple[int, str], tuple[float, float]] = {}
+    for w, line in blocks([words(x) for x in (text or "").splitlines()]):
+        found = []
+        for begin, end in stretches(model, w, line):
+            part = w[begin:end]
+            p = model.probabilities(part)
+            k = int(p.argmax())
+            if k < len(p) - 1 and p[k] >= model.least:
+                share, n, both = model.compare(part, model.families[k])
+                at = [i for i in range(begin, end - 1) if (w[i], w[i + 1]) in both]
+                lo, hi = (at[0], at[-1] + 2) if at else (begin, end)
+                found.append((-n, hi - lo, lo, hi, k + 1, share, float(p[k])))
+        owner = np.zeros(len(w) if found else 0, np.int16)
+        for _, _, lo, hi, k, share, p in sorted(found):
+            if ((owner[lo:hi] == 0) | (owner[lo:hi] == k)).all():
+                owner[lo:hi] = k
+                key = line[lo], model.families[k - 1]
+                best[key] = max(best.get(key, (share, p)), (share, p))
+    return [(n, family, p, s) for (n, family), (s, p) in best.items()]
+
+
 def _scan(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, line in enumerate((text or "").splitlines()):
-                    w = words(line)
-                    if model.known_words.isdisjoint(w):
-                        continue
-                    p = model.probabilities(w)
-                    k = int(p.argmax())
-                    if k == len(p) - 1 or p[k] < model.least:
-                        continue
-                    family = model.families[k]
-                    out.append((doc_id, n, family, float(p[k]), model.similarity(w, family)))
+            out = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in named(model, text)]
             kinds = {"doc_id": pa.int64(), "paragraph": pa.int64(), "family": pa.string(), "probability": pa.float64(), "similarity": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
 
@@ -244,8 +290,8 @@ def _scan(shared):
 
 
 def scan_licences(docs: DataFrame, confirm: float = 0.6, sample_docs: int = 1_000, sample_lines: int = 4_000, seed: int = 1) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) of each line of ``docs`` (doc_id, text) that the classifier
-    names; lines count from 0, blank ones too. ``confirmed`` says that a template of the family shares at least ``confirm`` of the word pairs.
+    """(doc_id, paragraph, family, probability, similarity, confirmed) of each line of ``docs`` (doc_id, text) at which the classifier
+    names a family in the line or a window, one row for each family; lines count from 0, blank ones too. ``confirmed`` says that a template of the family shares at least ``confirm`` of the word pairs.
 
     Unknown examples are the first ``sample_lines`` lines of at most ``sample_docs`` documents, in the order of a hash of
     doc_id. Null and empty texts have no lines; rows without doc_id are scanned as any other; repeated rows give repeated results;
@@ -263,7 +309,7 @@ def scan_licences(docs: DataFrame, confirm: float = 0.6, sample_docs: int = 1_00
 
 
 def document_licences(docs: DataFrame, **options) -> DataFrame:
-    """One row per doc_id with a named paragraph: doc_id, families (of confirmed paragraphs, sorted, joined by commas), n_paragraphs, n_confirmed, probability (the largest)."""
+    """One row per doc_id with a named paragraph (null as one id; rows that share an id together; others have none): doc_id, families (of confirmed paragraphs, sorted, joined by commas), n_paragraphs, n_confirmed, probability (the largest)."""
     found = scan_licences(docs, **options)
     families = F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")  # at most as many as there are families
     return found.groupBy("doc_id").agg(families.alias("families"), F.count("*").alias("n_paragraphs"), F.count_if("confirmed").alias("n_confirmed"), F.max("probability").alias("probability"))
