@@ -33,7 +33,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compaction.compacted(table(spark, sf_dir, "documents"), scratch(spark, "store"))
-    return rows.select("doc_id", "shard", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
+    return rows.select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,6 @@ _WARC = f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce
 f as (select *, min(page_id) over (partition by html) as first from p)
 select page_id, octet_length(encode(html)) as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f"""
 
-SQL: dict[str, str] = {"op3_near_dedup": _NEAR, "op9_warc": _WARC}
+_STORED = "select doc_id, cast(octet_length(encode(text)) as int) as n_bytes, md5(text) as text_md5 from documents"
+
+SQL: dict[str, str] = {"op3_near_dedup": _NEAR, "op5_compaction": _STORED, "op9_warc": _WARC}
