@@ -62,6 +62,23 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}{i or ''}") not in taken)
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a distinct number for each row, in the order of doc_id (nulls last), and the column's name. Where doc_id is
+    distinct and never null it is the number itself; otherwise rows are sorted, numbered and written, so that
+    the numbers stay the same whenever they are read."""
+    key = free_name(docs, "row_key")
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    parts, order = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_last()
+    return materialise(docs.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 class WordHashes(dict):
     """64-bit hashes of words; keeps those of the first ``most`` distinct words, which bounds its memory."""
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, small, uniform
+from .common import WORD, free_name, materialise, small, uniform, with_key
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -86,8 +86,8 @@ def mix(docs: DataFrame, block_words: int | None = 128, shards: int = 16, weight
     documents: doc_id, size, source_size, target and row, one row per row of ``docs`` (doc_id, text, source). Null and empty
     texts have size 0. Rows that share a doc_id are documents of their own; a null source is a source.
     blocks: row, doc_id, epoch, block, words, shard, place - the mix itself: ``place`` orders a shard. Pass ``epoch`` takes
-    block ``block`` of a document; of the last pass, blocks are taken in random order until the target is met as nearly as
-    whole blocks allow. An empty table gives empty results.
+    block ``block`` of a document; of the last pass, blocks that aren't longer than twice what is missing are taken in random order until
+    one more would lead away from the target, which a source so misses by at most half of one of these blocks. An empty table gives empty results.
     """
     if shards & (shards - 1) or shards < 1:
         raise ValueError("shards must be a power of two")
@@ -106,6 +106,7 @@ def mix(docs: DataFrame, block_words: int | None = 128, shards: int = 16, weight
     cells = cells.withColumn("words", F.least("width", F.col("size") - F.col("block") * F.col("width"))).withColumn("u", uniform("doc_id", "block", "epoch", seed=seed))
     cells = cells.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("n") / _BUCKET)))
     cells = materialise(cells.select("row", "doc_id", "ix", "epoch", "block", "words", "u", "bucket", "n", "full", "rest"), "cells")
+    cells = cells.where("epoch < full or words <= 2 * rest")  # what can't fit must not stand in the way of what can
     sums = cells.groupBy("ix", "epoch", "bucket").agg(F.count("*").alias("c"), F.sum("words").alias("w"))
     before = Window.partitionBy("ix", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket of blocks
     sums = sums.select("ix", "epoch", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
@@ -128,7 +129,9 @@ def mix(docs: DataFrame, block_words: int | None = 128, shards: int = 16, weight
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted), n_shards (that hold some of it)."""
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted), n_shards
+    (that hold some of it). Null and empty texts have size 0 and are never taken; rows without doc_id or with a repeated one count
+    by themselves; a null source is a source; other columns are ignored; an empty table gives an empty result."""
     documents, blocks = mix(docs, **options)
     taken = blocks.groupBy("row").agg(F.sum("words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
     out = documents.join(taken, "row", "left")
@@ -136,13 +139,15 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as a mix of whole documents takes them, in shards, each in a random order: rows of a
-    document that isn't taken go, repeats are rows of their own. Documents without words take no part and are kept as they
-    are. The columns are those of ``docs``; rows without or with a repeated doc_id are taken as often as their ids' rows are on average, rounded up."""
-    documents, blocks = mix(docs, block_words=None, **options)
-    times = documents.join(blocks.groupBy("row").count(), "row", "left").groupBy("doc_id").agg(F.ceil(F.avg(F.when(F.col("size") == 0, 1).otherwise(F.coalesce("count", F.lit(0))))).cast("int").alias("svlake_times")).withColumnRenamed("doc_id", "svlake_id")
-    out = docs.join(times, docs.doc_id.eqNullSafe(F.col("svlake_id"))).where("svlake_times > 0")
-    return out.withColumn("svlake_times", F.explode(F.sequence(F.lit(1), "svlake_times"))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` (doc_id, text, source, ...) as often as a mix of whole documents takes them, in any order: rows of a
+    document that isn't taken go, repeats are rows of their own. Rows without words take no part and are kept as they
+    are. The columns are those of ``docs``; each row counts by itself, whether its doc_id is null or that of others too."""
+    rows, key = with_key(docs)
+    documents, blocks = mix(rows.select(F.col(key).alias("doc_id"), "text", "source"), block_words=None, **options)
+    times = free_name(rows, "times")
+    often = documents.join(blocks.groupBy("row").count(), "row", "left").select(F.col("doc_id").alias(key), F.when(F.col("size") == 0, 1).otherwise(F.coalesce("count", F.lit(0))).cast("int").alias(times))
+    taken = rows.join(often.where(F.col(times) > 0), key)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def block_texts(docs: DataFrame, block_words: int = 128, **options) -> DataFrame:

@@ -177,7 +177,7 @@ def near_duplicates(
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the smallest
-    doc_id reachable over links. Null and empty texts have no shingles and no links. Rows that share a doc_id are one node.
+    doc_id reachable over links. Null and empty texts have no shingles and no links. Rows that share a doc_id are one node with the links of all their texts.
     Rows without doc_id take no part; their component_id is null and they are kept. An empty table gives an empty result.
     """
     spark, hashes = docs.sparkSession, bands * rows // BATCH * BATCH
@@ -219,7 +219,10 @@ def near_duplicates(
         several = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "rep").alias("led")).where("lo <> hi")
         return materialise(seen.join(several.select("bucket", "led"), "bucket"), "open")
 
-    found = links(sketched(met.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a"))))
+    several = materialise(named.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    texts = named.join(several, "doc_id").select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep").distinct()
+    bridges = texts.groupBy("doc_id").agg(F.min("rep").alias("a")).join(texts, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    found = links(sketched(met.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")))).union(bridges)
     reached = components(found)
     tried = None
     while True:
@@ -240,6 +243,9 @@ def near_duplicates(
     own = meets.join(often, "leader").groupBy("rep").agg(F.max_by("leader", F.struct("f", -F.col("leader"))).alias("pivot"))
     own = materialise(own, "pivots")
     jumped = own.join(own.select(F.col("rep").alias("pivot"), F.col("pivot").alias("next")), "pivot", "left").select("rep", F.coalesce("next", "pivot").alias("pivot"))
+    # Ids with several texts are compared by their sketches: they have no single set to differ from another.
+    for k in ("rep", "pivot"):
+        jumped = jumped.join(several.withColumnRenamed("doc_id", k), k, "left_anti")
     members = materialise(left_over.select("rep", "component").distinct().join(jumped, "rep"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).union(members.select("pivot")).distinct()
     sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, False), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")

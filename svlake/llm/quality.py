@@ -82,9 +82,10 @@ def _score(ratios):
     def run(batches):
         w = ratios.value
         for batch in batches:
-            found = [features(t) for t in batch.column(1).to_pylist()]
+            found = [features(t) for t in batch.column("text").to_pylist()]
             n = [(f < UNI).sum() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([float(w[f].sum()) for f in found], pa.float64())], ["doc_id", "n_tokens", "log_ratio"])
+            made = [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array([float(w[f].sum()) for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "row", "n_tokens", "log_ratio"])
 
     return run
 
@@ -129,21 +130,22 @@ def gumbel_top_k(weighted: DataFrame, by: list[str], k: int | None, temperature:
     return keyed.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(least), F.lit(False)))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, clip: float = CLIP, seed: int = 11, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_weight, sample_key, kept.
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, clip: float = CLIP, seed: int = 11, max_labelled: int = MAX_LABELLED, key: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_weight, sample_key, kept, and the column ``key`` if
+    rows have a number of their own there.
 
     ``labels`` (doc_id, quality): rows without either are ignored, of repeated ids the lower quality counts, and at most
     ``max_labelled`` rows are used, in the order of a hash of doc_id. Texts that are null or have no token have no weight
-    and are never drawn. Equal rows share their key and their fate; documents that tie at the k-th key are all drawn. Without
+    and are never drawn. Equal rows share their sample key and their fate unless ``key`` tells them apart; documents that tie at the k-th key are all drawn. Without
     labels of good documents there is no target: all weights are zero and, unless ``k`` is given, every text with tokens
     is kept. Rows without doc_id are scored as any other. Other columns of ``docs`` are ignored.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(key or "doc_id").cast("long").alias("row"))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, known))
-    scored = materialise(docs.mapInArrow(_score(ratios), "doc_id long, n_tokens long, log_ratio double"), "scored")
+    scored = materialise(docs.mapInArrow(_score(ratios), "doc_id long, row long, n_tokens long, log_ratio double"), "scored")
     mean = F.col("log_ratio") / F.greatest("n_tokens", F.lit(1))
     labelled = scored.where("n_tokens > 0").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(mean), F.min("quality"))
     pairs = [(r[1], r[2]) for r in labelled.collect()]  # a row per labelled id, max_labelled at most
@@ -153,5 +155,5 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     else:
         weight = F.col("log_ratio") - F.lit(boundary(pairs)) * F.col("n_tokens")
         scored = scored.withColumn("log_weight", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(-clip), F.least(F.lit(clip), weight))))
-    drawn = gumbel_top_k(scored, ["doc_id", "n_tokens", "log_ratio"], k, temperature, seed)
-    return drawn.select("doc_id", "n_tokens", "log_weight", "sample_key", "kept")
+    drawn = gumbel_top_k(scored, ["row", "n_tokens", "log_ratio"], k, temperature, seed)
+    return drawn.select("doc_id", "n_tokens", "log_weight", "sample_key", "kept", *([F.col("row").alias(key)] if key else []))

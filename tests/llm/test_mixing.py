@@ -101,3 +101,31 @@ def test_block_texts(spark):
     assert {r.text for r in got} <= {"a b", "c d", "e", "f g"}
     whole = M.mixed_documents(docs, shards=2).collect()
     assert {tuple(r) for r in whole} <= {(1, "a b  c\nd e", "s"), (2, "f g", "t")}
+
+
+def test_long_documents_do_not_stop_a_pass(spark):
+    """A document that can't fit leaves room for those that can; a source misses its target by half a document at most."""
+    rows = [(1, "long " * 90, "a")] + [(k, "w", "a") for k in range(2, 12)] + [(50 + k, "b " * (1 + k % 7), "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for seed in range(3):
+        got = M.mix(docs, block_words=None, shards=2, weights=(1, 9), seed=seed)
+        taken = got[1].groupBy("doc_id").agg(F.sum("words").alias("taken"))
+        r = got[0].join(taken, "doc_id", "left").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        for x in r:
+            assert abs((x.taken or 0) - x.target) <= (x.target if x.source == "a" else 4)
+        assert next(x.taken or 0 for x in r if x.source == "a") > 0
+
+
+def test_rows_without_or_with_repeated_ids_count_by_themselves(spark):
+    rows = [(None, "a " * 10, "a", "x"), (None, "a " * 20, "a", "x"), (3, "a " * 5, "a", "y"), (3, "b " * 40, "b", "y"), (4, "", "b", None), (5, None, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times string").withColumn("row_key", F.lit(1))
+    out = M.mixed_documents(docs, shards=2)
+    assert out.columns == docs.columns
+    count = Counter((r.doc_id, r.text) for r in out.collect())
+    assert count[4, ""] == count[5, None] == 1
+    sizes = {"a": 35, "b": 40}
+    want = fill(sizes | {"c": 0})
+    for source, n in sizes.items():
+        taken = sum(len(t.split()) * k for (_, t), k in count.items() if t and t[0] == source)
+        assert abs(taken - want[source]) <= 20
+        assert all(k <= 3 for k in count.values())

@@ -71,3 +71,27 @@ def test_pruning_bound():
     steps = near_dedup.least_matches(0.8, 1e-6, 96, 32)
     assert [n for n, _ in steps] == [32, 64, 96]
     assert all(0 < m < 0.8 * n for n, m in steps)
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    """Every text of a repeated id links, whichever comes first; brute force over all texts of an id."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    change = lambda w: " ".join(x if rng.random() > 0.01 else f"z{rng.random()}" for x in w)
+    rows = [(i, change(base[i % 6])) for i in range(30)] + [(40, change(base[0])), (40, change(base[1])), (41, change(base[3])), (41, " ".join(base[2])), (41, "alone"), (5, change(base[4]))]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, t) in enumerate(rows):
+        for j, u in rows[n + 1 :]:
+            s, v = shingles(t, 2), shingles(u, 2)
+            if 100 * len(s & v) >= 80 * len(s | v):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), words=2).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, root(i)) for i, _ in rows}
