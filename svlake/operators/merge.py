@@ -25,7 +25,6 @@ def union_first(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
 def union_interleaved(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     """Calls of the first set in order, matched ones with the fused id, each followed by the calls of the second set that its
     match skipped; those behind a chromosome's last match come at its end. Ordered by (chrom, anchor, anchor_ord, kind, pos, ord)."""
-    order = Window.partitionBy("chrom").orderBy("pos", "ord")
     ids = matches.join(b.select(F.col("ord").alias("j"), F.col("id").alias("id2")), "j")
     first = a.join(ids.withColumnRenamed("i", "ord"), "ord", "left")
     first = first.withColumn("id", F.when(F.col("id2").isNotNull(), V.fused_id(F.col("id"), F.col("id2"))).otherwise(F.col("id")))
@@ -33,9 +32,14 @@ def union_interleaved(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFra
     # The next match of the second set, in its order, anchors the calls before it.
     met = matches.join(a.select(F.col("ord").alias("i"), F.col("pos").alias("ai")), "i").withColumnRenamed("j", "ord")
     second = b.join(met, "ord", "left")
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    anchor = F.first(F.when(F.col("i").isNotNull(), F.struct("ai", "i")), ignorenulls=True).over(ahead)
-    second = second.withColumn("next", anchor).where("i is null")
+    # Tile by tile from the right: a running last value, and behind a tile's last match the next tile's first.
+    second = second.withColumn("tile", F.floor(F.col("pos") / (M.TILE_CELLS * M.POS)))
+    back = Window.partitionBy("chrom", "tile").orderBy(F.desc("pos"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    anchor = F.last(F.when(F.col("i").isNotNull(), F.struct("ai", "i")), ignorenulls=True).over(back)
+    heads = second.groupBy("chrom", "tile").agg(F.min(F.when(F.col("i").isNotNull(), F.struct("pos", "ord", F.struct("ai", "i").alias("m")))).alias("head"))
+    right = Window.partitionBy("chrom").orderBy(F.desc("tile")).rowsBetween(Window.unboundedPreceding, -1)  # a row per tile
+    heads = heads.select("chrom", "tile", F.last("head.m", ignorenulls=True).over(right).alias("then"))
+    second = second.withColumn("next", anchor).where("i is null").join(heads, ["chrom", "tile"]).withColumn("next", F.coalesce("next", "then"))
     second = second.select(*b.columns, F.coalesce("next.ai", F.lit((1 << 62))).alias("anchor"), F.coalesce("next.i", F.lit(1 << 62)).alias("anchor_ord"), F.lit(1).alias("kind"))
     return first.unionByName(second)
 
@@ -56,6 +60,19 @@ def fuse(sets: list[DataFrame], checkpoint: Callable[[DataFrame], DataFrame], po
     return reduce(lambda x, y: checkpoint(union_merged(x, y, pos, length).select(*x.columns)), tagged[1:], tagged[0])
 
 
+def placed(rows: DataFrame, order: list[str], by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in the order of ``order``, within each group of ``by``. Rows are dealt by ranges of (by, order), written,
+    numbered within their range and start where the ranges before it end."""
+    by = by or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = M._kept(rows.repartitionByRange(parts, *by, *order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "range").count()
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = counts.select(*by, "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy(*by, "range").orderBy(*order))
+    return ranged.withColumn(name, n.cast("bigint")).join(counts, [*by, "range"]).withColumn(name, F.col(name) + F.col("before")).drop("range", "before")
+
+
 def renumbered(calls: DataFrame, tool: str) -> DataFrame:
     """``new_id``: tool.TYPE.n with a counter from 0 for INS, DEL and OTHER each, in file order. Counters run over ranges of
     ``ord``: a range's rows are numbered by themselves and start where the ranges before it end, so no type meets in one task."""

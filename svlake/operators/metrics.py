@@ -52,14 +52,14 @@ def auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def macro_auc(curve: DataFrame, by: str = "class") -> DataFrame:
     """One row: the area under the mean of the classes' curves, each interpolated linearly at every class's fpr."""
-    classes = curve.select(by).distinct()
+    classes = F.broadcast(curve.select(by).distinct())  # a row per class
     top = curve.groupBy(by, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
-    grid = classes.crossJoin(F.broadcast(curve.select("fpr").distinct()))  # classes (a few) x points
+    grid = curve.select("fpr").distinct().crossJoin(classes)  # each point for each of the few classes
     points = grid.join(top, [by, "fpr"], "left")
     back = Window.partitionBy(by).orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(by).orderBy(F.desc("fpr")).rowsBetween(Window.unboundedPreceding, 0)  # a running value; a frame to the end would be read anew for each row
     known = F.when(F.col("hi").isNotNull(), F.struct("fpr", "hi", "lo"))
-    points = points.withColumns({"a": F.last(known, ignorenulls=True).over(back), "b": F.first(known, ignorenulls=True).over(ahead)})
+    points = points.withColumns({"a": F.last(known, ignorenulls=True).over(back), "b": F.last(known, ignorenulls=True).over(ahead)})
     x0, y0 = F.coalesce("a.fpr", F.lit(0.0)), F.coalesce("a.hi", F.lit(0.0))
     slope = F.try_divide(F.col("b.lo") - y0, F.col("b.fpr") - x0)
     points = points.withColumn("y", F.coalesce("hi", y0 + slope * (F.col("fpr") - x0)))

@@ -35,11 +35,11 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, line: header lines (negative ord), then a line per call."""
     body = calls(spark, sf_dir).selectExpr(
         "ord",
-        "concat(chrom, '\\t', pos, '\\t', id, '\\t', 'N', '\\t', '<', svtype, '>', '\\t', '.', '\\t', 'PASS', '\\t', "
+        "explode(array(concat(chrom, '\\t', pos, '\\t', id, '\\t', 'N', '\\t', '<', svtype, '>', '\\t', '.', '\\t', 'PASS', '\\t', "
         "case when k % 5 = 0 then 'IMPRECISE;' else 'PRECISE;' end, 'SVTYPE=', svtype, "
         "case when svlen is null then '' else concat(';SVLEN=', case when svtype = 'DEL' then -svlen else svlen end) end, "
         "case when k % 3 = 0 then concat(';CIPOS=-', k, ',', k) else '' end, case when k % 4 = 0 then concat(';CIEND=-', k, ',', k) else '' end, "
-        "case when svtype = 'DEL' and k % 2 = 0 then concat(';END=', pos + svlen) else '' end, '\\t', 'GT', '\\t', '0/1') as line",
+        "case when svtype = 'DEL' and k % 2 = 0 then concat(';END=', pos + svlen) else '' end, '\\t', 'GT', '\\t', '0/1'))) as line",  # made once, not anew in each expression that reads it
     )
     head = sizes(spark).select((F.col("chrom").cast("bigint") - 100).alias("ord"), F.format_string("##contig=<ID=%s,length=%d>", "chrom", "len").alias("line"))
     first = spark.range(1).select(F.lit(-200).cast("bigint").alias("ord"), F.lit("##fileformat=VCFv4.2").alias("line"))

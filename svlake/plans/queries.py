@@ -105,15 +105,16 @@ def win_exclusion_hits(spark, d):
     return windows.near_calls(c.where("svtype = 'BND'").select("ord", "chrom", F.col("pos").alias("at")), c.where("svtype in ('INS', 'DEL')"))
 
 
-_DRAW = "cast('0x' || substr(md5(concat(id, ':', copy, ':', attempt)), 1, 8) as bigint) % {len} + 1"
-
-
+# Free stretches between the zones of neighbouring calls; the start is the drawn place among the free ones that fit.
 @query(
-    _DEL + _WIN_DEL.format(stop=_STRICT, len=X.CHROM_LEN) + f""", tries as (select w.id, w.chrom, w."end" - w."begin" as n, c.copy, t.attempt, {_DRAW.format(len=X.CHROM_LEN)} as start
-  from win_del w, (select unnest(range(2)) as copy) c, (select unnest(range(8)) as attempt) t where w."end" > w."begin"),
-clamped as (select id, chrom, copy, attempt, start, n, greatest(0, start - 1 - 1024) as "begin", case when start - 1 - 1024 + n >= {X.CHROM_LEN} then {X.CHROM_LEN - 1} else start - 1 - 1024 + n end as "end" from tries),
-free as (select * from clamped f where "end" - "begin" >= n // 2 + 1 and not exists (select 1 from calls z where z.svtype in ('INS', 'DEL') and z.chrom = f.chrom and f.start between z.pos - 1024 and z.pos + 1023))
-select id, copy, chrom, start, "begin", "end" from free qualify row_number() over (partition by id, copy order by attempt) = 1"""
+    _DEL + _WIN_DEL.format(stop=_STRICT, len=X.CHROM_LEN) + f""", w as (select *, "end" - "begin" as n, greatest(1, ("end" - "begin") // 2 + 1026 - ("end" - "begin")) as lo, least({X.CHROM_LEN}, {X.CHROM_LEN} + 1023 - ("end" - "begin") // 2) as hi from win_del where "end" > "begin"),
+z as (select distinct chrom, pos from calls where svtype in ('INS', 'DEL')), names as (select unnest(['1', '2', '3', '4']) as chrom),
+f as (select chrom, coalesce(lag(pos) over (partition by chrom order by pos) + 1024, 1) as s, least(pos - 1025, {X.CHROM_LEN}) as e from z union all select names.chrom, coalesce(max(pos) + 1024, 1), {X.CHROM_LEN} from names left join z using (chrom) group by names.chrom),
+fr as (select chrom, greatest(s, 1) as s, e, sum(e - greatest(s, 1) + 1) over (partition by chrom order by s) - (e - greatest(s, 1) + 1) as before from f where e >= greatest(s, 1)),
+c as (select w.id, w.chrom, w.n, cast(sum(greatest(0, least(w.lo - 1, g.e) - g.s + 1)) as bigint) as below, cast(sum(greatest(0, least(w.hi, g.e) - g.s + 1)) as bigint) as upto from w join fr as g using (chrom) where w.lo <= w.hi group by all),
+t as (select c.*, k.copy, below + cast('0x' || substr(md5(concat(id, ':', k.copy)), 1, 15) as bigint) % (upto - below) as nth from c, (select unnest(range(2)) as copy) k where upto > below),
+p as (select t.*, g.s + nth - g.before as start from t join fr as g on g.chrom = t.chrom and nth >= g.before and nth < g.before + g.e - g.s + 1)
+select id, copy, chrom, cast(start as bigint) as start, cast(greatest(0, start - 1025) as bigint) as "begin", cast(case when start - 1025 + n >= {X.CHROM_LEN} then {X.CHROM_LEN - 1} else start - 1025 + n end as bigint) as "end" from p"""
 )
 def win_negatives(spark, d):
     zone = X.calls(spark, d).where("svtype in ('INS', 'DEL')")
@@ -135,7 +136,8 @@ def win_read_counts(spark, d):
 
 @query(_COUNTS + ", placed as (select chrom, pos, id, n, rank() over (partition by chrom order by n desc, pos, id) as place from counts) select chrom, id, place from placed")
 def win_read_counts_sorted(spark, d):
-    return _counts(spark, d).select("chrom", "id", F.rank().over(Window.partitionBy("chrom").orderBy(F.desc("n"), "pos", "id")).cast("bigint").alias("place"))
+    c = _counts(spark, d).select("chrom", "id", "pos", (-F.col("n")).alias("few"))
+    return merge.placed(c, ["few", "pos", "id"], ["chrom"]).select("chrom", "id", "place")
 
 
 @query(_COUNTS + " select chrom, id, n, row_number() over (partition by chrom order by n desc, id) as nth from counts qualify nth <= 10")
@@ -219,7 +221,7 @@ def sv_diff_precise(spark, d):
 def sv_merge_precise(spark, d):
     a, b = _ab(spark, d)
     u = merge.union_first(a, b, match.forward_match(a, b))
-    return u.select(F.row_number().over(Window.orderBy("section", "chrom", "pos", "ord")).cast("bigint").alias("place"), "ord")
+    return merge.placed(u, ["section", "chrom", "pos", "ord"]).select("place", "ord")
 
 
 @query(
@@ -232,8 +234,7 @@ select chrom, row_number() over (partition by chrom order by anchor, anchor_ord,
 def sv_merge_precise_id(spark, d):
     a, b = _ab(spark, d)
     u = merge.union_interleaved(a, b, match.forward_match(a, b))
-    place = F.row_number().over(Window.partitionBy("chrom").orderBy("anchor", "anchor_ord", "kind", "pos", "ord"))
-    return u.select("chrom", place.cast("bigint").alias("place"), "ord", "id")
+    return merge.placed(u, ["anchor", "anchor_ord", "kind", "pos", "ord"], ["chrom"]).select("chrom", "place", "ord", "id")
 
 
 @query(f"{_TWO} select i, j from m")
@@ -250,13 +251,13 @@ def sv_diff_imprecise(spark, d):
 @query(f"{_TWO} select chrom, row_number() over (partition by chrom order by p + q) as place, coalesce(i, j) as ord from steps where i is not null or j is not null")
 def sv_merge_imprecise(spark, d):
     u = merge.union_merged(*_ab(spark, d))
-    return u.select("chrom", F.row_number().over(Window.partitionBy("chrom").orderBy("tile", "step")).cast("bigint").alias("place"), "ord")
+    return merge.placed(u, ["tile", "step"], ["chrom"]).select("chrom", "place", "ord")
 
 
 @query()
 def sv_fuse_nway(spark, d):
     c = X.calls(spark, d).drop("caller", "k")
-    return merge.fuse([c.where(F.col("ord") % 3 == k) for k in range(3)], lambda x: x.checkpoint() if spark.sparkContext.getCheckpointDir() else x).select("chrom", "pos", "id")
+    return merge.fuse([c.where(F.col("ord") % 3 == k) for k in range(3)], match._kept).select("chrom", "pos", "id")
 
 
 @query(f"{_FORWARD} select count(*) as same, (select count(*) from a) - count(*) as dif1, (select count(*) from b) - count(*) as dif2 from m")
@@ -434,7 +435,7 @@ def emb_clean_rule(spark, d):
 @query()
 def emb_pca_kmeans(spark, d):
     v = X.vectors(spark, d).select("id", "vector")
-    return clean.cleaned(v.where("id >= 100"), v.where("id < 50"), v.where("id >= 50 and id < 100"), dims=16).select("id")
+    return clean.cleaned(v.where("id >= 100"), v.where("id < 50"), v.where("id >= 50 and id < 100")).select("id")
 
 
 # -- scores ----------------------------------------------------------------------------------------------------------
@@ -502,7 +503,15 @@ def roc_auc_micro(spark, d):
     return metrics.auc(metrics.roc(both)).select(F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(
+    _ROC.format(by="lang,", rows="scored", part="partition by lang") + """, top as (select lang, fpr, max(tpr) as hi, min(tpr) as lo from roc group by all), pts as (select distinct fpr from roc),
+grid as (select k.lang, p.fpr from pts p, (select distinct lang from roc) k),
+v as (select g.lang, g.fpr, t.hi, a.fpr as ax, a.hi as ay, b.fpr as bx, b.lo as by_ from grid g left join top t on t.lang = g.lang and t.fpr = g.fpr
+  asof left join top a on a.lang = g.lang and g.fpr >= a.fpr asof left join top b on b.lang = g.lang and g.fpr <= b.fpr),
+y as (select lang, fpr, coalesce(hi, coalesce(ay, 0) + (by_ - coalesce(ay, 0)) / nullif(bx - coalesce(ax, 0), 0) * (fpr - coalesce(ax, 0))) as y from v),
+m as (select fpr, avg(y) as tpr from y group by fpr),
+n as (select fpr, tpr, coalesce(lag(fpr) over (order by fpr), 0) as x0, coalesce(lag(tpr) over (order by fpr), 0) as y0 from m) select round(sum((fpr - x0) * (tpr + y0) / 2), 6) as auc from n"""
+)
 def roc_auc_macro(spark, d):
     curve = metrics.roc(X.scored(spark, d), ["lang"]).withColumnRenamed("lang", "class")
     return metrics.macro_auc(curve).select(F.round("auc", 6).alias("auc"))

@@ -39,9 +39,9 @@ def contigs(lines: DataFrame) -> DataFrame:
 
 def records(lines: DataFrame) -> DataFrame:
     """Data lines split into columns; other columns of ``lines`` are kept. pos is a number, all else text."""
-    parts = F.split(F.rtrim("line"), "\t")
-    out = body(lines).withColumn("f", parts)
-    return out.select(*lines.columns, *[(F.when(~F.startswith(F.col("line"), F.lit("#")), F.get("f", F.lit(i)).cast("bigint")) if c == "pos" else F.get("f", F.lit(i))).alias(c) for i, c in enumerate(COLUMNS)])
+    # A generator of one row: the line is split once, not anew in each expression that reads a field.
+    out = body(lines).select(*lines.columns, F.explode(F.array(F.split(F.rtrim("line"), "\t"))).alias("f"))
+    return out.select(*lines.columns, *[(F.get("f", F.lit(i)).cast("bigint") if c == "pos" else F.get("f", F.lit(i))).alias(c) for i, c in enumerate(COLUMNS)])
 
 
 def calls(lines: DataFrame) -> DataFrame:

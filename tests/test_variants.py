@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -263,3 +264,27 @@ def test_metrics_small(spark):
     assert metrics.auc(metrics.roc(rows)).first().auc == pytest.approx(0.75)
     by = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.8), ("b", 0, 0.9), ("b", 1, 0.8)], "class string, y int, score double")
     assert metrics.macro_auc(metrics.roc(by, ["class"])).first().auc == pytest.approx(0.75)  # mean curve (0, 0.5), (1, 1)
+
+
+def test_negatives_fit_whenever_a_start_is_free(spark):
+    """Dense zones with few free bases: every copy has a window, its start is free, and lies where brute force says that starts fit."""
+    rng = np.random.default_rng(6)
+    gap, size = 1024, 300_000
+    pos = sorted({*range(500, 120_000, 2000), *rng.integers(120_000, size, 200).tolist(), 70_001})
+    calls = spark.createDataFrame([("1", int(p)) for p in pos] + [("2", 5)], "chrom string, pos long")
+    sizes = spark.createDataFrame([("1", size), ("2", 5000), ("3", 900)], "chrom string, len long")
+    dels = [(f"d{i}", "1", 1000 * i, 1000 * i + int(n)) for i, n in enumerate(rng.integers(2, 60_000, 40))] + [("e", "2", 10, 4000), ("f", "3", 0, 700), ("g", "2", 0, 9_999)]
+    got = windows.negative_windows(spark.createDataFrame(dels, "id string, chrom string, begin long, end long"), calls, sizes, copies=3).collect()
+    length, zone, found = {"1": size, "2": 5000, "3": 900}, {"1": pos, "2": [5], "3": []}, Counter()
+    for i, c, b, e in dels:
+        at = np.arange(1, length[c] + 1)
+        begin, end = np.maximum(0, at - 1 - gap), at - 1 - gap + (e - b)
+        end = np.where(end >= length[c], length[c] - 1, end)
+        fits = end - begin >= (e - b) // 2 + 1
+        for p in zone[c]:
+            fits[max(0, p - gap - 1) : max(0, p + gap - 1)] = False
+        found[i] = 3 * bool(fits.any())
+        for r in (r for r in got if r.id == i):
+            assert fits[r.start - 1]
+            assert (r.begin, r.end) == (begin[r.start - 1], end[r.start - 1])
+    assert Counter(r.id for r in got) == +found
