@@ -19,6 +19,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def mean_row_cosine(a: Column, b: Column) -> Column:
+    """The mean of the cosines of two matrices' rows (arrays of arrays, equally many); a zero row counts as 0."""
+    rows = F.zip_with(a, b, lambda x, y: F.coalesce(cosine(x, y), F.lit(0.0)))
+    return F.try_divide(total(rows), F.size(rows))
+
+
+def matrix_cosine(a: Column, b: Column) -> Column:
+    """The sum of the products of all entries by both Frobenius norms: the cosine of the flattened matrices."""
+    return cosine(F.flatten(a), F.flatten(b))
+
+
+# Mean and deviation of the colours that the image network was trained with.
+CHANNEL_MEAN, CHANNEL_DEVIATION = (0.485, 0.458, 0.406), (0.229, 0.224, 0.225)
+
+
+def rgb_normalised(grey: Column, wrap: bool = False) -> Column:
+    """Three channels of grey values 0 to 255, (x / 255 - mean) / deviation each. With ``wrap`` values are first multiplied by 255 and cut to
+    a byte, as image converters do with floating values (127 becomes 129, 255 becomes 1)."""
+    x = lambda v: (F.pmod(v.cast("long") * 255, F.lit(256)) if wrap else v).cast("double") / 255
+    channel = lambda m, d: F.transform(grey, lambda v: (x(v) - m) / d)
+    return F.array(*map(channel, CHANNEL_MEAN, CHANNEL_DEVIATION))
+
+
 def min_max(values: Column) -> Column:
     """(x - min) / (max - min); null elements if all are equal."""
     low, high = F.array_min(values), F.array_max(values)
@@ -55,3 +78,16 @@ def resized_row(row: Column, width: int, to: int) -> Column:
         return F.round(F.element_at(row, low + 1) * (1 - part) + F.element_at(row, high + 1) * part).cast("int")
 
     return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)
+
+
+def resized_centred(row: Column, width: int, to: int) -> Column:
+    """A row of ``width`` values at ``to`` places, linear between neighbours, pixel centres on pixel centres: x = (i + 0.5) * width / to - 0.5,
+    held within the row; not rounded."""
+
+    def at(i: Column) -> Column:
+        x = F.least(F.greatest((i.cast("double") + 0.5) * (width / to) - 0.5, F.lit(0.0)), F.lit(float(width - 1)))
+        low = F.floor(x).cast("int")
+        part = x - low
+        return F.element_at(row, low + 1) * (1 - part) + F.element_at(row, F.least(low + 1, F.lit(width - 1)) + 1) * part
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)

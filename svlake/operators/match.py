@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POS, LEN = 500, 100
@@ -46,18 +46,22 @@ def band_pairs(a: DataFrame, b: DataFrame, pos: int = POS, length: int = LEN, on
     return a.join(hit, "ord", "left_semi" if how == "left_semi" else "left_anti")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A table written to the folder that driver and executors share, and read back."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="svlake-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/svlake/tiles-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/svlake/{label}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A table written to the folder that driver and executors share, and read back."""
+    path = _shared(df.sparkSession, "tiles")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _equal(x: tuple, y: tuple, pos: int, length: int) -> bool:

@@ -47,6 +47,11 @@ def capped(pairs: DataFrame, keys: list[str], order: list[str], most: int = 10_0
     return pairs.withColumn("nth", at).where(F.col("nth") <= most).drop("nth")
 
 
+def nth_reads(reads: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Reads ``first`` to ``last``, counted from 0, the last one left out, in the order of ``order``."""
+    return reads.orderBy(*order).offset(first).limit(max(0, last - first))
+
+
 def top(counts: DataFrame, by: list[str], k: int = 10, tie: str = "id") -> DataFrame:
     """The k windows with most reads of each group, ties by id."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), tie))

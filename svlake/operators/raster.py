@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svlake.operators import overlap
@@ -32,16 +32,18 @@ class Scheme:
 
 WIDE = Scheme()
 NARROW = Scheme(around={0: (0, 1), 1: (1, 1), 2: (1, 1), 4: (0, 1)})
+TWO_LEVELS = Scheme(value={0: 127, 1: 63, 2: 191, 4: 255}, around={0: (0, 1), 1: (0.5, 0.5), 2: (0, 1), 4: (0.5, 0.5)})
+CLIPS_AS_MATCHES = Scheme(value={0: 127, 1: 255, 2: 0, 4: 127}, around={0: (0, 1), 1: (0.5, 0.5), 2: (0, 1), 4: (0.5, 0.5)})
 FOUR_LEVELS = Scheme(value={0: 63, 1: 191, 2: 127, 4: 255}, around={0: (0, 1), 1: (0.5, 0.5), 2: (0, 1), 4: (0.5, 0.5)})
 
 
-def spans(ops: np.ndarray, lens: np.ndarray, offset: int, width: int, scheme: Scheme) -> list[tuple[int, int, int]]:
-    """(from, to, value) in painting order, clamped to [0, width)."""
+def spans(ops: np.ndarray, lens: np.ndarray, offset: int, width: int, scheme: Scheme, zoom: int = 1) -> list[tuple[int, int, int]]:
+    """(from, to, value) in painting order, clamped to [0, width). ``zoom`` bases make a place of the row; ``width`` counts places."""
     out, at = [], offset
     for op, n in zip(ops.tolist(), lens.tolist(), strict=True):
         if op in scheme.value:
             lo, hi = scheme.around[op]
-            out.append((min(max(0, int(at - lo * n)), width), max(0, min(width, int(at + hi * n))), scheme.value[op]))
+            out.append((min(max(0, int((at - lo * n) / zoom)), width), max(0, min(width, int((at + hi * n) / zoom))), scheme.value[op]))
         if op in scheme.advance:
             at += n
     return out
@@ -57,13 +59,13 @@ def _round(x: np.ndarray) -> np.ndarray:
     return (np.sign(x) * np.floor(np.abs(x) + np.float32(0.5))).astype(np.int32)
 
 
-def row(ops: np.ndarray, lens: np.ndarray, offset: int, width: int, scheme: Scheme = WIDE, to: int = SIDE) -> np.ndarray:
-    """A read's row of ``width`` bases, resized to ``to`` values."""
+def row(ops: np.ndarray, lens: np.ndarray, offset: int, width: int, scheme: Scheme = WIDE, to: int = SIDE, zoom: int = 1) -> np.ndarray:
+    """A read's row of ``width`` places of ``zoom`` bases, resized to ``to`` values."""
     if width <= 0:
         return np.zeros(to, np.int32)
     low, high, part = _places(width, to)
     a, b = np.zeros(to, np.float32), np.zeros(to, np.float32)
-    for lo, hi, value in spans(ops, lens, offset, width, scheme):
+    for lo, hi, value in spans(ops, lens, offset, width, scheme, zoom):
         a[(low >= lo) & (low < hi)] = value
         b[(high >= lo) & (high < hi)] = value
     return _round(a * (1 - part) + b * part)
@@ -77,29 +79,61 @@ def stack(rows: np.ndarray, to: int = SIDE) -> np.ndarray:
     return _round(r[low] * (1 - part) + r[high] * part)
 
 
+def cigars(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each read's operations begin, and all operations and lengths, flat."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    flat, at = column.flatten(), np.asarray(column.offsets, dtype=np.int64)
+    return at - at[0], flat.field("op").to_numpy(zero_copy_only=False), flat.field("len").to_numpy(zero_copy_only=False)
+
+
 def _imager(scheme: Scheme, side: int, keys: list[str]):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([(c, "ascending") for c in ("nth",)]) if table.num_rows > 1 else table
-        lo, hi = min(rows.column("start0").to_pylist()), max(rows.column("end0").to_pylist())
-        made = [
-            row(np.array([c["op"] for c in cigar]), np.array([c["len"] for c in cigar]), start - lo, hi - lo, scheme, side)
-            for start, cigar in zip(rows.column("start0").to_pylist(), rows.column("cigar").to_pylist(), strict=True)
-        ]
-        pixels = stack(np.stack(made), side).astype(np.uint8).tobytes()
+        rows = table.sort_by([("nth", "ascending")]) if table.num_rows > 1 else table
+        start, end = rows.column("start0").to_numpy(), rows.column("end0").to_numpy()
+        at, ops, lens = cigars(rows.column("cigar"))
+        lo, width = int(start.min()), int(end.max() - start.min())
+        made = np.stack([row(ops[i:j], lens[i:j], int(s) - lo, width, scheme, side) for i, j, s in zip(at[:-1], at[1:], start, strict=True)])
+        pixels = stack(made, side).astype(np.uint8).tobytes()
         out = {k: rows.column(k).slice(0, 1) for k in keys}
         return pa.table({**out, "n_reads": pa.array([len(made)], pa.int64()), "pixels": pa.array([pixels], pa.binary())})
 
     return run
 
 
+def column_sums(reads: DataFrame, keys: list[str], scheme: Scheme = WIDE) -> DataFrame:
+    """keys, x, grey, reads: over the rows of all reads (keys, width, cigar), each painted by itself from its start, the sum of the values at
+    place x and how many rows reach it. Batches are summed before they are shuffled."""
+
+    def sums(batches):
+        for b in batches:
+            at, ops, lens = cigars(b.column("cigar"))
+            held: dict[tuple, list[np.ndarray]] = {}
+            for n, (width, *key) in enumerate(zip(b.column("width").to_pylist(), *[b.column(k).to_pylist() for k in keys], strict=True)):
+                both = held.setdefault(tuple(key), [np.zeros(0, np.int64), np.zeros(0, np.int64)])
+                if len(both[0]) < width:
+                    both[:] = [np.concatenate([x, np.zeros(width - len(x), np.int64)]) for x in both]
+                line = np.zeros(max(width, 0), np.int64)
+                for lo, hi, v in spans(ops[at[n] : at[n + 1]], lens[at[n] : at[n + 1]], 0, len(line), scheme):
+                    line[lo:hi] = v
+                both[0][: len(line)] += line
+                both[1][: len(line)] += 1
+            out = [(k, x, c) for k, (x, c) in held.items()]
+            names = [pa.array([k[i] for k, x, _ in out for _ in range(len(x))], b.column(name).type) for i, name in enumerate(keys)]
+            numbers = [np.concatenate([np.zeros(0, np.int64), *y]) for y in ([np.arange(len(x)) for _, x, _ in out], [x for _, x, _ in out], [c for _, _, c in out])]
+            yield pa.RecordBatch.from_arrays([*names, *map(pa.array, numbers)], [*keys, "x", "grey", "reads"])
+
+    kinds = dict(reads.dtypes)
+    made = reads.select(*keys, "width", "cigar").mapInArrow(sums, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x long, grey long, reads long")
+    return made.groupBy(*keys, "x").agg(F.sum("grey").alias("grey"), F.sum("reads").alias("reads"))
+
+
 def images(windows: DataFrame, reads: DataFrame, keys: list[str], order: list[str], scheme: Scheme = WIDE, side: int = SIDE, most: int = 10_000) -> DataFrame:
     """keys, n_reads, pixels (side * side bytes, row by row) of each window; one without reads has an image of zeros.
 
     At most ``most`` reads enter an image, in the order of ``order`` - a part of the encoding, and the bound of a window's group."""
-    pairs = overlap.capped(overlap.overlaps(windows.select(*keys, "chrom", "begin", "end"), reads), keys, order, most)
-    from pyspark.sql import Window
-
-    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    pairs = overlap.overlaps(windows.select(*keys, "chrom", "begin", "end"), reads)
+    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= most)
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_reads long, pixels binary"
     made = pairs.select(*keys, "start0", "end0", "cigar", "nth").groupBy(*keys).applyInArrow(_imager(scheme, side, keys), schema)
@@ -126,3 +160,36 @@ def bars(track: np.ndarray, height: int = SIDE) -> np.ndarray:
     top = track.max(initial=0)
     filled = np.zeros(len(track), int) if top <= 0 else (track * height // top).astype(int)
     return np.where(np.arange(height)[::-1, None] < filled[None, :], 255, 0).astype(np.uint8)
+
+
+def channel_rows(pairs: DataFrame, keys: list[str], width: int, half_clip: bool = False) -> DataFrame:
+    """``keys``, start0, pixels (4 * ``width`` bytes: M, I, D, S) for each read of ``pairs`` (keys, begin, start0, cigar): ``four_channels`` from the
+    window's begin on. ``width`` is the window's, or clip_width of its reads."""
+
+    def paint(batches):
+        for b in batches:
+            rows = zip(*[b.column(c).to_pylist() for c in ("begin", "start0", "cigar")], strict=True)
+            made = [four_channels([c["op"] for c in cigar], [c["len"] for c in cigar], start - begin, width, half_clip).tobytes() for begin, start, cigar in rows]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("start0"), pa.array(made, pa.binary())], [*keys, "start0", "pixels"])
+
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start0 long, pixels binary"
+    return pairs.select(*keys, "begin", F.col("start0").cast("long").alias("start0"), "cigar").mapInArrow(paint, schema)
+
+
+def clip_width(reads: DataFrame, by: list[str]) -> DataFrame:
+    """by, width: the mean extent of the reads plus three population deviations, rounded down."""
+    n = F.col("end0") - F.col("start0")
+    return reads.groupBy(*by).agg(F.floor(F.avg(n) + 3 * F.stddev_pop(n)).alias("width"))
+
+
+def bar_images(tracks: DataFrame, keys: list[str], height: int = SIDE) -> DataFrame:
+    """``keys``, width, pixels (height * width bytes, row by row) of rows (keys, values): the track as bars."""
+
+    def draw(batches):
+        for b in batches:
+            made = [bars(np.asarray(v, np.int64), height) for v in b.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array([m.shape[1] for m in made], pa.int32()), pa.array([m.tobytes() for m in made], pa.binary())], [*keys, "width", "pixels"])
+
+    kinds = dict(tracks.dtypes)
+    return tracks.select(*keys, "values").mapInArrow(draw, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", width int, pixels binary")

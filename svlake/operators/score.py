@@ -61,3 +61,19 @@ def scores_by(predict, rows: DataFrame, batch: int = 64):
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("nth = 1").drop("nth")
+
+
+def training_rows(positives: DataFrame, negatives: DataFrame, with_negatives: bool = True) -> DataFrame:
+    """Both sets, or with the switch off the positives alone; the columns are those of the positives."""
+    return positives.unionByName(negatives.select(*positives.columns)) if with_negatives else positives
+
+
+def same_counts(**sets: DataFrame) -> DataFrame:
+    """(name, n) of sets that must be aligned; reading it fails if their counts differ."""
+    counts = None
+    for name, rows in sets.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    ends = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))  # one row
+    checked = counts.crossJoin(ends).withColumn("ok", F.assert_true(F.col("lo") == F.col("hi"), F.lit("sets that should be aligned differ in their counts")))
+    return checked.where("ok is null").select("name", "n")

@@ -13,7 +13,7 @@ from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
 from svlake.operators import clean, match, merge, metrics, overlap, pileup, raster, score, windows
 from svlake.plans import fixtures as X
-from svlake.sources import vcf
+from svlake.sources import files, vcf
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -354,31 +354,33 @@ def base_stats9(spark, d):
 
 @query(f"with {X.READS}, w as (select chrom, end0 - start0 as n from reads) select chrom, cast(floor(avg(n) + 3 * stddev_pop(n)) as bigint) as width from w group by chrom")
 def read_clip_width(spark, d):
-    r = X.reads(spark, d).select("chrom", (F.col("end0") - F.col("start0")).alias("n"))
-    return r.groupBy("chrom").agg(F.floor(F.avg("n") + 3 * F.stddev_pop("n")).alias("width"))
+    return raster.clip_width(X.reads(spark, d), ["chrom"])
+
+
+@query(f"with {X.READS} select chrom, start0, end0 from reads order by chrom, start0, end0, m1, m2, op, oplen, clip limit 50 offset 100")
+def reads_page(spark, d):
+    return overlap.nth_reads(X.reads(spark, d), ["chrom", "start0", "end0", "m1", "m2", "op", "oplen", "clip"], 100, 150).select("chrom", "start0", "end0")
+
+
+@query(f"{_SEG}, e as (select chrom, loc as pos, 1 as delta from seg where op in (0, 7, 8) union all select chrom, loc + len, -1 from seg where op in (0, 7, 8)), s as (select chrom, pos, sum(delta) as delta from e group by all) select chrom, pos, cast(sum(delta) over (partition by chrom order by pos) as bigint) as depth from s")
+def depth_text(spark, d):
+    """The depth table written as text and read back."""
+    path = match._shared(spark, "depth")
+    files.write_depth(pileup.depth(X.reads(spark, d)).withColumnRenamed("value", "depth"), path)
+    return files.read_depth(spark, path)
 
 
 # -- rasters ---------------------------------------------------------------------------------------------------------
 
-# A read alone: its row at every 10th base. Clip and matches paint 0, an insertion or deletion 127 or 255 around its place; all advance.
+# A read alone: its row at every base. Clip and matches paint 0, an insertion or deletion 127 or 255 around its place; all advance.
 _VALUE = "case when x >= greatest(0, clip0 - 2 * oplen) and x < clip0 + 2 * oplen and op in (1, 2) and not (x >= clip0 + oplen and x < clip0 + oplen + m2) then case op when 1 then 127 else 255 end else 0 end"
 
 
-@query(f"with {X.READS}, r as (select *, m1 as clip0, end0 - start0 as width from reads), p as (select r.*, t.x from r, (select unnest(range(0, 2000, 100)) as x) t where t.x < r.width) select chrom, x, cast(sum({_VALUE}) as bigint) as grey, count(*) as reads from p group by all")
+@query(f"with {X.READS}, r as (select *, m1 as clip0, end0 - start0 as width from reads), p as (select r.*, unnest(range(0, r.width)) as x from r) select chrom, x, cast(sum({_VALUE}) as bigint) as grey, count(*) as reads from p group by all")
 def raster_row_sample(spark, d):
-    def sample(batches):
-        for b in batches:
-            out = []
-            for chrom, start, end, cigar in zip(*[b.column(c).to_pylist() for c in ("chrom", "start0", "end0", "cigar")], strict=True):
-                width = end - start
-                line = np.zeros(width, np.int64)
-                for lo, hi, v in raster.spans(np.array([c["op"] for c in cigar]), np.array([c["len"] for c in cigar]), 0, width, raster.WIDE):
-                    line[lo:hi] = v
-                out += [(chrom, x, int(line[x])) for x in range(0, min(width, 2000), 100)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["chrom", "x", "grey"])
-
-    r = X.reads(spark, d).select("chrom", "start0", "end0", "cigar").mapInArrow(sample, "chrom string, x long, grey long")
-    return r.groupBy("chrom", "x").agg(F.sum("grey").alias("grey"), F.count("*").alias("reads"))
+    """Sums of all reads' rows at every base: spans of painted values and extents as interval ends, so no row is painted."""
+    r = X.reads(spark, d).select("chrom", (F.col("end0") - F.col("start0")).alias("width"), "cigar")
+    return raster.column_sums(r, ["chrom"]).select("chrom", "x", "grey", "reads")
 
 
 @query("with e as (select vec_id, [cast(round(x * 100) as int) for x in embedding] as row from embeddings), p as (select vec_id, row, unnest(range(0, 24)) as i from e), q as (select vec_id, row, i, i * (63.0::double / 24) as x from p) select vec_id, i, cast(round(row[cast(floor(x) as int) + 1] * (1 - (x - floor(x))) + row[least(cast(floor(x) as int) + 2, 64)] * (x - floor(x))) as int) as v from q")
@@ -407,6 +409,19 @@ def raster_normalised(spark, d):
     return e.select("vec_id", F.round(F.col("v")[0], 6).alias("x1"), F.round(F.col("v")[63], 6).alias("x64"))
 
 
+@query("select vec_id, round((cast(embedding[1] as double) * 10 / 255 - 0.485) / 0.229, 6) as r1, round((cast(embedding[64] as double) * 10 / 255 - 0.406) / 0.225, 6) as b64 from embeddings")
+def raster_rgb(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", A.rgb_normalised(F.transform("embedding", lambda x: x.cast("double") * 10)).alias("c"))
+    return e.select("vec_id", F.round(F.col("c")[0][0], 6).alias("r1"), F.round(F.col("c")[2][63], 6).alias("b64"))
+
+
+@query("with e as (select vec_id, cast(embedding as double[]) as v from embeddings), p as (select vec_id, v[1:32] as a, v[33:64] as b from e) select vec_id, round((list_cosine_similarity(a[1:16], b[1:16]) + list_cosine_similarity(a[17:32], b[17:32])) / 2, 6) as by_rows, round(list_cosine_similarity(a, b), 6) as whole from p")
+def emb_matrix_cosine(spark, d):
+    part = lambda i: F.transform(F.slice("embedding", 16 * i + 1, 16), lambda x: x.cast("double"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.array(part(0), part(1)).alias("a"), F.array(part(2), part(3)).alias("b"))
+    return e.select("vec_id", F.round(A.mean_row_cosine(F.col("a"), F.col("b")), 6).alias("by_rows"), F.round(A.matrix_cosine(F.col("a"), F.col("b")), 6).alias("whole"))
+
+
 # -- cleaning --------------------------------------------------------------------------------------------------------
 
 
@@ -543,6 +558,31 @@ def ds_missing_chroms(spark, d):
     return score.missing(expected, X.calls(spark, d))
 
 
+@query(f"with {X.CALLS} select ord, case when svtype in ('INS', 'DEL') then 1 else 0 end as label from calls")
+def ds_label_text(spark, d):
+    """Labels written as text, a number to a line, and read back in order."""
+    path = match._shared(spark, "labels")
+    c = X.calls(spark, d)
+    files.write_labels(c.select(F.col("ord").alias("place"), V.label(F.col("svtype")).alias("label")), path)
+    ords = merge.placed(c.select("ord"), ["ord"])
+    lines = vcf.read_lines(spark, path).select((F.col("ord") + 1).alias("place"), F.col("line").cast("int").alias("label"))
+    return ords.join(lines, "place").select("ord", "label")
+
+
+@query(f"with {X.CALLS} select svtype, count(*) as n, max(svlen) as longest from calls group by all")
+def report_json(spark, d):
+    """A report written as JSON and read back."""
+    path = match._shared(spark, "report")
+    files.write_report(X.calls(spark, d).groupBy("svtype").agg(F.count("*").alias("n"), F.max("svlen").alias("longest")), path)
+    return files.read_report(spark, path, "svtype string, n long, longest int")
+
+
+@query(f"with {X.CALLS} select 'calls' as name, count(*) as n from calls union all select 'ids', count(*) from calls")
+def ds_same_counts(spark, d):
+    c = X.calls(spark, d)
+    return score.same_counts(calls=c, ids=c.select("id"))
+
+
 @query(f"with {X.CALLS}, s as (select svtype as class, concat('x', k) as id from calls) select class, id, count(*) as n from s group by all having count(*) > 1")
 def ds_repeated_ids(spark, d):
     return score.repeated_ids(X.calls(spark, d).select(F.col("svtype").alias("class"), F.concat(F.lit("x"), F.col("k")).alias("id")))

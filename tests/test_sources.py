@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import pytest
+
+import numpy as np
+
+import zlib
+
 import gzip
 import struct
 
 from pyspark.sql import functions as F
 
 from svlake.operators import clean, score
-from svlake.sources import alignments
+from svlake.sources import files, alignments
 from svlake.streaming import calls as stream
 
 READS = [("r1", 0, "1", 100, 60, [(4, 5), (0, 10), (2, 3), (0, 4)]), ("r2", 16, "2", 7, 20, [(0, 8), (1, 2)]), ("r3", 4, "*", -1, 0, [])]
@@ -74,3 +80,50 @@ def test_split_and_training(spark):
 def test_few_negatives_stay(spark):
     rows = spark.range(5).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     assert clean.cleaned(rows, rows, rows).count() == 5
+
+
+def test_depth_lines_labels_reports(spark, tmp_path):
+    depth = spark.createDataFrame([("1", 0, 3), ("1", 7, 1), ("X", 5, 2)], "chrom string, pos long, depth long")
+    files.write_depth(depth, str(tmp_path / "depth"))
+    files.write_depth(depth.limit(0), str(tmp_path / "depth"))  # what is there stays
+    assert sorted(map(tuple, files.read_depth(spark, str(tmp_path / "depth")).collect())) == [("1", 0, 3), ("1", 7, 1), ("X", 5, 2)]
+    assert sorted("".join(f.read_text() for f in (tmp_path / "depth/chrom=1").glob("*.csv")).splitlines()) == ["1\t1\t3", "1\t8\t1"]
+    files.write_lines(spark.createDataFrame([(2, "b"), (1, "a")], "ord long, line string"), str(tmp_path / "dump"), head="CHROM")
+    assert next((tmp_path / "dump").glob("*.txt")).read_text() == "CHROM\na\nb\n"
+    files.write_labels(spark.createDataFrame([(1, 0), (0, 1), (2, 1)], "place long, label int"), str(tmp_path / "labels"))
+    assert next((tmp_path / "labels").glob("*.txt")).read_text() == "1\n0\n1\n"
+    files.write_report(spark.createDataFrame([("a", 1)], "name string, n long"), str(tmp_path / "report"))
+    assert [tuple(r) for r in files.read_report(spark, str(tmp_path / "report"), "name string, n long").collect()] == [("a", 1)]
+    (tmp_path / "whole.json").write_text('[{"name": "b",\n "n": 2}]')
+    assert [tuple(r) for r in files.read_report(spark, str(tmp_path / "whole.json"), "name string, n long", whole=True).collect()] == [("b", 2)]
+
+
+def png(grey, kind, colour=0):
+    """A PNG whose rows all use one filter type."""
+    h, w = grey.shape
+    flat = (np.repeat(grey[:, :, None], 3, axis=2) if colour == 2 else grey[:, :, None]).reshape(h, -1).astype(int)
+    n, raw = 3 if colour == 2 else 1, b""
+    for y in range(h):
+        up = flat[y - 1] if y else np.zeros_like(flat[0])
+        left, corner = (np.concatenate([np.zeros(n, int), v[:-n]]) for v in (flat[y], up))
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        raw += bytes([kind]) + ((flat[y] - [0, left, up, (left + up) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    z = zlib.compress(raw)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", z[:5]) + chunk(b"IDAT", z[5:]) + chunk(b"IEND", b"")
+
+
+def test_grey_images_and_listing(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    made = {k: rng.integers(0, 256, (7, 9)) for k in range(10)}
+    for k, grey in made.items():
+        (tmp_path / f"{k + 1}.png").write_bytes(png(grey, k % 5, 0 if k < 5 else 2))
+    (tmp_path / "notes.txt").write_text("none")
+    got = {int(r.file.rsplit("/", 1)[1][:-4]) - 1: r for r in files.read_grey(spark, str(tmp_path)).collect()}
+    for k, grey in made.items():
+        assert (got[k].width, got[k].height) == (9, 7)
+        assert got[k].pixels == grey.astype(np.uint8).tobytes()
+    assert sorted((r.place for r in files.listing(spark, str(tmp_path)).collect()), key=str) == [*sorted(range(1, 11), key=str), None]
+    with pytest.raises(ValueError, match="not a PNG"):
+        files.grey_pixels(b"GIF89a")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
-from svlake.operators import match, merge, metrics, overlap, pileup, raster, windows
+from svlake.operators import match, merge, metrics, overlap, pileup, raster, score, windows
 from svlake.sources import vcf
 
 
@@ -288,3 +288,45 @@ def test_negatives_fit_whenever_a_start_is_free(spark):
             assert fits[r.start - 1]
             assert (r.begin, r.end) == (begin[r.start - 1], end[r.start - 1])
     assert Counter(r.id for r in got) == +found
+
+
+def test_zoomed_rows_and_other_schemes():
+    ops, lens = np.array([4, 0, 2, 0]), np.array([5, 40, 10, 30])
+    full = np.zeros(80, int)
+    for lo, hi, v in raster.spans(ops, lens, 0, 80, raster.WIDE):
+        full[lo:hi] = v
+    assert set(full[20:40]) == {255}
+    assert raster.spans(ops, lens, 0, 20, raster.WIDE, zoom=4)[2] == (5, 15, 255)
+    assert raster.spans(ops, lens, 0, 80, raster.TWO_LEVELS)[2] == (40, 50, 191)
+    assert {s.value[1] for s in (raster.WIDE, raster.FOUR_LEVELS, raster.TWO_LEVELS, raster.CLIPS_AS_MATCHES)} == {127, 191, 63, 255}
+
+
+def test_channel_rows_bars_and_pages(spark):
+    kind = "id string, begin long, start0 long, cigar array<struct<op: int, len: int>>"
+    rows = spark.createDataFrame([("a", 10, 12, [(4, 4), (0, 6), (1, 2), (2, 3)]), ("b", 0, 5, [(0, 50)])], kind)
+    got = {r.id: np.frombuffer(r.pixels, np.uint8).reshape(4, 20) for r in raster.channel_rows(rows, ["id"], 20).collect()}
+    assert (got["a"] == raster.four_channels([4, 0, 1, 2], [4, 6, 2, 3], 2, 20)).all()
+    assert got["b"][0].tolist() == [0] * 5 + [255] * 15
+    half = raster.channel_rows(rows, ["id"], 20, half_clip=True).where("id = 'a'").first().pixels
+    assert (np.frombuffer(half, np.uint8).reshape(4, 20) == raster.four_channels([4, 0, 1, 2], [4, 6, 2, 3], 2, 20, True)).all()
+    bar = raster.bar_images(spark.createDataFrame([("t", [0, 5, 10])], "id string, values array<long>"), ["id"], height=4).first()
+    assert np.frombuffer(bar.pixels, np.uint8).reshape(4, 3).T.tolist() == [[0, 0, 0, 0], [0, 0, 255, 255], [255, 255, 255, 255]]
+    reads = spark.range(20).selectExpr("id as start0")
+    assert [r.start0 for r in overlap.nth_reads(reads, ["start0"], 5, 8).collect()] == [5, 6, 7]
+
+
+def test_switches_and_counts(spark):
+    a, b = spark.range(3).toDF("x"), spark.range(5).toDF("x")
+    assert score.training_rows(a, b).count() == 8
+    assert score.training_rows(a, b, with_negatives=False).count() == 3
+    assert score.same_counts(p=a, q=a).count() == 2
+    with pytest.raises(Exception, match="differ in their counts"):
+        score.same_counts(p=a, q=b).collect()
+
+
+def test_centred_resize_and_wrapped_colours(spark):
+    row = spark.createDataFrame([([0.0, 10.0, 20.0, 30.0],)], "r array<double>")
+    assert row.select(A.resized_centred(F.col("r"), 4, 2).alias("r")).first().r == [5.0, 25.0]
+    assert row.select(A.resized_centred(F.col("r"), 4, 8).alias("r")).first().r == [0.0, 2.5, 7.5, 12.5, 17.5, 22.5, 27.5, 30.0]
+    grey = spark.createDataFrame([([127, 255],)], "g array<int>").select(A.rgb_normalised(F.col("g"), wrap=True).alias("c")).first().c
+    assert grey[1] == pytest.approx([(129 / 255 - 0.458) / 0.224, (1 / 255 - 0.458) / 0.224])
