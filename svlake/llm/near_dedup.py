@@ -13,7 +13,8 @@ compared with each other. Pairs within one component could add no information, a
 
 A large family of near copies has many members just below the threshold to most others. Members with a common pivot are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
 |a ^ b| = |D(a)| + |D(b)| - 2 |D(a) & D(b)|, so a linked pair must share more of its differences than sizes allow to be missing
-from the rarest-first prefixes of D(a) and D(b). Joining prefixes finds every such pair and hardly any other.
+from the rarest-first prefixes of D(a) and D(b). Joining prefixes finds every such pair; bitmaps of the differences, whose
+differing bits bound |a ^ b| from below, keep nearly all others from being made.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
 
+WORDS = 8  # 64-bit words of a bitmap of differences
 BANDS, ROWS, BATCH = 48, 7, 32  # a pair at 0.8 is missed by the bands with probability (1 - 0.8**7)**48 = 1e-5
 
 
@@ -160,10 +162,17 @@ def _difference_links(percent: int, delta: DataFrame) -> DataFrame:
     common = rows.groupBy("pivot", "e").agg(F.count("*").alias("f")).where("f > 1")  # differences of one member only link nothing, but keep their place
     rows = rows.join(common, ["pivot", "e"], "left").withColumn("at", F.row_number().over(Window.partitionBy("pivot", "rep").orderBy(F.coalesce("f", F.lit(1)), "e")))
     rows = materialise(rows.where("f > 1").where(F.col("at") <= F.when(F.col("far"), F.greatest("half", "most")).otherwise(F.col("half"))), "prefixes")
-    b = rows.where("far").select("pivot", "e", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("at") <= F.col("half")).alias("hb"), (F.col("at") <= F.col("most")).alias("mb"))
-    b = b.toDF("pivot", "e", "b", "cb", "hb", "mb")
-    a = rows.where(F.col("at") <= F.col("half")).select("pivot", "e", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-    pairs = a.join(b, ["pivot", "e"]).where("ca <> cb and ((fa and a < b and hb) or (not fa and mb))").select("pivot", "a", "b").distinct()
+    # A pair's sets differ in at least as many shingles as bitmaps of their differences differ in bits: where that is too many already, no row is made.
+    bits = [f"aggregate(d, 0L, (s, e) -> if((e & {WORDS - 1}L) = {w}L, s | shiftleft(1L, cast(shiftrightunsigned(e, 3) & 63L as int)), s)) as m{w}" for w in range(WORDS)]
+    maps = materialise(delta.selectExpr("pivot", "rep", "n", *bits), "bitmaps")
+    wide = rows.join(maps, ["pivot", "rep"])
+    mine = lambda k: [F.col("n").alias(f"n{k}"), *[F.col(f"m{w}").alias(f"{k}{w}") for w in range(WORDS)]]
+    names = ["pivot", "e", "b", "cb", "hb", "mb", "nb", *[f"b{w}" for w in range(WORDS)]]
+    b = wide.where("far").select("pivot", "e", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("at") <= F.col("half")).alias("hb"), (F.col("at") <= F.col("most")).alias("mb"), *mine("b")).toDF(*names)
+    a = wide.where(F.col("at") <= F.col("half")).select("pivot", "e", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"), *mine("a"))
+    differ = " + ".join(f"bit_count(a{w} ^ b{w})" for w in range(WORDS))
+    possible = f"{100 + percent} * ({differ}) <= {100 - percent} * (na + nb) and ca <> cb and ((fa and a < b and hb) or (not fa and mb))"
+    pairs = a.join(b, ["pivot", "e"]).where(possible).select("pivot", "a", "b").distinct()
     full = lambda k: delta.select("pivot", F.col("rep").alias(k), F.col("d").alias(f"d{k}"), F.col("n").alias(f"n{k}"))
     both = materialise(pairs, "differing").join(full("b"), ["pivot", "b"]).join(full("a"), ["pivot", "a"])
     apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
