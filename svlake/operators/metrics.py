@@ -5,9 +5,13 @@ class, however many rows share it."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from svlake.operators import match as M
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """(y, y_hat, n)."""
@@ -32,21 +36,39 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return right.crossJoin(report(rows).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall")))  # single rows
 
 
+def _ranged(rows: DataFrame, by: list[str], score: str, last: dict) -> DataFrame:
+    """``rows`` dealt by ranges of (by, falling score) and written, with ``range`` and, from a row per range and group, the columns of ``last``:
+    each an aggregate of a range, as a struct ``before`` of their values over the ranges before it (sums of sums, greatest of greatest)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = M._kept(rows.repartitionByRange(parts, *by, F.desc(score)).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*by, "range").agg(*[f(c).alias(c) for c, f in last.items()])
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in [*by, "range"]], F.struct(*[f(c).over(before).alias(c) for c, f in last.items()]).alias("before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("range") == F.col("_range"))
+    return ranged.join(ends, same).drop(*[f"_{c}" for c in [*by, "range"]])
+
+
 def roc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, threshold, fpr, tpr of rows (y 0 or 1, score), for each distinct score from the highest."""
+    """by, threshold, fpr, tpr of rows (y 0 or 1, score), for each distinct score from the highest. Sums run within ranges of scores and start
+    where the ranges before end, so no curve meets in one task."""
     by = by or []
     counts = rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return counts.select(*by, F.col("score").alias("threshold"), F.try_divide(F.sum("q").over(down), F.sum("q").over(every)).alias("fpr"), F.try_divide(F.sum("p").over(down), F.sum("p").over(every)).alias("tpr"))
+    ranged = _ranged(counts, by, "score", {"p": F.sum, "q": F.sum})
+    totals = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")).select(*[F.col(c).alias(f"_{c}") for c in by], "all_p", "all_q")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    down = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rate = lambda c: F.try_divide(F.sum(c).over(down) + F.coalesce(f"before.{c}", F.lit(0)), F.col(f"all_{c}"))
+    joined = ranged.join(totals, same) if by else ranged.crossJoin(totals)  # without a key, a single row
+    return joined.select(*by, F.col("score").alias("threshold"), rate("q").alias("fpr"), rate("p").alias("tpr"))
 
 
 def auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, auc by trapezoids, the curve starting at (0, 0)."""
+    """by, auc by trapezoids, the curve starting at (0, 0). By ranges of thresholds; a curve rises, so a range starts at the greatest point before it."""
     by = by or []
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(down), F.lit(0.0)), F.coalesce(F.lag("tpr").over(down), F.lit(0.0))
-    area = curve.withColumn("part", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2)
+    ranged = _ranged(curve.select(*by, "threshold", "fpr", "tpr"), by, "threshold", {"fpr": F.max, "tpr": F.max})
+    down = Window.partitionBy(*by, "range").orderBy(F.desc("threshold"))
+    x0, y0 = (F.coalesce(F.lag(c).over(down), F.col(f"before.{c}"), F.lit(0.0)) for c in ("fpr", "tpr"))
+    area = ranged.withColumn("part", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2)
     return area.groupBy(*by).agg(F.sum("part").alias("auc"))
 
 
