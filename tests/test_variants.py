@@ -330,3 +330,21 @@ def test_centred_resize_and_wrapped_colours(spark):
     assert row.select(A.resized_centred(F.col("r"), 4, 8).alias("r")).first().r == [0.0, 2.5, 7.5, 12.5, 17.5, 22.5, 27.5, 30.0]
     grey = spark.createDataFrame([([127, 255],)], "g array<int>").select(A.rgb_normalised(F.col("g"), wrap=True).alias("c")).first().c
     assert grey[1] == pytest.approx([(129 / 255 - 0.458) / 0.224, (1 / 255 - 0.458) / 0.224])
+
+
+def test_roc_by_ranges(spark):
+    """Ties, a null key, a group of one class and many ranges: equal to counting for each threshold, and to the trapezoids."""
+    rows = [(g, (i * 7919) % 3 % 2, (i * 31) % 97 / 97) for g in ("x", None) for i in range(400)] + [("one", 1, 0.5), ("one", 1, 0.25)]
+    found = metrics.roc(spark.createDataFrame(rows, "g string, y int, score double"), ["g"])
+    got = {(r.g, r.threshold): (r.fpr, r.tpr) for r in found.collect()}
+    areas = {r.g: r.auc for r in metrics.auc(found, ["g"]).collect()}
+    assert len(got) == len({(g, s) for g, _, s in rows})
+    for g in ("x", None, "one"):
+        mine = [(y, s) for k, y, s in rows if k == g]
+        area, x0, y0 = 0.0, 0.0, 0.0
+        for t in sorted({s for _, s in mine}, reverse=True):
+            x, y = (sum(c == k and s >= t for c, s in mine) / n if (n := sum(c == k for c, _ in mine)) else None for k in (0, 1))
+            assert got[g, t] == (x, y)
+            if x is not None:
+                area, x0, y0 = area + (x - x0) * (y + y0) / 2, x, y
+        assert areas[g] is None if g == "one" else abs(areas[g] - area) < 1e-9
