@@ -87,25 +87,25 @@ def _scan(docs: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     grams = items.select("item", "item_id", "n", F.posexplode(F.expr(_grams("w", size))).alias("p", "sh"))
     grams = grams.withColumn("before", F.lag("sh").over(Window.partitionBy("item").orderBy("p")))
     grams = materialise(grams, "grams")
-    total, longest, count = grams.agg(F.countDistinct("item"), F.max("n"), F.count("*")).first()
+    total, count = grams.agg(F.countDistinct("item"), F.count("*")).first()
     weights = grams.groupBy("sh").agg(F.countDistinct("item").alias("df")).select("sh", F.log(1 + F.lit(float(total)) / F.col("df")).alias("weight"))
     counted = materialise(grams.groupBy("item", "item_id", "sh").agg(F.count("*").alias("c")).join(weights, "sh"), "counted")
     bits, words = _bitmap(grams.select("sh"), count)
-    # Positions whose shingle an item may have, with the words around them.
-    reach = int(longest or 1)
+    # Positions whose shingle an item may have; their words are fetched when it is known which windows are wanted.
     hit = f"getbit(m[cast({_gram('h', 'i', size)} & {words - 1}L as int)], cast(shiftrightunsigned({_gram('h', 'i', size)}, 58) as int)) = 1"
-    around = f"named_struct('i', i, 'sh', {_gram('h', 'i', size)}, 'last', if(i > 0, {_gram('h', 'greatest(i - 1, 0)', size)}, null), 'from', greatest(0, i - {reach}), 'near', slice(h, greatest(0, i - {reach}) + 1, {2 * reach + size}))"
-    anchors = f"transform(filter(sequence(0, size(h) - {size}), i -> {hit}), i -> {around})"
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _hashes(F.col("text")).alias("h"), bits.alias("m")).where(f"size(h) >= {size}")
-    rows = rows.select("doc_id", F.explode(F.expr(anchors)).alias("a")).select("doc_id", "a.*")
+    place = f"named_struct('i', i, 'sh', {_gram('h', 'i', size)}, 'last', if(i > 0, {_gram('h', 'greatest(i - 1, 0)', size)}, null))"
+    anchors = f"transform(filter(sequence(0, size(h) - {size}), i -> {hit}), i -> {place})"
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("copy"), "text")
+    rows = named.select("doc_id", "copy", _hashes(F.col("text")).alias("h"), bits.alias("m")).where(f"size(h) >= {size}")
+    rows = rows.select("doc_id", "copy", F.explode(F.expr(anchors)).alias("a")).select("doc_id", "copy", "a.*")
     # A position continues the one before it if that has the item's shingle before: one row for each run is enough.
     known = small(grams.select(F.col("sh").alias("gsh"), "item", "p", "n", "before"))
     met = rows.join(known, (F.col("sh") == F.col("gsh")) & ~F.coalesce(F.col("last") == F.col("before"), F.lit(False)))
-    start = F.col("i") - F.col("p")
-    window = F.expr("slice(near, greatest(start, 0) - from + 1, start + n - greatest(start, 0))")
-    windows = met.withColumn("start", start).select("doc_id", "start", "item", window.alias("w"))
-    windows = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start"), "item", F.xxhash64("w").alias("key"), "w")
-    windows = materialise(windows, "windows")
+    starts = materialise(met.select("doc_id", "copy", "item", (F.col("i") - F.col("p")).alias("start"), "n").distinct(), "starts")
+    held = named.join(starts.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi").select("doc_id", "copy", _hashes(F.col("text")).alias("h"))
+    first = F.greatest("start", F.lit(0))
+    windows = starts.join(held, ["doc_id", "copy"]).select("doc_id", first.alias("start"), "item", F.slice("h", first + 1, F.col("start") + F.col("n") - first).alias("w"))
+    windows = materialise(windows.withColumn("key", F.xxhash64("w")), "windows")
     texts = windows.groupBy("key").agg(F.first("w").alias("w"))
     texts = materialise(texts.withColumn("sim", F.expr(_simhash("w"))), "texts")
     marked = items.withColumn("sim", F.expr(_simhash("w")))
