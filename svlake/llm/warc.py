@@ -117,8 +117,15 @@ def write_archives(pages: DataFrame, base: str, least_bytes: int = 0, archive_by
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    rows = rows.join(firsts, "sha", "left")
+    firsts = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    firsts = materialise(firsts, "firsts")
+    # Payloads that make up more than a thousandth of all repeats, fewer than 1000, are looked up where their pages are; these pages are then dealt evenly.
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = firsts.where(F.col("n") * 1000 > total).select("sha", F.col("first").alias("hot"))
+    rest = firsts.where(F.col("n") * 1000 <= total).select(F.col("sha").alias("k"), "first")
+    dealt = F.concat(F.lit("page "), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)).cast("string"))
+    rows = rows.join(F.broadcast(hot), "sha", "left").withColumn("k", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(dealt)).join(rest, "k", "left")
+    rows = rows.withColumn("first", F.coalesce("hot", "first"))
     rows = rows.select("page_id", "url", "html", "sha", F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")).alias("first"))
     return materialise(rows.mapInArrow(_writer(base, archive_bytes), "uri string"), "archives")
 
