@@ -81,3 +81,11 @@ def test_url_keys():
     assert W.url_key("http://www.Example.com:80/A?b#c") == "com,example)/A?b"
     assert W.url_key("https://u@a.b:8443") == "b,a:8443)/"
     assert W.url_key(None) == W.url_key("") == ""
+
+
+def test_frequent_and_rare_payloads(spark):
+    """One payload that many pages share, and so many pairs that each is below a thousandth of the repeats."""
+    rows = [(i, f"http://a/{i}", "hot" if i < 400 else f"pair {i // 2}", None) for i in range(2_600)]
+    got = W.capture_histories(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
+    assert {r.page_id: r.refers_to for r in got} == {i: None if i == 0 or (i >= 400 and i % 2 == 0) else 0 if i < 400 else i - 1 for i in range(2_600)}
+    assert len(got) == 2_600
