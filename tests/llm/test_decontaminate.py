@@ -78,3 +78,11 @@ def test_cut_and_changed_copies_by_default(spark):
     assert len(want) > 60 and got.keys() == want.keys()
     assert all(abs(got[k].similarity - want[k]) < 1e-9 for k in want)
     assert any(r.hamming > D.RADIUS for r in got.values())
+
+
+def test_a_long_item_is_found_whole(spark):
+    passage = [f"long{j}" for j in range(5_000)]
+    docs = [(1, " ".join(["x", *passage, "y"]), None), (2, " ".join(passage[:2_000]), None), (3, " ".join(passage[900:]), None)]
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, "one two three four five six")], ITEMS)
+    got = D.leaks(spark.createDataFrame(docs, DOCS), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.start) for r in got) == [(1, 1, 1), (3, 1, 0)]
