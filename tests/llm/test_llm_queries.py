@@ -12,6 +12,9 @@ COLUMNS = {
     "op4_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op5_compaction": {"doc_id", "shard"}, "op6_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op7_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op8_decontaminate": {"doc_id", "item_id"},
     "op9_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op10_hilbert_ann": {"query_id", "rank", "vec_id", "score"},
+    "op11_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op12_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+    "op13_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
 }
 
 
@@ -21,7 +24,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(COLUMNS) == set(QUERIES)
 
 
