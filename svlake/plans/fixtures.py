@@ -93,6 +93,17 @@ READS = """reads as (select *, start0 + m1 + m2 + case when op in (2, 8) then op
   cast(round(l_discount * 1000) as int) + 1 as oplen, cast(round(l_extendedprice) as bigint) % 700 + 50 as m2 from lineitem))"""
 
 
+def bam_files(spark: SparkSession, sf_dir: str) -> str:
+    """The reads as BAM files with indexes, in a folder of their own."""
+    from svlake.operators.match import _shared
+    from svlake.sources import bam
+
+    path = _shared(spark, "bam")
+    bam.write_bam(reads(spark, sf_dir), path, [(str(i), CHROM_LEN) for i in range(1, 5)])
+    bam.build_indexes(spark, path)
+    return path
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, vector, cluster: clusters are made uneven, so that large and small ones occur."""
     cluster = F.when(F.col("label") < 3, 0).when(F.col("vec_id") % 50 == 0, 1).otherwise(F.col("label"))

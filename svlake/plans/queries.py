@@ -13,7 +13,7 @@ from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
 from svlake.operators import clean, match, merge, metrics, overlap, pileup, raster, score, windows
 from svlake.plans import fixtures as X
-from svlake.sources import files, vcf
+from svlake.sources import bam, files, vcf
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -296,6 +296,31 @@ def read_extent(spark, d):
     return overlap.extents(X.ins_windows(spark, d), X.reads(spark, d).select("chrom", "start0", "end0"), ["id"])
 
 
+_BAM = "cast(clip as bigint) as clip, cast(m1 as bigint) as m1, cast(op as bigint) as op, cast(oplen as bigint) as oplen, cast(m2 as bigint) as m2"
+
+
+@query(f"with {X.READS} select chrom, start0, end0, {_BAM} from reads where chrom = '2' and start0 < 900000 and end0 > 600000")
+def bam_region(spark, d):
+    """Reads overlapping a region, from sorted BAM files through their indexes: the region's chunks are all that is read."""
+    found = bam.region(bam.read_bam(spark, X.bam_files(spark, d)), "2", 600_000, 900_000)
+    part = lambda i, f, n: F.col("cigar")[i][f].cast("long").alias(n)
+    return found.select("chrom", "start0", "end0", part(0, "len", "clip"), part(1, "len", "m1"), part(2, "op", "op"), part(2, "len", "oplen"), part(3, "len", "m2"))
+
+
+@query(f"with {X.READS} select chrom, count(*) as reads, cast(sum(start0) as bigint) as starts, cast(sum(end0) as bigint) as ends, cast(sum(clip + m1 + oplen + m2) as bigint) as bases from reads group by chrom")
+def bam_scan(spark, d):
+    """Every read of BAM files whose byte ranges are read apart."""
+    r = bam.read_bam(spark, X.bam_files(spark, d), split=1 << 18)
+    bases = F.aggregate("cigar", F.lit(0).cast("long"), lambda s, c: s + c["len"])
+    return r.groupBy("chrom").agg(F.count("*").alias("reads"), F.sum("start0").alias("starts"), F.sum("end0").alias("ends"), F.sum(bases).alias("bases"))
+
+
+@query(f"with {X.READS} select chrom, count(*) as mapped, cast(0 as bigint) as unmapped from reads group by chrom")
+def bam_index_stats(spark, d):
+    """Reads of each contig by the indexes alone."""
+    return bam.index_stats(spark, X.bam_files(spark, d))
+
+
 @query(f"{_SEG}, e as (select chrom, loc as pos, 1 as delta from seg where op in (0, 7, 8) union all select chrom, loc + len, -1 from seg where op in (0, 7, 8)), s as (select chrom, pos, sum(delta) as delta from e group by all) select chrom, pos, cast(sum(delta) over (partition by chrom order by pos) as bigint) as value from s")
 def pile_depth(spark, d):
     return pileup.depth(X.reads(spark, d))
@@ -362,6 +387,31 @@ def reads_page(spark, d):
     return overlap.nth_reads(X.reads(spark, d), ["chrom", "start0", "end0", "m1", "m2", "op", "oplen", "clip"], 100, 150).select("chrom", "start0", "end0")
 
 
+_BAM = "cast(clip as bigint) as clip, cast(m1 as bigint) as m1, cast(op as bigint) as op, cast(oplen as bigint) as oplen, cast(m2 as bigint) as m2"
+
+
+@query(f"with {X.READS} select chrom, start0, end0, {_BAM} from reads where chrom = '2' and start0 < 900000 and end0 > 600000")
+def bam_region(spark, d):
+    """Reads overlapping a region, from sorted BAM files through their indexes: the region's chunks are all that is read."""
+    found = bam.region(bam.read_bam(spark, X.bam_files(spark, d)), "2", 600_000, 900_000)
+    part = lambda i, f, n: F.col("cigar")[i][f].cast("long").alias(n)
+    return found.select("chrom", "start0", "end0", part(0, "len", "clip"), part(1, "len", "m1"), part(2, "op", "op"), part(2, "len", "oplen"), part(3, "len", "m2"))
+
+
+@query(f"with {X.READS} select chrom, count(*) as reads, cast(sum(start0) as bigint) as starts, cast(sum(end0) as bigint) as ends, cast(sum(clip + m1 + oplen + m2) as bigint) as bases from reads group by chrom")
+def bam_scan(spark, d):
+    """Every read of BAM files whose byte ranges are read apart."""
+    r = bam.read_bam(spark, X.bam_files(spark, d), split=1 << 18)
+    bases = F.aggregate("cigar", F.lit(0).cast("long"), lambda s, c: s + c["len"])
+    return r.groupBy("chrom").agg(F.count("*").alias("reads"), F.sum("start0").alias("starts"), F.sum("end0").alias("ends"), F.sum(bases).alias("bases"))
+
+
+@query(f"with {X.READS} select chrom, count(*) as mapped, cast(0 as bigint) as unmapped from reads group by chrom")
+def bam_index_stats(spark, d):
+    """Reads of each contig by the indexes alone."""
+    return bam.index_stats(spark, X.bam_files(spark, d))
+
+
 @query(f"{_SEG}, e as (select chrom, loc as pos, 1 as delta from seg where op in (0, 7, 8) union all select chrom, loc + len, -1 from seg where op in (0, 7, 8)), s as (select chrom, pos, sum(delta) as delta from e group by all) select chrom, pos, cast(sum(delta) over (partition by chrom order by pos) as bigint) as depth from s")
 def depth_text(spark, d):
     """The depth table written as text and read back."""

@@ -1,25 +1,15 @@
-"""Alignments as DataFrames: SAM text and BAM, without native libraries.
-
-SAM is read as text and split by column functions. BAM is read by a Python data source: a BAM file is a series of BGZF
-blocks, each a small gzip member; a partition is a file, streamed block by block. ``chrom`` filters are applied while reading,
-records of other contigs are skipped undecoded.
-"""
+"""Alignments as DataFrames: SAM text, split by column functions, and BAM through ``svlake.sources.bam``."""
 
 from __future__ import annotations
 
-import re
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+
+from svlake.sources.bam import BamSource, read_bam
+
+__all__ = ["OPS", "BamSource", "cigar_array", "mapped_contigs", "read_bam", "read_sam", "sam_contigs"]
 
 OPS = "MIDNSHP=X"
-CIGAR_TYPE = "array<struct<op:int,len:int>>"
-SCHEMA = f"chrom string, start0 long, end0 long, flag int, cigar {CIGAR_TYPE}, name string, mapq int"
 
 
 def cigar_array(text):
@@ -47,114 +37,3 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 def mapped_contigs(reads: DataFrame) -> DataFrame:
     """(chrom, n) of contigs with mapped reads."""
     return reads.where((F.col("chrom") != "*") & (F.col("flag").bitwiseAND(4) == 0)).groupBy("chrom").agg(F.count("*").alias("n"))
-
-
-def _blocks(stream) -> Iterator[bytes]:
-    held = b""
-    while True:
-        unpack, parts, some = zlib.decompressobj(31), [], False
-        while not unpack.eof:
-            held = held or stream.read(1 << 18)
-            if not held:
-                if some:
-                    raise ValueError("a BGZF block is cut short")
-                return
-            some = True
-            parts.append(unpack.decompress(held))
-            held = unpack.unused_data
-        yield b"".join(parts)
-
-
-class _Bytes:
-    """Exact reads from a series of blocks."""
-
-    def __init__(self, blocks: Iterator[bytes]):
-        self.blocks, self.held = blocks, bytearray()
-
-    def take(self, n: int) -> bytes | None:
-        while len(self.held) < n:
-            block = next(self.blocks, None)
-            if block is None:
-                if self.held:
-                    raise ValueError("the file ends within a record")
-                return None
-            self.held += block
-        out = bytes(self.held[:n])
-        del self.held[:n]
-        return out
-
-
-def bam_header(data: _Bytes) -> list[tuple[str, int]]:
-    if data.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    data.take(struct.unpack("<i", data.take(4))[0])
-    out = []
-    for _ in range(struct.unpack("<i", data.take(4))[0]):
-        name = data.take(struct.unpack("<i", data.take(4))[0])[:-1].decode()
-        out.append((name, struct.unpack("<i", data.take(4))[0]))
-    return out
-
-
-def bam_records(data: _Bytes, contigs: list[tuple[str, int]], only: str | None = None) -> Iterator[tuple]:
-    while (head := data.take(4)) is not None:
-        body = data.take(struct.unpack("<i", head)[0])
-        ref, pos, name_len, mapq, _, n_ops, flag = struct.unpack_from("<iiBBHHH", body)
-        chrom = contigs[ref][0] if ref >= 0 else "*"
-        if only is not None and chrom != only:
-            continue
-        codes = struct.unpack_from(f"<{n_ops}I", body, 32 + name_len)
-        cigar = [(c & 15, c >> 4) for c in codes]
-        end = pos + sum(n for op, n in cigar if op in (0, 2, 3, 7, 8))
-        yield chrom, pos, end, flag, cigar, body[32 : 32 + name_len - 1].decode(), mapq
-
-
-class _File(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.only = options["path"], None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chrom",) and self.only is None:
-                self.only = f.value
-            else:
-                yield f
-
-    def partitions(self):
-        fs, path = pafs.FileSystem.from_uri(self.path)
-        info = fs.get_file_info(path)
-        files = [path] if info.type == pafs.FileType.File else [i.path for i in fs.get_file_info(pafs.FileSelector(path)) if i.path.endswith(".bam")]
-        scheme = re.match(r"^\w+://[^/]*", self.path)
-        return [_File((scheme[0] if scheme else "") + f) for f in sorted(files)]
-
-    def read(self, partition: _File):
-        fs, path = pafs.FileSystem.from_uri(partition.uri)
-        with fs.open_input_stream(path, compression=None) as stream:
-            data = _Bytes(_blocks(stream))
-            contigs = bam_header(data)
-            yield from bam_records(data, contigs, self.only)
-
-
-class BamSource(DataSource):
-    """``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(uri)``: reads of BAM files. Needs
-    spark.sql.python.filterPushdown.enabled; read_bam does all of it."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
