@@ -3,7 +3,8 @@
 A scheme says for each operation which value it paints, how far around its place, and whether it advances on the
 reference. Later operations overwrite earlier ones, positions are clamped to the row. The row is resized to the image's width, the stack
 of rows to its height, both linearly with ratio (size - 1) / new size in single precision, rounded half away from zero each time.
-Only the columns that the resize reads are painted, so a row costs its operations, not its length.
+The two resizes read at most twice their new size of columns and of rows: only these columns are painted, and only these reads of a window
+are fetched with their operations and painted, so an image costs the same at any depth.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svlake.operators import overlap
+from svlake.operators import match, overlap
 
 SIDE = 224
 
@@ -59,26 +61,55 @@ def _round(x: np.ndarray) -> np.ndarray:
     return (np.sign(x) * np.floor(np.abs(x) + np.float32(0.5))).astype(np.int32)
 
 
+def rows(at: np.ndarray, ops: np.ndarray, lens: np.ndarray, offsets: np.ndarray, width: int, scheme: Scheme = WIDE, to: int = SIDE, zoom: int = 1) -> np.ndarray:
+    """Rows of ``width`` places of ``zoom`` bases, resized to ``to`` values, of reads whose operations lie from ``at[i]`` to ``at[i + 1]`` in
+    ``ops`` and ``lens`` and that begin ``offsets[i]`` bases into the row. All spans are laid on the sampled columns at once, later ones over earlier ones."""
+    n = len(at) - 1
+    if width <= 0 or n == 0:
+        return np.zeros((n, to), np.int32)
+    low, high, part = _places(width, to)
+    columns = np.unique(np.concatenate([low, high]))
+    read, lens = np.repeat(np.arange(n), np.diff(at)), lens.astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(np.where(np.isin(ops, list(scheme.advance)), lens, 0))])
+    place = before[:-1] - before[at[read]] + np.asarray(offsets, np.int64)[read]
+    painted = np.isin(ops, list(scheme.value))
+    read, op, size, place = read[painted], ops[painted], lens[painted], place[painted]
+    table = np.zeros((3, max(scheme.value, default=0) + 1))
+    for k, value in scheme.value.items():
+        table[:, k] = *scheme.around[k], value
+    lo = np.clip(np.trunc((place - table[0, op] * size) / zoom), 0, width)
+    hi = np.clip(np.trunc((place + table[1, op] * size) / zoom), 0, width)
+    first = np.searchsorted(columns, lo)
+    count = np.maximum(np.searchsorted(columns, hi) - first, 0)
+    cells = np.repeat(read * len(columns) + first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    line = np.zeros((n, len(columns)), np.float32)
+    line.reshape(-1)[cells] = np.repeat(table[2, op].astype(np.float32), count)  # of equal cells the last assignment holds
+    return _round(line[:, np.searchsorted(columns, low)] * (1 - part) + line[:, np.searchsorted(columns, high)] * part)
+
+
 def row(ops: np.ndarray, lens: np.ndarray, offset: int, width: int, scheme: Scheme = WIDE, to: int = SIDE, zoom: int = 1) -> np.ndarray:
     """A read's row of ``width`` places of ``zoom`` bases, resized to ``to`` values."""
-    if width <= 0:
-        return np.zeros(to, np.int32)
-    low, high, part = _places(width, to)
-    a, b = np.zeros(to, np.float32), np.zeros(to, np.float32)
-    for lo, hi, value in spans(ops, lens, offset, width, scheme, zoom):
-        a[(low >= lo) & (low < hi)] = value
-        b[(high >= lo) & (high < hi)] = value
-    return _round(a * (1 - part) + b * part)
+    return rows(np.array([0, len(ops)]), np.asarray(ops), np.asarray(lens), np.array([offset]), width, scheme, to, zoom)[0]
 
 
-def stack(rows: np.ndarray, to: int = SIDE) -> np.ndarray:
-    """Rows (n, width) resized to ``to`` rows."""
-    low, high, part = _places(len(rows), to)
+def stack(rows: np.ndarray, to: int = SIDE, ranks: np.ndarray | None = None, n: int | None = None) -> np.ndarray:
+    """Rows (n, width) resized to ``to`` rows. If only the rows that this reads are there, ``ranks`` says which of the ``n`` they are."""
+    low, high, part = _places(len(rows) if n is None else n, to)
+    if ranks is not None:
+        low, high = np.searchsorted(ranks, low), np.searchsorted(ranks, high)
     part = part[:, None]
     r = rows.astype(np.float32)
     return _round(r[low] * (1 - part) + r[high] * part)
 
 
+def sampled(rank: Column, n: Column, to: int = SIDE) -> Column:
+    """Whether ``stack`` reads the row ``rank`` (from 0) of ``n``. The places it reads are a ratio apart, so four of them have to be looked at."""
+    ratio = ((n - 1) / F.lit(float(to))).cast("float")
+    near = F.floor((rank - 1) / F.greatest(ratio, F.lit(1e-9))).cast("long") - 1
+    reads = lambda y: (y >= 0) & (y < to) & (F.floor(y.cast("float") * ratio).cast("long").isin(rank, rank - 1))
+    return (n <= to) | F.exists(F.sequence(near, near + 4), reads)
+
+
 def cigars(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each read's operations begin, and all operations and lengths, flat."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,14 +120,16 @@ def cigars(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
 
 def _imager(scheme: Scheme, side: int, keys: list[str]):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("nth", "ascending")]) if table.num_rows > 1 else table
-        start, end = rows.column("start0").to_numpy(), rows.column("end0").to_numpy()
-        at, ops, lens = cigars(rows.column("cigar"))
-        lo, width = int(start.min()), int(end.max() - start.min())
-        made = np.stack([row(ops[i:j], lens[i:j], int(s) - lo, width, scheme, side) for i, j, s in zip(at[:-1], at[1:], start, strict=True)])
-        pixels = stack(made, side).astype(np.uint8).tobytes()
-        out = {k: rows.column(k).slice(0, 1) for k in keys}
-        return pa.table({**out, "n_reads": pa.array([len(made)], pa.int64()), "pixels": pa.array([pixels], pa.binary())})
+        out = {k: table.column(k).slice(0, 1) for k in keys}
+        rows_ = table.filter(pc.is_valid(table.column("rank")))  # the row without rank is the window's own
+        if not rows_.num_rows:
+            return pa.table({**out, "n_reads": pa.array([0], pa.int64()), "pixels": pa.array([bytes(side * side)], pa.binary())})
+        rows_ = rows_.sort_by([("rank", "ascending")])
+        at, ops, lens = cigars(rows_.column("cigar"))
+        made = rows(at, ops, lens, rows_.column("offset").to_numpy(), rows_.column("width")[0].as_py(), scheme, side)
+        n = rows_.column("n")[0].as_py()
+        pixels = stack(made, side, rows_.column("rank").to_numpy(), n).astype(np.uint8).tobytes()
+        return pa.table({**out, "n_reads": pa.array([n], pa.int64()), "pixels": pa.array([pixels], pa.binary())})
 
     return run
 
@@ -128,29 +161,44 @@ def column_sums(reads: DataFrame, keys: list[str], scheme: Scheme = WIDE) -> Dat
     return made.groupBy(*keys, "x").agg(F.sum("grey").alias("grey"), F.sum("reads").alias("reads"))
 
 
-def images(windows: DataFrame, reads: DataFrame, keys: list[str], order: list[str], scheme: Scheme = WIDE, side: int = SIDE, most: int = 10_000) -> DataFrame:
-    """keys, n_reads, pixels (side * side bytes, row by row) of each window; one without reads has an image of zeros.
-
-    At most ``most`` reads enter an image, in the order of ``order`` - a part of the encoding, and the bound of a window's group."""
-    pairs = overlap.overlaps(windows.select(*keys, "chrom", "begin", "end"), reads)
-    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= most)
+def images(windows: DataFrame, reads: DataFrame, keys: list[str], order: list[str], scheme: Scheme = WIDE, side: int = SIDE, most: int = 10_000, number: str | None = None) -> DataFrame:
+    """keys, n_reads, pixels (side * side bytes, row by row) of each window, ``keys`` being different for each; one without reads has an image of zeros.
+
+    At most ``most`` reads enter an image, in the order of ``order`` - a part of the encoding. Reads are ranked by their places alone;
+    the operations follow for the at most 2 * ``side`` reads of a window that the image samples. ``number`` names a column that is
+    different for each read; without it reads are numbered and written."""
+    spark = reads.sparkSession
+    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < most:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", most)  # so that no window's reads meet in one task before most of them are left out
+    if number is None:
+        number = "read_number"
+        reads = match._kept(reads.select("chrom", "start0", "end0", "cigar", *[c for c in order if c not in ("chrom", "start0", "end0", "cigar")]).withColumn(number, F.monotonically_increasing_id()))
+    named = [F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate([*order, number])]
+    pairs = overlap.overlaps(windows.select(*keys, "chrom", "begin", "end"), reads.select("chrom", "start0", "end0", *named))
+    of = Window.partitionBy(*keys)
+    ranked = pairs.withColumn("rank", F.row_number().over(of.orderBy(*[f"_by{i}" for i in range(len(named))]))).where(F.col("rank") <= most)
+    ranked = ranked.withColumns({"n": F.count("*").over(of), "lo": F.min("start0").over(of), "width": F.max("end0").over(of) - F.min("start0").over(of), "rank": F.col("rank").cast("long") - 1})
+    chosen = ranked.where(sampled(F.col("rank"), F.col("n"), side)).select(*keys, "rank", "n", "width", (F.col("start0") - F.col("lo")).alias("offset"), F.col(f"_by{len(order)}").alias("_number"))
+    painted = chosen.join(reads.select(F.col(number).alias("_number"), "cigar"), "_number").drop("_number")
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_reads long, pixels binary"
-    made = pairs.select(*keys, "start0", "end0", "cigar", "nth").groupBy(*keys).applyInArrow(_imager(scheme, side, keys), schema)
-    out = windows.select(*keys).join(made, keys, "left")
-    zero = F.expr(f"unhex(repeat('00', {side * side}))")
-    return out.select(*keys, F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("pixels", zero).alias("pixels"))
+    return painted.unionByName(windows.select(*keys), allowMissingColumns=True).groupBy(*keys).applyInArrow(_imager(scheme, side, keys), schema)
+
+
+CHANNELS = Scheme(value={0: 0, 1: 1, 2: 2, 4: 3}, around={0: (0, 1), 1: (0, 1), 2: (0, 1), 4: (0, 1)}, advance=frozenset({0, 1, 2, 4, 8}))
+HALF_CHANNELS = Scheme(value=CHANNELS.value, around={0: (0, 1), 1: (0.5, 0.5), 2: (0, 1), 4: (0.5, 0.5)}, advance=frozenset({0, 2, 3, 7, 8}))
 
 
 def four_channels(ops: list[int], lens: list[int], offset: int, width: int, half_clip: bool = False) -> np.ndarray:
-    """(4, width) of M, I, D, S at 255: operations laid one after another, cut at ``width``; with ``half_clip`` insertions and
-    clips take half their length on either side of their place and don't advance."""
-    out, at, channel = np.zeros((4, max(width, 0)), np.uint8), offset, {0: 0, 1: 1, 2: 2, 4: 3}
+    """(4, width) of M, I, D, S at 255: these and X advance, and what reaches the edge is cut there. With ``half_clip`` insertions and
+    clips take half their length, rounded down, on either side of their place and don't advance, but N and = do."""
+    scheme = HALF_CHANNELS if half_clip else CHANNELS
+    out, at = np.zeros((4, max(width, 0)), np.uint8), offset
     for op, n in zip(ops, lens, strict=True):
-        if op in channel:
-            lo, hi = (at - n // 2, at + n // 2) if half_clip and op in (1, 4) else (at, at + n)
-            out[channel[op], max(lo, 0) : max(min(hi, width), 0)] = 255
-        if op in (0, 2, 8) or (op in (1, 4, 5) and not half_clip):
+        if op in scheme.value:
+            lo, hi = (at - n // 2, at + n // 2) if scheme.around[op] == (0.5, 0.5) else (at, at + n)
+            out[scheme.value[op], max(lo, 0) : max(min(hi, width), 0)] = 255
+        if op in scheme.advance:
             at += n
     return out
 
@@ -162,25 +210,36 @@ def bars(track: np.ndarray, height: int = SIDE) -> np.ndarray:
     return np.where(np.arange(height)[::-1, None] < filled[None, :], 255, 0).astype(np.uint8)
 
 
-def channel_rows(pairs: DataFrame, keys: list[str], width: int, half_clip: bool = False) -> DataFrame:
-    """``keys``, start0, pixels (4 * ``width`` bytes: M, I, D, S) for each read of ``pairs`` (keys, begin, start0, cigar): ``four_channels`` from the
-    window's begin on. ``width`` is the window's, or clip_width of its reads."""
+def channel_rows(pairs: DataFrame, keys: list[str], width: int | str, half_clip: bool = False) -> DataFrame:
+    """``keys``, start0, pixels (4 * width bytes: M, I, D, S) for each read of ``pairs`` (keys, begin, start0, cigar): ``four_channels`` from the
+    window's begin on. ``width`` is a number, or a column of ``pairs``; a column ``shift`` of ``pairs``, if there, moves the begin (see ``clip_width``)."""
 
     def paint(batches):
         for b in batches:
-            rows = zip(*[b.column(c).to_pylist() for c in ("begin", "start0", "cigar")], strict=True)
-            made = [four_channels([c["op"] for c in cigar], [c["len"] for c in cigar], start - begin, width, half_clip).tobytes() for begin, start, cigar in rows]
+            at, ops, lens = cigars(b.column("cigar"))
+            made = [four_channels(ops[i:j].tolist(), lens[i:j].tolist(), o, w, half_clip).tobytes() for i, j, o, w in zip(at[:-1].tolist(), at[1:].tolist(), b.column("_offset").to_pylist(), b.column("_width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("start0"), pa.array(made, pa.binary())], [*keys, "start0", "pixels"])
 
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start0 long, pixels binary"
-    return pairs.select(*keys, "begin", F.col("start0").cast("long").alias("start0"), "cigar").mapInArrow(paint, schema)
+    offset = F.col("start0") - F.col("begin") - (F.col("shift") if "shift" in pairs.columns else F.lit(0))
+    of = pairs.select(*keys, F.col("start0").cast("long").alias("start0"), "cigar", offset.cast("long").alias("_offset"), (F.lit(width) if isinstance(width, int) else F.col(width)).cast("long").alias("_width"))
+    return of.mapInArrow(paint, schema)
+
+
+def channel_length(cigar: Column) -> Column:
+    """Length of a read's row in channels: of its M, I, D, S, H and X operations."""
+    return F.aggregate(cigar, F.lit(0).cast("long"), lambda s, c: s + F.when(c["op"].isin(0, 1, 2, 4, 5, 8), c["len"]).otherwise(0))
 
 
-def clip_width(reads: DataFrame, by: list[str]) -> DataFrame:
-    """by, width: the mean extent of the reads plus three population deviations, rounded down."""
-    n = F.col("end0") - F.col("start0")
-    return reads.groupBy(*by).agg(F.floor(F.avg(n) + 3 * F.stddev_pop(n)).alias("width"))
+def clip_width(pairs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, shift, width of windows with reads (keys, begin, start0, cigar): rows begin at the window's begin, or ``shift`` bases before it
+    where the first read in the order of ``order`` begins before it; ``width`` is the mean of where the rows end plus three population
+    deviations, towards zero (to a millionth, so that sums in another order don't matter)."""
+    end = F.col("start0") - F.col("begin") + channel_length(F.col("cigar"))
+    first = F.min_by(F.col("start0") - F.col("begin"), F.struct(*order))
+    made = pairs.groupBy(*keys).agg(F.least(first, F.lit(0)).alias("shift"), F.avg(end).alias("mean"), F.stddev_pop(end).alias("spread"))
+    return made.select(*keys, "shift", F.round(F.col("mean") - F.col("shift") + 3 * F.col("spread"), 6).cast("long").alias("width"))
 
 
 def bar_images(tracks: DataFrame, keys: list[str], height: int = SIDE) -> DataFrame:

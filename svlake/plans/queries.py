@@ -377,9 +377,40 @@ def base_stats9(spark, d):
     return r.select("chrom", "size", *[F.col("p")[i].alias(f"q{i + 1}") for i in range(4)], *[F.round(c, 6).alias(c) for c in ("rms", "mean", "std")], F.round(F.col("std") / F.col("mean"), 6).alias("cv"))
 
 
-@query(f"with {X.READS}, w as (select chrom, end0 - start0 as n from reads) select chrom, cast(floor(avg(n) + 3 * stddev_pop(n)) as bigint) as width from w group by chrom")
+# A row of channels ends after its soft clip, matches, insertion, deletion or X: all lengths count.
+@query(
+    f"""with {X.INS_WINDOWS}, {X.READS}, p as (select w.id, r.start0 - w."begin" as gap, r.start0 - w."begin" + clip + m1 + oplen + m2 as e,
+  row_number() over (partition by w.id order by start0, end0, m1, m2, op, oplen, clip) as nth from win_ins w join reads r on r.chrom = w.chrom and r.start0 < w."end" and r.end0 > w."begin"),
+s as (select id, least(0, max(case when nth = 1 then gap end)) as shift, avg(e) as mean, stddev_pop(e) as spread from p group by id)
+select id, shift, cast(trunc(round(mean - shift + 3 * spread, 6)) as bigint) as width from s"""
+)
 def read_clip_width(spark, d):
-    return raster.clip_width(X.reads(spark, d), ["chrom"])
+    pairs = overlap.overlaps(X.ins_windows(spark, d).select("id", "chrom", "begin", "end"), X.reads(spark, d))
+    return raster.clip_width(pairs, ["id"], ["start0", "end0", "m1", "m2", "op", "oplen", "clip"])
+
+
+# The base x of a read's row lies in an operation's channel; the row is cut at the window's width. Sums over each channel.
+@query(
+    f"""with {X.INS_WINDOWS}, {X.READS}, p as (select w.id, r.*, r.start0 - w."begin" as gap, row_number() over (partition by w.id order by start0, end0, m1, m2, op, oplen, clip) as nth
+  from win_ins w join reads r on r.chrom = w.chrom and r.start0 < w."end" and r.end0 > w."begin"),
+s as (select id, least(0, max(case when nth = 1 then gap end)) as shift, avg(gap + clip + m1 + oplen + m2) as mean, stddev_pop(gap + clip + m1 + oplen + m2) as spread from p group by id),
+w as (select id, shift, cast(trunc(round(mean - shift + 3 * spread, 6)) as bigint) as width from s),
+o as (select p.id, width, unnest([{{'c': 3, 'a': gap - shift, 'n': clip}}, {{'c': 0, 'a': gap - shift + clip, 'n': m1}}, {{'c': op, 'a': gap - shift + clip + m1, 'n': oplen}}, {{'c': 0, 'a': gap - shift + clip + m1 + oplen, 'n': m2}}]) as o from p join w using (id)),
+c as (select id, o.c as c, greatest(0, least(o.a + o.n, width) - greatest(o.a, 0)) as n from o)
+select id, cast(sum(case when c = 0 then n else 0 end) as bigint) as m, cast(sum(case when c = 1 then n else 0 end) as bigint) as i, cast(sum(case when c = 2 then n else 0 end) as bigint) as d, cast(sum(case when c = 3 then n else 0 end) as bigint) as s from c group by id"""
+)
+def raster_channels(spark, d):
+    """Painted bases of each channel over the rows of a window's reads."""
+    pairs = overlap.overlaps(X.ins_windows(spark, d).select("id", "chrom", "begin", "end"), X.reads(spark, d))
+    widths = raster.clip_width(pairs, ["id"], ["start0", "end0", "m1", "m2", "op", "oplen", "clip"])
+    made = raster.channel_rows(pairs.select("id", "begin", "start0", "cigar").join(widths, "id"), ["id"], "width")
+
+    def sums(batches):
+        for b in batches:
+            lit = [(np.frombuffer(x, np.uint8).reshape(4, -1) > 0).sum(axis=1) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([int(x[k]) for x in lit], pa.int64()) for k in range(4)]], ["id", "m", "i", "d", "s"])
+
+    return made.select("id", "pixels").mapInArrow(sums, "id string, m long, i long, d long, s long").groupBy("id").agg(*[F.sum(c).alias(c) for c in "mids"])
 
 
 @query(f"with {X.READS} select chrom, start0, end0 from reads order by chrom, start0, end0, m1, m2, op, oplen, clip limit 50 offset 100")
@@ -440,7 +471,23 @@ def raster_row_resize(spark, d):
     return e.select("vec_id", row.alias("row")).select("vec_id", F.posexplode(A.resized_row(F.col("row"), 64, 24)).alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), "v")
 
 
-@query()
+# Rows of all reads at the columns that the resize reads, then the rows between which each line of the image lies, in single precision.
+_LIT = "(case when op in (1, 2) and {0} >= greatest(0, place - 2 * oplen) and {0} < place + 2 * oplen and not ({0} >= place + oplen and {0} < place + oplen + m2) then case op when 1 then 127 else 255 end else 0 end)"
+
+
+@query(
+    f"""with {X.INS_WINDOWS}, {X.READS}, p as (select w.id, r.*, row_number() over (partition by w.id order by start0, end0, m1, m2, op, oplen) - 1 as nth from win_ins w join reads r on r.chrom = w.chrom and r.start0 < w."end" and r.end0 > w."begin" qualify nth < 10000),
+g as (select id, count(*) as n, min(start0) as lo, max(end0) - min(start0) as width from p group by id),
+k as (select id, n, lo, list_transform(range(0, 224), lambda x: {{'x': cast(x as float) * cast((width - 1) / 224.0::double as float), 'w': width}}) as xs from g),
+c as (select id, n, lo, list_transform(xs, lambda s: {{'l': cast(floor(s.x) as bigint), 'h': least(cast(floor(s.x) as bigint) + 1, s.w - 1), 'p': s.x - cast(floor(s.x) as float)}}) as cs from k),
+q as (select p.id, p.nth, c.n, c.cs, p.op, p.oplen, p.m2, p.start0 - c.lo + p.m1 as place from p join c using (id)),
+v as (select id, nth, n, list_transform(cs, lambda s: cast(floor(cast({_LIT.format('s.l')} as float) * (1::float - s.p) + cast({_LIT.format('s.h')} as float) * s.p + 0.5::float) as int)) as v from q),
+y as (select g.id, n, y, cast(y as float) * cast((n - 1) / 224.0::double as float) as f from g, (select unnest(range(0, 224)) as y) as ys),
+z as (select id, y, cast(floor(f) as bigint) as l, least(cast(floor(f) as bigint) + 1, n - 1) as h, f - cast(floor(f) as float) as p from y),
+m as (select z.id, list_transform(list_zip(a.v, b.v), lambda s: cast(floor(cast(s[1] as float) * (1::float - z.p) + cast(s[2] as float) * z.p + 0.5::float) as int)) as line from z join v as a on a.id = z.id and a.nth = z.l join v as b on b.id = z.id and b.nth = z.h),
+t as (select id, sum(list_sum(line)) as total, max(list_max(line)) as largest from m group by id)
+select w.id, coalesce(g.n, 0) as n_reads, cast(coalesce(total, 0) as bigint) as total, cast(coalesce(largest, 0) as bigint) as largest from win_ins w left join g using (id) left join t using (id)"""
+)
 def raster_image_stats(spark, d):
     """Per window: reads in its image, sum and maximum of its pixels."""
     made = raster.images(X.ins_windows(spark, d), X.reads(spark, d), ["id"], ["start0", "end0", "m1", "m2", "op", "oplen"])

@@ -254,6 +254,62 @@ def test_raster_overwrites_and_empty_window(spark):
     assert max(got[2].pixels) == 0
 
 
+def plain_rows(reads, n, to):
+    """Every read of a window painted whole and all rows resized."""
+    lo, width = min(s for s, _, _ in reads), max(e for _, e, _ in reads) - min(s for s, _, _ in reads)
+    made = np.array([naive_row(*zip(*[(4, 0), (3, s - lo), *c], strict=True), width, to) for s, e, c in reads])
+    low, high, part = raster._places(n, to)
+    part = part[:, None]
+    return np.floor(made[low].astype(np.float32) * (1 - part) + made[high].astype(np.float32) * part + np.float32(0.5)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 40, 333])
+def test_images_sample_deep_windows(spark, n):
+    """Images of deep windows, of which only the sampled reads are fetched, equal those made of all reads."""
+    rng, cigar = random.Random(n), "array<struct<op:int,len:int>>"
+    reads = []
+    for _ in range(n):
+        c = [(rng.choice([0, 1, 2, 4, 8]), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 6))] + [(0, 10)]
+        s = rng.randrange(0, 90)
+        reads.append((s, s + sum(k for op, k in c if op in (0, 2, 8)), c))
+    rows = [("1", s, e, c, i) for i, (s, e, c) in enumerate(reads)]
+    df = spark.createDataFrame(rows, f"chrom string, start0 long, end0 long, cigar {cigar}, ord long")
+    w = spark.createDataFrame([("w", "1", 0, 100), ("none", "2", 0, 9)], "id string, chrom string, begin long, end long")
+    inside = [r for r in sorted(enumerate(reads), key=lambda x: (x[1][0], x[0])) if r[1][0] < 100 and r[1][1] > 0]
+    for number, most in ((None, 10_000), ("ord", 20)):
+        got = {r.id: r for r in raster.images(w, df, ["id"], ["start0", "ord"], side=16, most=most, number=number).collect()}
+        kept = [r for _, r in inside][:most]
+        assert got["w"].n_reads == len(kept)
+        assert (np.frombuffer(got["w"].pixels, np.uint8).reshape(16, 16) == plain_rows(kept, len(kept), 16)).all()
+        assert max(got["none"].pixels) == 0
+
+
+def test_sampled_ranks_are_those_that_the_stack_reads(spark):
+    for n in (1, 5, 224, 225, 226, 300, 449, 1000, 9999, 10_000):
+        got = {r[0] for r in spark.range(n).where(raster.sampled(F.col("id"), F.lit(n))).collect()}
+        low, high, _ = raster._places(n, 224)
+        want = set(range(n)) if n <= 224 else set(low.tolist()) | set(high.tolist())
+        assert got >= set(low.tolist()) | set(high.tolist())
+        assert len(got) <= len(want) + 1
+
+
+def test_clip_width_and_gap(spark):
+    """The reads' lengths count M, I, D, S, H and X; H isn't painted; a first read before the window moves the rows' begin to it."""
+    cigar = "array<struct<op:int,len:int>>"
+    c = [(5, 3), (4, 2), (0, 10), (3, 7), (1, 4), (2, 5), (8, 1), (7, 50)]  # 25 in all
+    rows = [("a", 100, 90, c), ("a", 100, 120, c), ("b", 100, 130, c), ("b", 100, 110, c)]
+    df = spark.createDataFrame(rows, f"id string, begin long, start0 long, cigar {cigar}")
+    got = {r.id: (r.shift, r.width) for r in raster.clip_width(df, ["id"], ["start0"]).collect()}
+    ends = {"a": (25, 55), "b": (35, 55)}  # from the first read's start, and from the window's begin
+    assert got == {k: (-10 if k == "a" else 0, int(np.mean(v) + 3 * np.std(v))) for k, v in ends.items()}
+    made = raster.channel_rows(df.join(raster.clip_width(df, ["id"], ["start0"]), "id"), ["id"], "width").where("id = 'a'").orderBy("start0").collect()
+    first = np.frombuffer(made[0].pixels, np.uint8).reshape(4, -1)
+    assert [np.flatnonzero(x).tolist() for x in first] == [list(range(2, 12)), list(range(12, 16)), list(range(16, 21)), [0, 1]]
+    assert np.flatnonzero(np.frombuffer(made[1].pixels, np.uint8).reshape(4, -1)[3]).tolist() == [30, 31]
+    half = raster.four_channels([5, 4, 0, 7, 1, 3, 2], [3, 4, 10, 5, 6, 8, 2], 4, 60, half_clip=True)
+    assert [np.flatnonzero(x).tolist() for x in half] == [list(range(4, 14)), list(range(16, 22)), [27, 28], [2, 3, 4, 5]]
+
+
 def test_raster_extras():
     assert raster.four_channels([0, 1, 4], [3, 2, 2], 0, 10)[:, :7].any(axis=1).tolist() == [True, True, False, True]
     assert raster.bars(np.array([0, 5, 10]), 10).sum(axis=0).tolist() == [0, 5 * 255, 10 * 255]
