@@ -1,39 +1,98 @@
-"""Interval joins as equi-joins on genomic bins, and what windows hold of reads."""
+"""Interval joins as equi-joins on genomic bins of several sizes, and what windows hold of reads."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from svlake.operators import match
+
 BIN = 16_384
 
 
+#: Bins of a level are so many times wider than those of the level below it; the highest level's hold a chromosome.
+WIDER, LEVELS = 3, 6
+#: A tile's positions are one group of a running count; rows that a checked table may have to be broadcast.
+TILE, SMALL = 16_384, 50_000
+
+
 def with_bins(df: DataFrame, begin: Column, end: Column, width: int = BIN) -> DataFrame:
     """A row for each bin that [begin, end) touches; inverted and empty intervals have none."""
     return df.where(end > begin).withColumn("bin", F.explode(F.sequence(F.floor(begin / width), F.floor((end - 1) / width))))
 
 
-def overlaps(windows: DataFrame, reads: DataFrame, width: int = BIN, how: str = "inner", left_inclusive_offset: int = 0) -> DataFrame:
+def level_of(begin: Column, end: Column, width: int = BIN) -> Column:
+    """The lowest level whose bins are as wide as [begin, end), so that it touches two of them at most."""
+    return sum((F.when(end - begin > (width << WIDER * k), F.lit(1)).otherwise(F.lit(0)) for k in range(LEVELS - 1)), F.lit(0))
+
+
+def _at_levels(df: DataFrame, levels: Column, begin: Column, end: Column, width: int, first: str) -> DataFrame:
+    """A row for each bin of each level; ``first`` is the interval's first bin there."""
+    df = df.withColumn("level", F.explode(levels))
+    place = lambda x: F.floor(x / F.expr(f"shiftleft({width}L, {WIDER} * level)"))
+    return df.withColumn(first, place(begin)).withColumn("bin", F.explode(F.sequence(F.col(first), place(end - 1))))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def overlaps(windows: DataFrame, reads: DataFrame, width: int = BIN, how: str = "inner", left_inclusive_offset: int = 0, split_above: int | None = None) -> DataFrame:
     """Pairs of windows (chrom, begin, end, ...) and reads (chrom, start0, end0, ...) that share a base.
 
-    Both sides are dealt by (chrom, bin), which holds few rows however many a chromosome has; a pair counts in the later of its two first
-    bins only. ``how`` is inner or left; windows are then told apart by all their columns, so they should have an id.
-    ``left_inclusive_offset`` 1 takes windows as [begin - 1, end)."""
-    begin = F.col("begin") - left_inclusive_offset
-    w = with_bins(windows, begin, F.col("end"), width).withColumn("w_first", F.floor(begin / width))
-    r = with_bins(reads.withColumnRenamed("chrom", "r_chrom"), F.col("start0"), F.col("end0"), width).withColumnRenamed("bin", "r_bin").withColumn("r_first", F.floor(F.col("start0") / width))
-    both = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("start0") < F.col("end")) & (F.col("end0") > begin) & (F.col("bin") == F.greatest("w_first", "r_first"))
-    inner = w.join(r, both).drop("bin", "r_bin", "w_first", "r_first", "r_chrom")
+    Bins have levels, each ``2 ** WIDER`` times wider than the one below. A window and a read meet on the level of the longer of
+    the two, where neither touches more than two bins: a window of a whole chromosome makes a few rows, not one for each ``width`` bases,
+    and short reads of short windows one or two. A pair counts in the later of its two first bins only.
+
+    A bin with more than ``split_above`` reads is split into pieces of about as many, by a hash of the read, and its windows go to all
+    of them; equal reads stay together. Without it splitting is left to the skew handling of adaptive execution. ``how`` is
+    inner or left; windows are then told apart by all their columns, so they should have an id. ``left_inclusive_offset`` 1 takes
+    windows as [begin - 1, end). Empty and inverted intervals meet nothing."""
+    begin, end = F.col("begin") - left_inclusive_offset, F.col("end")
+    w = windows.where(end > begin).withColumn("w_level", level_of(begin, end, width))
+    r = reads.withColumnRenamed("chrom", "r_chrom").where("end0 > start0").withColumn("r_level", level_of(F.col("start0"), F.col("end0"), width))
+    present = [x[0] for x in w.select("w_level").distinct().collect()] or [0]  # LEVELS values at most
+    w = _at_levels(w, F.sequence("w_level", F.lit(LEVELS - 1)), begin, end, width, "w_first")
+    r = _at_levels(r, F.array_distinct(F.array(*[F.greatest(F.lit(x), F.col("r_level")) for x in sorted(present)])), F.col("start0"), F.col("end0"), width, "r_first")
+    r = r.withColumnRenamed("bin", "r_bin").withColumnRenamed("level", "m_level")
+    both = (F.col("chrom") == F.col("r_chrom")) & (F.col("level") == F.col("m_level")) & (F.col("bin") == F.col("r_bin"))
+    if split_above:
+        hot = r.groupBy(F.col("r_chrom").alias("h_chrom"), F.col("m_level").alias("h_level"), F.col("r_bin").alias("h_bin")).count().where(F.col("count") > split_above)
+        hot = _small(match._kept(hot.select("h_chrom", "h_level", "h_bin", F.ceil(F.col("count") / split_above).cast("int").alias("pieces"))))
+        whole = [F.col(f"`{c}`") for c, kind in reads.withColumnRenamed("chrom", "r_chrom").dtypes if "map<" not in kind]
+        r = r.join(hot, (F.col("r_chrom") == F.col("h_chrom")) & (F.col("m_level") == F.col("h_level")) & (F.col("r_bin") == F.col("h_bin")), "left")
+        r = r.withColumn("r_piece", F.pmod(F.xxhash64(*whole), F.coalesce("pieces", F.lit(1)))).drop("h_chrom", "h_level", "h_bin", "pieces")
+        w = w.join(hot, (F.col("chrom") == F.col("h_chrom")) & (F.col("level") == F.col("h_level")) & (F.col("bin") == F.col("h_bin")), "left")
+        w = w.withColumn("w_piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("h_chrom", "h_level", "h_bin", "pieces")
+        both = both & (F.col("w_piece") == F.col("r_piece"))
+    both = both & (F.col("level") == F.greatest("w_level", "r_level")) & (F.col("start0") < end) & (F.col("end0") > begin) & (F.col("bin") == F.greatest("w_first", "r_first"))
+    inner = w.join(r, both).drop("bin", "r_bin", "level", "m_level", "w_level", "r_level", "w_first", "r_first", "r_chrom", "w_piece", "r_piece")
     if how == "inner":
         return inner
     extra = [c for c in inner.columns if c not in windows.columns]
     return windows.join(inner, windows.columns, "left").select(*windows.columns, *extra)
 
 
-def read_counts(windows: DataFrame, reads: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
-    """Windows with n, the number of overlapping reads, 0 included. ``keys`` identify a window."""
-    counts = overlaps(windows, reads, width).groupBy(*keys).agg(F.count("*").alias("n"))
-    return windows.join(counts, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def read_counts(windows: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows with n, the number of overlapping reads, 0 included. ``keys`` identify a window.
+
+    No pair is made: the reads that overlap [begin, end) are those that start before ``end`` without those that end by ``begin``, and both
+    are running counts over positions. Starts and ends are summed for each position before they are shuffled, tiles of positions start
+    with the sums of the tiles before, and windows ask at distinct positions, so neither long windows nor deep places weigh on a task."""
+    marks = F.inline(F.array(F.struct(F.col("start0").alias("pos"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("end0").alias("pos"), F.lit(0).alias("s"), F.lit(1).alias("e"))))
+    marks = reads.where("end0 > start0").select("chrom", marks).groupBy("chrom", "pos").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("tile", F.floor(F.col("pos") / TILE))
+    asked = windows.where(F.col("end") > F.col("begin")).select("chrom", F.explode(F.array(F.col("end") - 1, F.col("begin"))).alias("pos")).distinct().withColumn("tile", F.floor(F.col("pos") / TILE))
+    sums = marks.groupBy("chrom", "tile").agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.lit(False).alias("asks"))
+    sums = sums.unionByName(asked.select("chrom", "tile", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit(True).alias("asks")).distinct())
+    before = Window.partitionBy("chrom").orderBy("tile").rangeBetween(Window.unboundedPreceding, -1)  # a row or two for each tile
+    bases = sums.select("chrom", "tile", "asks", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e")).where("asks").drop("asks")
+    every = marks.select("chrom", "tile", "pos", "s", "e", F.lit(0).alias("kind")).unionByName(bases.select("chrom", "tile", (F.col("tile") * TILE - 1).alias("pos"), "s", "e", F.lit(0).alias("kind")))
+    every = every.unionByName(asked.select("chrom", "tile", "pos", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit(1).alias("kind")))
+    upto = Window.partitionBy("chrom", "tile").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)  # TILE positions
+    found = every.select("chrom", "pos", "kind", F.sum("s").over(upto).alias("s"), F.sum("e").over(upto).alias("e")).where("kind = 1")
+    w = windows.where(F.col("end") > F.col("begin"))
+    w = w.join(found.select("chrom", (F.col("pos") + 1).alias("end"), "s"), ["chrom", "end"]).join(found.select("chrom", F.col("pos").alias("begin"), "e"), ["chrom", "begin"])
+    return windows.join(w.select(*keys, (F.col("s") - F.col("e")).alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def extents(windows: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:

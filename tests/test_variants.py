@@ -183,11 +183,35 @@ def test_overlap_counts_each_pair_once(spark):
     rng = random.Random(5)
     w = [(i, "1", s, s + rng.randrange(1, 60_000)) for i in range(30) for s in [rng.randrange(100_000)]]
     r = [("1", s, s + rng.randrange(1, 40_000)) for _ in range(100) for s in [rng.randrange(150_000)]]
-    got = overlap.read_counts(spark.createDataFrame(w, "id long, chrom string, begin long, end long"), spark.createDataFrame(r, "chrom string, start0 long, end0 long"), ["id"], width=5000)
+    got = overlap.read_counts(spark.createDataFrame(w, "id long, chrom string, begin long, end long"), spark.createDataFrame(r, "chrom string, start0 long, end0 long"), ["id"])
     want = {i: sum(s < e1 and e > b1 for _, s, e in r) for i, _, b1, e1 in w}
     assert {x.id: x.n for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("split", [None, 40])
+def test_overlaps_of_all_sizes(spark, split):
+    """Bases to chromosomes on either side, a bin with most of the reads, copies, empty and inverted intervals: the pairs of a plain loop."""
+    rng = random.Random(8)
+    sizes = [1, 2, 90, 5000, 130_000, 3_000_000]
+    w = [(i, rng.choice("12"), s, s + rng.choice(sizes) + rng.randrange(3)) for i in range(60) for s in [rng.randrange(2_000_000)]] + [(100, "1", 0, 3_000_000), (101, "1", 50, 50), (102, "2", 60, 10), (103, "9", 0, 100)]
+    r = [(rng.choice("12"), s, s + rng.choice(sizes), f"r{k}") for k in range(300) for s in [rng.randrange(2_000_000)]] + [("1", 70_000 + k % 50, 70_200, f"hot{k}") for k in range(400)] + [("1", 7, 7, "empty"), ("1", 70_010, 70_200, "same")] * 3
+    windows_, reads_ = spark.createDataFrame(w, "id long, chrom string, begin long, end long"), spark.createDataFrame(r, "chrom string, start0 long, end0 long, name string")
+    want = Counter((i, n) for i, c, b, e in w for d, s, t, n in r if c == d and b < e and s < t and s < e and t > b)
+    pairs = overlap.overlaps(windows_, reads_, width=1000, split_above=split)
+    assert Counter((x.id, x.name) for x in pairs.collect()) == want
+    assert pairs.columns == ["id", "chrom", "begin", "end", "start0", "end0", "name"]
+    left = overlap.overlaps(windows_, reads_, width=1000, how="left", split_above=split).collect()
+    assert Counter((x.id, x.name) for x in left) == want + Counter((i, None) for i, *_ in w if not any(k[0] == i for k in want))
+    counts = Counter(i for i, n in want.elements())
+    assert {x.id: x.n for x in overlap.read_counts(windows_, reads_, ["id"]).collect()} == {i: counts[i] for i, *_ in w}
+
+
+def test_long_windows_make_few_rows(spark):
+    w = spark.createDataFrame([(0, 250_000_000), (5, 6), (16_000, 16_500)], "begin long, end long")
+    rows = overlap._at_levels(w.withColumn("w_level", overlap.level_of(F.col("begin"), F.col("end"))), F.sequence("w_level", F.lit(overlap.LEVELS - 1)), F.col("begin"), F.col("end"), overlap.BIN, "first")
+    assert max(x["count"] for x in rows.groupBy("begin").count().collect()) <= 2 * overlap.LEVELS
+
+
 def test_depth_and_tracks(spark):
     cigar = "array<struct<op:int,len:int>>"
     r = spark.createDataFrame([("1", 10, [(4, 4), (0, 5), (2, 3), (1, 7), (0, 2)]), ("1", 12, [(0, 4)])], f"chrom string, start0 long, cigar {cigar}")
