@@ -134,31 +134,59 @@ def _imager(scheme: Scheme, side: int, keys: list[str]):
     return run
 
 
+_SPANS, _COVER = "array<struct<lo:bigint,hi:bigint,value:int>>", "array<struct<lo:bigint,hi:bigint>>"
+
+
+def span_array(cigar: Column, offset: Column, width: Column, scheme: Scheme = WIDE) -> Column:
+    """The spans of a read's operations in painting order, as an array column of (lo, hi, value); empty ones are left out."""
+
+    pick = lambda op, values: F.get(F.array(*[F.lit(values.get(k)) for k in range(16)]), op)
+    inside = lambda x: F.greatest(F.lit(0).cast("long"), F.least(width.cast("long"), x.cast("long")))
+    sides = [{k: float(v[i]) for k, v in scheme.around.items()} for i in (0, 1)]
+    if all(x.is_integer() for v in sides for x in v.values()):
+        sides = [{k: int(x) for k, x in v.items()} for v in sides]
+
+    def step(s: Column, c: Column) -> Column:
+        op, n, at = c["op"], c["len"], s["at"]
+        span = F.struct(inside(at - pick(op, sides[0]) * n).alias("lo"), inside(at + pick(op, sides[1]) * n).alias("hi"), pick(op, scheme.value).alias("value"))
+        one = F.filter(F.array(span), lambda x: x["value"].isNotNull() & (x["lo"] < x["hi"]))
+        return F.struct((at + pick(op, {k: int(k in scheme.advance) for k in range(16)}) * n).cast("long").alias("at"), F.concat(s["out"], one).alias("out"))
+
+    return F.aggregate(cigar, F.struct(offset.cast("long").alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda s: s["out"])
+
+
+def visible(spans: Column) -> Column:
+    """What is seen of spans that were painted in their order: disjoint (lo, hi, value). From the last span to the first, each
+    shows where none behind it lies; what is covered is kept as disjoint stretches, one or few unless operations leave gaps."""
+
+    def show(s: Column, c: Column, over: Column) -> Column:
+        lo, hi = c["lo"], c["hi"]
+        starts, ends = F.concat(F.array(lo), F.transform(over, lambda x: x["hi"])), F.concat(F.transform(over, lambda x: x["lo"]), F.array(hi))
+        free = F.zip_with(starts, ends, lambda x, y: F.struct(F.greatest(x, lo).alias("lo"), F.least(y, hi).alias("hi"), c["value"].alias("value")))
+        whole = F.struct(F.least(lo, F.get(over, F.lit(0))["lo"]).alias("lo"), F.greatest(hi, F.get(over, F.size(over) - 1)["hi"]).alias("hi"))
+        covered = F.concat(F.filter(s["covered"], lambda x: x["hi"] < lo), F.array(whole), F.filter(s["covered"], lambda x: x["lo"] > hi))
+        return F.struct(covered.alias("covered"), F.concat(s["out"], F.filter(free, lambda x: x["lo"] < x["hi"])).alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        over = F.filter(s["covered"], lambda x: (x["hi"] >= c["lo"]) & (x["lo"] <= c["hi"]))
+        return F.get(F.transform(F.array(over), lambda o: show(s, c, o)), F.lit(0))  # so that it is made once
+
+    return F.aggregate(F.reverse(spans), F.struct(F.array().cast(_COVER).alias("covered"), F.array().cast(_SPANS).alias("out")), step, lambda s: s["out"])
+
+
 def column_sums(reads: DataFrame, keys: list[str], scheme: Scheme = WIDE) -> DataFrame:
     """keys, x, grey, reads: over the rows of all reads (keys, width, cigar), each painted by itself from its start, the sum of the values at
-    place x and how many rows reach it. Batches are summed before they are shuffled."""
-
-    def sums(batches):
-        for b in batches:
-            at, ops, lens = cigars(b.column("cigar"))
-            held: dict[tuple, list[np.ndarray]] = {}
-            for n, (width, *key) in enumerate(zip(b.column("width").to_pylist(), *[b.column(k).to_pylist() for k in keys], strict=True)):
-                both = held.setdefault(tuple(key), [np.zeros(0, np.int64), np.zeros(0, np.int64)])
-                if len(both[0]) < width:
-                    both[:] = [np.concatenate([x, np.zeros(width - len(x), np.int64)]) for x in both]
-                line = np.zeros(max(width, 0), np.int64)
-                for lo, hi, v in spans(ops[at[n] : at[n + 1]], lens[at[n] : at[n + 1]], 0, len(line), scheme):
-                    line[lo:hi] = v
-                both[0][: len(line)] += line
-                both[1][: len(line)] += 1
-            out = [(k, x, c) for k, (x, c) in held.items()]
-            names = [pa.array([k[i] for k, x, _ in out for _ in range(len(x))], b.column(name).type) for i, name in enumerate(keys)]
-            numbers = [np.concatenate([np.zeros(0, np.int64), *y]) for y in ([np.arange(len(x)) for _, x, _ in out], [x for _, x, _ in out], [c for _, _, c in out])]
-            yield pa.RecordBatch.from_arrays([*names, *map(pa.array, numbers)], [*keys, "x", "grey", "reads"])
-
-    kinds = dict(reads.dtypes)
-    made = reads.select(*keys, "width", "cigar").mapInArrow(sums, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x long, grey long, reads long")
-    return made.groupBy(*keys, "x").agg(F.sum("grey").alias("grey"), F.sum("reads").alias("reads"))
+    place x and how many rows reach it. No row is painted: what is seen of a read's spans are interval ends, summed for each place before
+    they are shuffled; a group's places, as many as its longest row has, are one task's. Reads without width have no row."""
+    ends = lambda lo, hi, grey, n: F.array(*[F.struct(x.cast("long").alias("x"), (sign * grey).cast("long").alias("grey"), F.lit(sign * n).cast("long").alias("n")) for x, sign in ((lo, 1), (hi, -1))])
+    lit = F.exists("cigar", lambda c: c["op"].isin([k for k, v in scheme.value.items() if v]))  # others show nothing
+    seen = F.filter(F.when(lit, visible(span_array(F.col("cigar"), F.lit(0), F.col("width"), scheme))).otherwise(F.array().cast(_SPANS)), lambda v: v["value"] != 0)
+    marks = F.concat(F.flatten(F.transform(seen, lambda v: ends(v["lo"], v["hi"], v["value"], 0))), ends(F.lit(0), F.col("width"), F.lit(0), 1))
+    sums = reads.where("width > 0").select(*keys, F.inline(marks)).groupBy(*keys, "x").agg(F.sum("grey").alias("grey"), F.sum("n").alias("n"))
+    order = Window.partitionBy(*keys).orderBy("x")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    runs = sums.select(*keys, "x", F.lead("x").over(order).alias("to"), F.sum("grey").over(upto).alias("grey"), F.sum("n").over(upto).alias("reads")).where("to is not null")
+    return runs.select(*keys, F.explode(F.sequence("x", F.col("to") - 1)).alias("x"), "grey", "reads")
 
 
 def images(windows: DataFrame, reads: DataFrame, keys: list[str], order: list[str], scheme: Scheme = WIDE, side: int = SIDE, most: int = 10_000, number: str | None = None) -> DataFrame:

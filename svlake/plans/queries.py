@@ -459,7 +459,7 @@ _VALUE = "case when x >= greatest(0, clip0 - 2 * oplen) and x < clip0 + 2 * ople
 
 @query(f"with {X.READS}, r as (select *, m1 as clip0, end0 - start0 as width from reads), p as (select r.*, unnest(range(0, r.width)) as x from r) select chrom, x, cast(sum({_VALUE}) as bigint) as grey, count(*) as reads from p group by all")
 def raster_row_sample(spark, d):
-    """Sums of all reads' rows at every base: spans of painted values and extents as interval ends, so no row is painted."""
+    """Sums of all reads' rows at every base: what is seen of painted spans, and extents, as interval ends, so no row is painted."""
     r = X.reads(spark, d).select("chrom", (F.col("end0") - F.col("start0")).alias("width"), "cigar")
     return raster.column_sums(r, ["chrom"]).select("chrom", "x", "grey", "reads")
 

@@ -334,6 +334,28 @@ def test_clip_width_and_gap(spark):
     assert [np.flatnonzero(x).tolist() for x in half] == [list(range(4, 14)), list(range(16, 22)), [27, 28], [2, 3, 4, 5]]
 
 
+def test_visible_segments_equal_painting(spark):
+    """Disjoint segments and column sums against painting, with gaps (N, =, X), wide spans and all schemes."""
+    rng, kind = random.Random(11), "array<struct<op:int,len:int>>"
+    rows = [(i, rng.choice("ab"), rng.randrange(0, 260), [(rng.choice([0, 1, 2, 3, 4, 5, 7, 8]), rng.randrange(1, 60)) for _ in range(rng.randrange(0, 14))]) for i in range(250)]
+    df = spark.createDataFrame(rows, f"id long, g string, width long, cigar {kind}")
+    for scheme in (raster.WIDE, raster.TWO_LEVELS, raster.CLIPS_AS_MATCHES):
+        seen = {r.id: r.v for r in df.select("id", raster.visible(raster.span_array(F.col("cigar"), F.lit(0), F.col("width"), scheme)).alias("v")).collect()}
+        sums = {}
+        for i, g, width, cigar in rows:
+            full, got = np.full(width, -1), np.full(width, -1)
+            for lo, hi, v in raster.spans(np.array([c[0] for c in cigar], int), np.array([c[1] for c in cigar], int), 0, width, scheme):
+                full[lo:hi] = v
+            for s in seen[i]:
+                assert (got[s.lo : s.hi] == -1).all()
+                got[s.lo : s.hi] = s.value
+            assert (got == full).all()
+            for x, v in enumerate(full.tolist()):
+                grey, n = sums.get((g, x), (0, 0))
+                sums[g, x] = (grey + max(v, 0), n + 1)
+        assert {(r.g, r.x): (r.grey, r.reads) for r in raster.column_sums(df, ["g"], scheme).collect()} == sums
+
+
 def test_raster_extras():
     assert raster.four_channels([0, 1, 4], [3, 2, 2], 0, 10)[:, :7].any(axis=1).tolist() == [True, True, False, True]
     assert raster.bars(np.array([0, 5, 10]), 10).sum(axis=0).tolist() == [0, 5 * 255, 10 * 255]
