@@ -3,10 +3,12 @@
 Words are maximal runs of letters, marks and digits, lower-cased, so punctuation stuck to a passage doesn't hide it. A window of
 a document is as long as the benchmark item it may repeat. A window that shares no shingle with an item has similarity 0,
 so only windows that are aligned with some item by a shared shingle are built: an exact restriction. Equal windows are
-fingerprinted once. The 64-bit SimHash is cut into radius + 1 blocks; two fingerprints within the radius agree in one of
-them at least, so an equi-join on (block, bits) finds all such pairs. These, and every window with the item it is aligned
-with however far apart their fingerprints are, are verified exactly: the weight of the item's shingles that the window
-holds, against the weight of all the item's shingles. So the radius costs no aligned window; it only adds pairs.
+fingerprinted once. The 64-bit SimHash is cut into four blocks of 16 bits; of two fingerprints within the radius one block at
+least differs in a quarter of the radius or less, so items are filed under the bits of each block and all that differ from them
+by so few, and an equi-join of windows on (length, block, bits) finds every item of the window's own length within the radius. With a radius
+of 11 less than 1 % of unrelated fingerprints meet. These pairs, and every window with the item it is aligned with whose fingerprint
+lies farther away, are verified exactly: the weight of the item's shingles that the window holds, against the weight of all
+the item's shingles. So nothing at ``similarity`` or above is lost to the fingerprints.
 
 Everything is DataFrame and SQL work. A document's words stay arrays within its row; a bitmap of the items' shingles, sized
 by their count, drops positions that can't match before rows are made of them.
@@ -14,13 +16,16 @@ by their count, drops positions that can't match before rows are made of them.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small
 
 SHINGLE = 5
-RADIUS = 13
+RADIUS = 11
+BLOCKS, BLOCK_BITS = 4, 16
 SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -56,15 +61,30 @@ def _simhash(words: str) -> str:
     return f"aggregate(sequence(0, 63), 0L, (f, b) -> if({half}, f | shiftleft(1L, b), f))"
 
 
-def _blocks(radius: int) -> Column:
-    """(block, bits) of a fingerprint ``sim``: radius + 1 runs of bits that differ in length by one at most."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(sim, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]))
+def _blocks(differing: int) -> Column:
+    """(block, bits) of a fingerprint ``sim``: four runs of 16 bits; with ``differing`` also all runs that differ in so many bits."""
+    masks = [sum(1 << b for b in bits) for k in range(differing + 1) for bits in combinations(range(BLOCK_BITS), k)]
+    runs = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"cast(shiftrightunsigned(sim, {BLOCK_BITS * i}) & {(1 << BLOCK_BITS) - 1}L as int)").alias("bits")) for i in range(BLOCKS)])
+    near = F.transform(runs, lambda r: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(r["block"].alias("block"), r["bits"].bitwiseXOR(m).alias("bits"))))
+    return F.explode(F.flatten(near))
+
+
+def met(texts: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """Pairs of fingerprints ``sim`` of texts (key, n) and items (item, n) that meet in a block, with their Hamming distance."""
+    a = texts.select("key", "n", F.col("sim").alias("ws"), _blocks(0).alias("x")).select("key", "n", "ws", "x.*")
+    b = materialise(items.select("item", "n", F.col("sim").alias("is"), _blocks(radius // BLOCKS).alias("x")).select("item", "n", "is", "x.*"), "blocks")
+    return a.join(small(b), ["n", "block", "bits"]).withColumn("hamming", F.expr("bit_count(ws ^ is)"))
+
+
+def within(texts: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """(key, item, hamming): all texts and items of equal length ``n`` whose fingerprints differ in ``radius`` bits at most."""
+    return met(texts, items, radius).where(F.col("hamming") <= radius).select("key", "item", "hamming").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, window_words, hamming, similarity): for each document and item that it repeats, the most
-    similar window (the first of equals), ``start`` counting words from 0.
+    similar window (the first of equals), ``start`` counting words from 0. A window has as many words as its item, fewer only where
+    the text begins or ends within it.
 
     Shingles have ``shingle`` words; an item of fewer words is one shingle. A shingle's weight is
     ln(1 + items / items that have it). Items without words and rows without id, on either side, take no part, of repeated
@@ -104,14 +124,12 @@ def _scan(docs: DataFrame, items: DataFrame, size: int, radius: int, similarity:
     starts = materialise(met.select("doc_id", "copy", "item", (F.col("i") - F.col("p")).alias("start"), "n").distinct(), "starts")
     held = named.join(starts.select("doc_id", "copy").distinct(), ["doc_id", "copy"], "left_semi").select("doc_id", "copy", _hashes(F.col("text")).alias("h"))
     first = F.greatest("start", F.lit(0))
-    windows = starts.join(held, ["doc_id", "copy"]).select("doc_id", first.alias("start"), "item", F.slice("h", first + 1, F.col("start") + F.col("n") - first).alias("w"))
-    windows = materialise(windows.withColumn("key", F.xxhash64("w")), "windows")
-    texts = windows.groupBy("key").agg(F.first("w").alias("w"))
+    windows = starts.join(held, ["doc_id", "copy"]).select("doc_id", first.alias("start"), "item", "n", F.slice("h", first + 1, F.col("start") + F.col("n") - first).alias("w"))
+    windows = materialise(windows.withColumn("key", F.xxhash64("n", "w")), "windows")
+    texts = windows.groupBy("key").agg(F.first("w").alias("w"), F.first("n").alias("n"))
     texts = materialise(texts.withColumn("sim", F.expr(_simhash("w"))), "texts")
     marked = items.withColumn("sim", F.expr(_simhash("w")))
-    a = texts.select("key", F.col("sim").alias("ws"), _blocks(radius).alias("x")).select("key", "ws", "x.*")
-    b = materialise(marked.select("item", F.col("sim").alias("is"), _blocks(radius).alias("x")).select("item", "is", "x.*"), "blocks")
-    near = a.join(small(b), ["block", "bits"]).withColumn("hamming", F.expr("bit_count(ws ^ is)")).where(f"hamming <= {radius}")
+    near = within(texts, marked, radius)
     aligned = windows.select("key", "item").distinct().join(texts.select("key", F.col("sim").alias("ws")), "key")
     aligned = aligned.join(small(marked.select("item", F.col("sim").alias("is"))), "item").withColumn("hamming", F.expr("bit_count(ws ^ is)"))
     near = near.select("key", "item", "hamming").union(aligned.select("key", "item", "hamming")).distinct()
