@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from svlake.operators import match
@@ -106,9 +106,35 @@ def capped(pairs: DataFrame, keys: list[str], order: list[str], most: int = 10_0
     return pairs.withColumn("nth", at).where(F.col("nth") <= most).drop("nth")
 
 
+def write_ranked(rows: DataFrame, order: list[str], path: str, ranges: int | None = None) -> None:
+    """Write ``rows`` below ``path`` by ranges of ``order``, each row with its place in its range, and an index that says with which rank
+    each range begins; ``page`` reads it. Rows that are equal in ``order`` have any order."""
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = dealt.withColumn("range", F.spark_partition_id()).withColumn("in_range", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    placed.write.partitionBy("range").parquet(f"{path}/rows")
+    counts = spark.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank")).write.parquet(f"{path}/ranges")
+
+
+def page(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` of what ``write_ranked`` has written, counted from 0, the last one left out, with their ``rank``. Only ranges
+    that hold such rows are read."""
+    index = spark.read.parquet(f"{path}/ranges").where((F.col("first_rank") < last) & (F.col("first_rank") + F.col("n") > first))
+    held = {r.range: r.first_rank for r in index.select("range", "first_rank").collect()}  # the page's ranges
+    begins = F.create_map(*[F.lit(x) for kv in held.items() for x in kv]) if held else F.create_map(F.lit(-1), F.lit(0))
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("range").isin(*held))
+    rows = rows.withColumn("rank", (begins[F.col("range")] + F.col("in_range")).cast("long")).drop("range", "in_range")
+    return rows.where((F.col("rank") >= first) & (F.col("rank") < last)).orderBy("rank")
+
+
 def nth_reads(reads: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
-    """Reads ``first`` to ``last``, counted from 0, the last one left out, in the order of ``order``."""
-    return reads.orderBy(*order).offset(first).limit(max(0, last - first))
+    """Reads ``first`` to ``last``, counted from 0, the last one left out, in the order of ``order``. For many pages write the reads once
+    (``write_ranked``)."""
+    path = match._shared(reads.sparkSession, "ranked")
+    write_ranked(reads, order, path)
+    return page(reads.sparkSession, path, first, max(first, last)).drop("rank")
 
 
 def top(counts: DataFrame, by: list[str], k: int = 10, tie: str = "id") -> DataFrame:

@@ -69,5 +69,11 @@ def tracks(reads: DataFrame) -> DataFrame:
 
 def insertion_lists(reads: DataFrame) -> DataFrame:
     """(chrom, pos, values): lengths of the insertions at a position, sorted, behind a 0."""
-    s = segments(reads, []).where("op = 1")
-    return s.groupBy("chrom", F.col("at").alias("pos")).agg(F.concat(F.array(F.lit(0)), F.array_sort(F.collect_list(F.col("len").cast("int")))).alias("values"))
+    runs = F.array_sort(F.collect_list(F.struct("len", "n")))  # as many as a position has different lengths
+    values = F.flatten(F.transform(runs, lambda r: F.array_repeat(r["len"], r["n"].cast("int"))))
+    return insertion_counts(reads).groupBy("chrom", "pos").agg(F.concat(F.array(F.lit(0)), values).alias("values"))
+
+
+def insertion_counts(reads: DataFrame) -> DataFrame:
+    """(chrom, pos, len, n): how many insertions of a length a position has, summed before they are shuffled."""
+    return segments(reads, []).where("op = 1").groupBy("chrom", F.col("at").alias("pos"), F.col("len").cast("int").alias("len")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
-from svlake.operators import clean, match, merge, metrics, overlap, pileup, raster, score, windows
+from svlake.operators import clean, match, merge, metrics, overlap, pileup, quantiles, raster, score, windows
 from svlake.plans import fixtures as X
 from svlake.sources import bam, files, vcf
 
@@ -364,17 +364,24 @@ select chrom, pos, size, cast(s[1] as double) as v_min, cast(s[n // 4 + 1] as do
   round(sqrt(sq / n), 6) as rms, round(n / inv, 6) as hm, round(m, 6) as mean, round(sd, 6) as std, round(sd / m, 6) as cv from r"""
 )
 def base_stats11(spark, d):
-    s = pileup.insertion_lists(X.reads(spark, d)).select("chrom", "pos", A.stats11(F.col("values")).alias("s")).select("chrom", "pos", "s.*")
-    rounded = {c: F.round(c, 6) for c in ("rms", "hm", "mean", "std", "cv")}
-    return s.withColumns(rounded).withColumn("size", F.col("size").cast("bigint"))
+    s = quantiles.counted_stats11(pileup.insertion_counts(X.reads(spark, d)), ["chrom", "pos"], "len", "n")
+    return s.withColumns({c: F.round(c, 6) for c in ("rms", "hm", "mean", "std", "cv")})
 
 
 @query(f"{_SEG} select chrom, count(*) as size, quantile_cont(len, 0.25) as q1, quantile_cont(len, 0.5) as q2, quantile_cont(len, 0.75) as q3, cast(max(len) as double) as q4, round(sqrt(avg(len * len)), 6) as rms, round(avg(len), 6) as mean, round(stddev_pop(len), 6) as std, round(stddev_pop(len) / avg(len), 6) as cv from seg where op = 1 group by chrom")
 def base_stats9(spark, d):
     s = pileup.segments(X.reads(spark, d), []).where("op = 1").withColumn("len", F.col("len").cast("double"))
-    p = F.percentile("len", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 1.0)])).alias("p")
-    r = s.groupBy("chrom").agg(F.count("*").alias("size"), p, F.sqrt(F.avg(F.col("len") * F.col("len"))).alias("rms"), F.avg("len").alias("mean"), F.stddev_pop("len").alias("std"))
-    return r.select("chrom", "size", *[F.col("p")[i].alias(f"q{i + 1}") for i in range(4)], *[F.round(c, 6).alias(c) for c in ("rms", "mean", "std")], F.round(F.col("std") / F.col("mean"), 6).alias("cv"))
+    p = quantiles.exact_quantiles(s, ["chrom"], "len", [0.25, 0.5, 0.75, 1.0])
+    r = s.groupBy("chrom").agg(F.sqrt(F.avg(F.col("len") * F.col("len"))).alias("rms"), F.avg("len").alias("mean"), F.stddev_pop("len").alias("std")).join(p, "chrom")
+    return r.select("chrom", F.col("n").alias("size"), *[F.col("q")[i].alias(f"q{i + 1}") for i in range(4)], *[F.round(c, 6).alias(c) for c in ("rms", "mean", "std")], F.round(F.col("std") / F.col("mean"), 6).alias("cv"))
+
+
+@query(f"with {X.READS}, t as (select chrom, unnest([start0, end0 - start0, m1, oplen]) as v, unnest(['start', 'span', 'm1', 'oplen']) as what from reads) select chrom, what, count(*) as n, quantile_cont(v, 0.1) as q10, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.999) as q999 from t group by chrom, what")
+def read_quantiles(spark, d):
+    """Exact quantiles of groups of all sizes and spreads: places, with many distinct values, and lengths, with many ties."""
+    what = F.array(*[F.struct(F.lit(n).alias("what"), F.expr(e).cast("double").alias("v")) for n, e in (("start", "start0"), ("span", "end0 - start0"), ("m1", "m1"), ("oplen", "oplen"))])
+    q = quantiles.exact_quantiles(X.reads(spark, d).select("chrom", F.inline(what)), ["chrom", "what"], "v", [0.1, 0.5, 0.999])
+    return q.select("chrom", "what", "n", *[F.col("q")[i].alias(f"q{x}") for i, x in enumerate((10, 50, 999))])
 
 
 # A row of channels ends after its soft clip, matches, insertion, deletion or X: all lengths count.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
-from svlake.operators import match, merge, metrics, overlap, pileup, raster, score, windows
+from svlake.operators import match, merge, metrics, overlap, pileup, quantiles, raster, score, windows
 from svlake.sources import vcf
 
 
@@ -450,3 +450,45 @@ def test_roc_by_ranges(spark):
             if x is not None:
                 area, x0, y0 = area + (x - x0) * (y + y0) / 2, x, y
         assert areas[g] is None if g == "one" else abs(areas[g] - area) < 1e-9
+
+
+def test_exact_quantiles(spark):
+    """Ties, tiny groups, outliers that leave nearly all values in one range, nulls: as numpy has them, with few bins and values a range."""
+    rng, probs = np.random.default_rng(2), [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    groups = {
+        "normal": rng.normal(size=3000).tolist(), "ties": rng.integers(0, 4, 2000).astype(float).tolist(), "same": [2.5] * 500, "one": [7.0], "two": [1.0, 4.0],
+        "outlier": [*rng.random(2500).tolist(), 1.7e308, -1.7e308], "hot": [*([3.0] * 1500), *rng.random(700).tolist()], None: [1.0, 2.0, 9.0],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("nulls", None), ("nan", float("nan")), ("one", float("inf")), ("one", None)]
+    df = spark.createDataFrame(rows, "v string, x double").repartition(5)
+    for bins, few in ((8, 20), (1024, 10_000)):
+        got = {r.v: (r.n, r.q) for r in quantiles.exact_quantiles(df, ["v"], "x", probs, bins, few).collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            assert got[k][0] == len(values)
+            assert np.allclose(got[k][1], np.quantile(values, probs), rtol=1e-9, atol=1e-12), k
+    assert quantiles.exact_quantiles(df.limit(0), ["v"], "x", probs).count() == 0
+    assert np.allclose(quantiles.exact_quantiles(df.where("v = 'normal'"), [], "x", [0.5], 8, 20).first().q, np.median(groups["normal"]))
+
+
+def test_counted_statistics_equal_those_of_arrays(spark):
+    rng = random.Random(4)
+    values = {k: sorted(rng.choice([1, 2, 7, 50, 51]) for _ in range(n)) for k, n in enumerate([1, 2, 3, 4, 5, 17, 400])}
+    counts = spark.createDataFrame([(k, v, n) for k, vs in values.items() for v, n in Counter(vs).items()], "k long, v int, n long")
+    got = {r.k: tuple(r)[1:] for r in quantiles.counted_stats11(counts, ["k"], "v", "n").collect()}
+    arrays = spark.createDataFrame([(k, [0, *vs]) for k, vs in values.items()], "k long, v array<int>").select("k", A.stats11(F.col("v")).alias("s")).select("k", "s.*").collect()
+    for r in arrays:
+        assert np.allclose(got[r.k], tuple(r)[1:])
+
+
+def test_pages_read_their_ranges_only(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("a"), F.col("id").alias("b"))
+    path = f"file://{tmp_path}/ranked"
+    overlap.write_ranked(rows, ["a"], path, ranges=20)
+    want = sorted(i * 7919 % 5003 for i in range(5000))
+    for first, last in ((0, 10), (4490, 4520), (4999, 6000), (300, 300), (0, 5000)):
+        got = overlap.page(spark, path, first, last)
+        assert [(r.rank, r.a) for r in got.collect()] == list(enumerate(want))[first:last]
+    few = overlap.page(spark, path, 4490, 4520)
+    assert few.select(F.input_file_name()).distinct().count() <= 2
+    assert overlap.page(spark, path, 9000, 9001).count() == 0
