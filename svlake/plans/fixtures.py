@@ -47,6 +47,13 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(head).union(last).union(body)
 
 
+def header_lines(spark: SparkSession, sf_dir: str, caller: str | None = None) -> DataFrame:
+    """ord, line: the header over a caller's calls, its contigs as long as the last call says."""
+    found = calls(spark, sf_dir, caller).groupBy("chrom").agg(F.max("pos").alias("len"))
+    head = found.select((F.col("chrom").cast("bigint") - 100).alias("ord"), F.format_string("##contig=<ID=%s,length=%d>", "chrom", "len").alias("line"))
+    return vcf_lines(spark, sf_dir).where(F.col("ord").isin(-200, -1)).unionByName(head)
+
+
 VCF_LINES = (
     CALLS
     + """, vcf_lines as (select ord, chrom, pos, id, concat(chrom, chr(9), pos, chr(9), id, chr(9), 'N', chr(9), '<', svtype, '>', chr(9), '.', chr(9), 'PASS', chr(9),

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 @query("select distinct cast(user_id % 4 + 1 as varchar) as chrom from events")
 def vcf_contigs(spark, d):
-    return vcf.contigs(X.vcf_lines(spark, d))
+    return vcf.contigs(X.header_lines(spark, d).unionByName(X.vcf_lines(spark, d).where("ord >= 0")))
 
 
 @query(f"with {X.VCF_LINES} select route, count(*) as n from (select case when contains(line, 'SVTYPE=DEL') then 'DEL' when contains(line, 'SVTYPE=INS') then 'INS' end as route from vcf_lines) where route is not null group by route")
@@ -271,12 +271,15 @@ def sv_renumber_ids(spark, d):
     return merge.renumbered(X.calls(spark, d), "tool").select("ord", "new_id")
 
 
-@query("select 0 as section, '##fileformat=VCFv4.2' as line union all select 0, concat('##contig=<ID=', x, ',length=2592000>') from (select unnest(range(1, 5)) as x) union all select 1, '##extra=1' union all select 2, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO', chr(9), 'FORMAT', chr(9), 'SAMPLE')")
+@query(
+    f"""with {X.CALLS}, c as (select caller, concat('##contig=<ID=', chrom, ',length=', max(pos), '>') as line from calls group by caller, chrom)
+select 0 as section, '##fileformat=VCFv4.2' as line union all select 0, line from c where caller = 'A' union all select 1, line from c where caller = 'B' and line not in (select line from c where caller = 'A')
+union all select 2, concat('#CHROM', chr(9), 'POS', chr(9), 'ID', chr(9), 'REF', chr(9), 'ALT', chr(9), 'QUAL', chr(9), 'FILTER', chr(9), 'INFO', chr(9), 'FORMAT', chr(9), 'SAMPLE')"""
+)
 def sv_header_union(spark, d):
-    first = X.vcf_lines(spark, d)
-    more = spark.createDataFrame([(-50, "##extra=1 ")], "ord long, line string")
-    u = vcf.header_union(first, first.unionByName(more))
-    return u.select("section", F.trim("line").alias("line"))
+    """The merged header of both callers' files: contig lines of the second that say something else than the first's are kept."""
+    lines = [X.header_lines(spark, d, c).unionByName(X.vcf_lines(spark, d).where("ord >= 0")) for c in "AB"]
+    return vcf.header_union(*lines).select("section", F.trim("line").alias("line"))
 
 
 # -- reads -----------------------------------------------------------------------------------------------------------
@@ -507,16 +510,19 @@ def raster_image_stats(spark, d):
     return made.select("id", "n_reads", "pixels").mapInArrow(sums, "id string, n_reads long, total long, largest long")
 
 
-@query("with e as (select vec_id, cast(embedding as double[]) as v from embeddings) select vec_id, round((v[1] - list_min(v)) / (list_max(v) - list_min(v)), 6) as x1, round((v[64] - list_min(v)) / (list_max(v) - list_min(v)), 6) as x64 from e")
+@query("with e as (select vec_id, cast(embedding as double[]) as v from embeddings), n as (select vec_id, list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v))) as n from e) select vec_id, cast(i as bigint) as i, round(n[i + 1], 6) as v from n, (select unnest(range(0, 64)) as i) as places")
 def raster_normalised(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", A.min_max(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    return e.select("vec_id", F.round(F.col("v")[0], 6).alias("x1"), F.round(F.col("v")[63], 6).alias("x64"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(A.min_max(F.transform("embedding", lambda x: x.cast("double")))).alias("i", "v"))
+    return e.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 
-@query("select vec_id, round((cast(embedding[1] as double) * 10 / 255 - 0.485) / 0.229, 6) as r1, round((cast(embedding[64] as double) * 10 / 255 - 0.406) / 0.225, 6) as b64 from embeddings")
+@query(
+    """with k as (select unnest([{'n': 0, 'm': 0.485::double, 's': 0.229::double}, {'n': 1, 'm': 0.458::double, 's': 0.224::double}, {'n': 2, 'm': 0.406::double, 's': 0.225::double}]) as k)
+select vec_id, cast(k.n as bigint) as channel, cast(i as bigint) as i, round((cast(embedding[i + 1] as double) * 10 / 255 - k.m) / k.s, 6) as v from embeddings, (select unnest(k) from k) as k, (select unnest(range(0, 64)) as i) as places"""
+)
 def raster_rgb(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", A.rgb_normalised(F.transform("embedding", lambda x: x.cast("double") * 10)).alias("c"))
-    return e.select("vec_id", F.round(F.col("c")[0][0], 6).alias("r1"), F.round(F.col("c")[2][63], 6).alias("b64"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(A.rgb_normalised(F.transform("embedding", lambda x: x.cast("double") * 10))).alias("channel", "c"))
+    return e.select("vec_id", F.col("channel").cast("bigint").alias("channel"), F.posexplode("c").alias("i", "v")).select("vec_id", "channel", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 
 @query("with e as (select vec_id, cast(embedding as double[]) as v from embeddings), p as (select vec_id, v[1:32] as a, v[33:64] as b from e) select vec_id, round((list_cosine_similarity(a[1:16], b[1:16]) + list_cosine_similarity(a[17:32], b[17:32])) / 2, 6) as by_rows, round(list_cosine_similarity(a, b), 6) as whole from p")

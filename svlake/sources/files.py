@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,40 @@ def read_depth(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pos", F.col("pos") - 1)
 
 
+def write_sorted(rows: DataFrame, order: list[str], line: str, path: str) -> None:
+    """One text file in the folder ``path``, the values of ``line`` in the order of ``order``. All tasks sort and write ranges of the rows, whose
+    bytes one task then copies behind each other, a piece at a time. What was in the folder goes."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    rows.orderBy(*order).select(line).write.mode("overwrite").text(f"{target}.parts")
+
+    def join(batches):
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                fs, folder = pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":/", ":///", 1))
+                parts = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(f"{folder}.parts")) if i.base_name.startswith("part-"))
+                if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+                    fs.delete_dir(folder)
+                fs.create_dir(folder)
+                with fs.open_output_stream(f"{folder}/_part", compression=None) as out:
+                    for part in parts:
+                        with fs.open_input_stream(part, compression=None) as into:
+                            while piece := into.read(1 << 22):
+                                out.write(piece)
+                fs.move(f"{folder}/_part", f"{folder}/part-00000.txt")
+                fs.delete_dir(f"{folder}.parts")
+                yield pa.RecordBatch.from_pydict({"parts": pa.array([len(parts)], pa.int64())})
+
+    spark.createDataFrame([(target,)], "uri string").coalesce(1).mapInArrow(join, "parts long").collect()
+
+
 def write_lines(lines: DataFrame, path: str, head: str | None = None) -> None:
-    """Lines (ord, line) in order, below one more line ``head``; one part, as the files' readers want it, after a sort by Spark."""
+    """Lines (ord, line) in order, below one more line ``head``; one file, as its readers want it (``write_sorted``)."""
     rows = lines.select("ord", "line")
     if head is not None:
         rows = rows.unionByName(lines.sparkSession.range(1).select(F.lit(-(1 << 62)).alias("ord"), F.lit(head).alias("line")))
-    rows.orderBy("ord").coalesce(1).select("line").write.mode("overwrite").text(path)
+    write_sorted(rows, ["ord"], "line", path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

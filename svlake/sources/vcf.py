@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svlake.functions import vcf_info as V
+from svlake.sources.files import write_sorted
 
 COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
 
@@ -80,9 +81,9 @@ def header_union(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def write_vcf(header_lines: DataFrame, body_lines: DataFrame, path: str) -> None:
     """One text file: the header (section, ord, line), then the body (ord, line) in order. A single file is what callers'
-    tools read; sorting it spills, and only the writing is one task's."""
+    tools read (``files.write_sorted``)."""
     rows = header_lines.select("section", "ord", "line").unionByName(body_lines.select(F.lit(9).alias("section"), "ord", "line"))
-    rows.orderBy("section", "ord").coalesce(1).select("line").write.mode("overwrite").text(path)
+    write_sorted(rows, ["section", "ord"], "line", path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
