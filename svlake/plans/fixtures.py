@@ -106,7 +106,8 @@ def bam_files(spark: SparkSession, sf_dir: str) -> str:
     from svlake.sources import bam
 
     path = _shared(spark, "bam")
-    bam.write_bam(reads(spark, sf_dir), path, [(str(i), CHROM_LEN) for i in range(1, 5)])
+    ends = reads(spark, sf_dir).groupBy("chrom").agg(F.max("end0")).orderBy("chrom").collect()  # a row for each contig
+    bam.write_bam(reads(spark, sf_dir), path, [tuple(r) for r in ends])
     bam.build_indexes(spark, path)
     return path
 

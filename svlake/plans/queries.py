@@ -70,6 +70,36 @@ def vcf_del_end_compat(spark, d):
     return vcf.deletions(X.vcf_lines(spark, d), compat=True).select("id", "end")
 
 
+@query(f"with {X.VCF_LINES} select row_number() over (order by ord) - 1 as place, chrom, pos, id, regexp_extract(info, '(^|;)SVTYPE=([^;]*)', 2) as svtype, line from info where contains(line, 'SVTYPE=INS') or contains(line, 'SVTYPE=DEL')")
+def vcf_written(spark, d):
+    """Insertions and deletions written below their header as one VCF file in file order, read again with line numbers, and split."""
+    lines, path = X.vcf_lines(spark, d).where("ord >= 0"), match._shared(spark, "vcf")
+    head = X.header_lines(spark, d)
+    kept = [lines.where(V.route(F.col("line")) == k) for k in ("INS", "DEL")]
+    vcf.write_vcf(vcf.header_union(head, head), kept[0].unionByName(kept[1]), path)
+    again = vcf.read_lines(spark, path)
+    first = vcf.header(again).agg(F.max("ord").alias("last"))  # one row
+    r = vcf.records(again).crossJoin(F.broadcast(first))
+    return r.select((F.col("ord") - F.col("last") - 1).alias("place"), "chrom", "pos", "id", V.info_value(F.col("info"), "SVTYPE").alias("svtype"), "line")
+
+
+@query(f"with {X.VCF_LINES} select cast(ord as bigint) as ord, chrom, pos, id, {_CI.format('CIPOS', 1)} as spos, {_CI.format('CIPOS', 2)} as epos, cast(regexp_extract(info, 'SVLEN=([^;]*)', 1) as int) as svlen from info where contains(line, 'SVTYPE=INS') and not contains(line, 'SVTYPE=DEL') and chrom in ('2', '4')")
+def vcf_table_file(spark, d):
+    """The table of insertions written as text and read with typed columns, chromosomes chosen by name as text."""
+    path, columns = match._shared(spark, "table"), ["ord", "chrom", "pos", "id", "spos", "epos", "svlen"]
+    vcf.write_table(vcf.insertions(X.vcf_lines(spark, d)).select(*columns), path)
+    again = vcf.read_table(spark, path, "ord long, chrom string, pos long, id string, spos int, epos int, svlen int")
+    return windows.allowed(again, ["2", "4", "X"])
+
+
+@query(f"with {X.VCF_LINES}, k as (select ord, line from vcf_lines where contains(line, 'SVTYPE=DEL')) select row_number() over (order by ord) as ord, line from k union all select 0, 'CHROM POS ID'")
+def vcf_line_dump(spark, d):
+    """Lines of deletions below a line of names as one text file, read again in order."""
+    path = match._shared(spark, "dump")
+    files.write_lines(X.vcf_lines(spark, d).where(V.route(F.col("line")) == "DEL"), path, head="CHROM POS ID")
+    return vcf.read_lines(spark, path)
+
+
 # -- windows ---------------------------------------------------------------------------------------------------------
 
 
@@ -318,6 +348,22 @@ def bam_scan(spark, d):
     return r.groupBy("chrom").agg(F.count("*").alias("reads"), F.sum("start0").alias("starts"), F.sum("end0").alias("ends"), F.sum(bases).alias("bases"))
 
 
+@query(f"with {X.READS} select chrom, max(end0) as len from reads group by chrom")
+def bam_header(spark, d):
+    """Contigs of BAM headers; the files' contigs are as long as the reads reach."""
+    return bam.contigs(spark, X.bam_files(spark, d))
+
+
+@query(f"with {X.READS} select chrom, count(*) as n, cast(sum(start0) as bigint) as starts from reads where clip not in (1, 2) group by chrom")
+def reads_mapped_primary(spark, d):
+    """Reads that are neither unmapped (flag 4) nor secondary (flag 256), through BAM files that carry the flags."""
+    flag = F.when(F.col("clip") == 1, 4).when(F.col("clip") == 2, 256 + 16).when(F.col("clip") == 3, 16).otherwise(0)
+    path = match._shared(spark, "flags")
+    bam.write_bam(X.reads(spark, d).withColumn("flag", flag), path, [(str(i), X.CHROM_LEN) for i in range(1, 5)])
+    kept = bam.read_bam(spark, path).where(V.mapped_primary(F.col("flag")))
+    return kept.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("start0").alias("starts"))
+
+
 @query(f"with {X.READS} select chrom, count(*) as mapped, cast(0 as bigint) as unmapped from reads group by chrom")
 def bam_index_stats(spark, d):
     """Reads of each contig by the indexes alone."""
@@ -399,6 +445,17 @@ def read_clip_width(spark, d):
     return raster.clip_width(pairs, ["id"], ["start0", "end0", "m1", "m2", "op", "oplen", "clip"])
 
 
+def _channel_sums(rows: DataFrame) -> DataFrame:
+    """id, m, i, d, s: lit places of each channel over the rows (id, pixels)."""
+
+    def sums(batches):
+        for b in batches:
+            lit = [(np.frombuffer(x, np.uint8).reshape(4, -1) > 0).sum(axis=1) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([int(x[k]) for x in lit], pa.int64()) for k in range(4)]], ["id", "m", "i", "d", "s"])
+
+    return rows.select("id", "pixels").mapInArrow(sums, "id string, m long, i long, d long, s long").groupBy("id").agg(*[F.sum(c).alias(c) for c in "mids"])
+
+
 # The base x of a read's row lies in an operation's channel; the row is cut at the window's width. Sums over each channel.
 @query(
     f"""with {X.INS_WINDOWS}, {X.READS}, p as (select w.id, r.*, r.start0 - w."begin" as gap, row_number() over (partition by w.id order by start0, end0, m1, m2, op, oplen, clip) as nth
@@ -413,14 +470,7 @@ def raster_channels(spark, d):
     """Painted bases of each channel over the rows of a window's reads."""
     pairs = overlap.overlaps(X.ins_windows(spark, d).select("id", "chrom", "begin", "end"), X.reads(spark, d))
     widths = raster.clip_width(pairs, ["id"], ["start0", "end0", "m1", "m2", "op", "oplen", "clip"])
-    made = raster.channel_rows(pairs.select("id", "begin", "start0", "cigar").join(widths, "id"), ["id"], "width")
-
-    def sums(batches):
-        for b in batches:
-            lit = [(np.frombuffer(x, np.uint8).reshape(4, -1) > 0).sum(axis=1) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([int(x[k]) for x in lit], pa.int64()) for k in range(4)]], ["id", "m", "i", "d", "s"])
-
-    return made.select("id", "pixels").mapInArrow(sums, "id string, m long, i long, d long, s long").groupBy("id").agg(*[F.sum(c).alias(c) for c in "mids"])
+    return _channel_sums(raster.channel_rows(pairs.select("id", "begin", "start0", "cigar").join(widths, "id"), ["id"], "width"))
 
 
 @query(f"with {X.READS} select chrom, start0, end0 from reads order by chrom, start0, end0, m1, m2, op, oplen, clip limit 50 offset 100")
@@ -474,6 +524,51 @@ def raster_row_sample(spark, d):
     return raster.column_sums(r, ["chrom"]).select("chrom", "x", "grey", "reads")
 
 
+_NARROW = "case when op in (1, 2) and x >= greatest(0, m1 - oplen) and x < m1 + oplen and not (x >= m1 + oplen and x < m1 + oplen + m2) then case op when 1 then 127 else 255 end else 0 end"
+_LEVELS = "case when op in (1, 2) and x >= m1 + oplen and x < m1 + oplen + m2 then 127 when op = 8 and x >= m1 + oplen and x < m1 + oplen + m2 then 127 when op = 1 and x >= greatest(0, trunc(m1 - oplen / 2.0)) and x < trunc(m1 + oplen / 2.0) then 63 when op = 2 and x >= m1 and x < m1 + oplen then 191 when x < m1 then 127 when x < clip // 2 then 255 else 0 end"
+
+
+@query(f"with {X.READS}, r as (select *, end0 - start0 as width from reads), p as (select r.*, unnest(range(0, r.width)) as x from r), b as (select 'narrow' as scheme, chrom, x, {_NARROW} as v from p union all select 'two_levels', chrom, x, {_LEVELS} from p) select scheme, chrom, x, cast(sum(v) as bigint) as grey, count(*) as reads from b group by all")
+def raster_row_schemes(spark, d):
+    """Column sums of all reads' rows under two other schemes: spans of a length on either side, and marks of half a length over grey matches."""
+    r = X.reads(spark, d).select("chrom", (F.col("end0") - F.col("start0")).alias("width"), "cigar")
+    made = [raster.column_sums(r, ["chrom"], s).select(F.lit(n).alias("scheme"), "chrom", "x", "grey", "reads") for n, s in (("narrow", raster.NARROW), ("two_levels", raster.TWO_LEVELS))]
+    return made[0].unionByName(made[1])
+
+
+@query(
+    f"""with {X.INS_WINDOWS}, {X.READS}, p as (select w.id, r.*, r.start0 - w."begin" as a from win_ins w join reads r on r.chrom = w.chrom and r.start0 < w."end" and r.end0 > w."begin"),
+o as (select id, unnest([{{'c': 3, 'f': a - clip // 2, 't': a + clip // 2}}, {{'c': 0, 'f': a, 't': a + m1}}, case op when 1 then {{'c': 1, 'f': a + m1 - oplen // 2, 't': a + m1 + oplen // 2}} else {{'c': op, 'f': a + m1, 't': a + m1 + oplen}} end,
+  {{'c': 0, 'f': a + m1 + case when op = 1 then 0 else oplen end, 't': a + m1 + m2 + case when op = 1 then 0 else oplen end}}]) as o from p),
+c as (select id, o.c as c, greatest(0, least(o.t, 2048) - greatest(o.f, 0)) as n from o)
+select id, cast(sum(case when c = 0 then n else 0 end) as bigint) as m, cast(sum(case when c = 1 then n else 0 end) as bigint) as i, cast(sum(case when c = 2 then n else 0 end) as bigint) as d, cast(sum(case when c = 3 then n else 0 end) as bigint) as s from c group by id"""
+)
+def raster_channels_half(spark, d):
+    """Painted bases of each channel over a window's reads, insertions and clips half a length to either side."""
+    pairs = overlap.overlaps(X.ins_windows(spark, d).select("id", "chrom", "begin", "end"), X.reads(spark, d))
+    made = raster.channel_rows(pairs.select("id", "begin", "start0", "cigar"), ["id"], 2048, half_clip=True)
+    return _channel_sums(made)
+
+
+@query("with e as (select vec_id, [cast(floor(abs(cast(x as double)) * 1000) as bigint) for x in embedding] as v from embeddings), f as (select vec_id, [case when list_max(v) = 0 then 0 else x * 32 // list_max(v) end for x in v] as f from e) select vec_id, cast(r as bigint) as r, cast(len([x for x in f if x >= 32 - r]) as bigint) as lit from f, (select unnest(range(0, 32)) as r) as rows")
+def raster_bars(spark, d):
+    """Lit places in each row of the bar image of a track."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000)).alias("values"))
+
+    def rows(batches):
+        for b in batches:
+            lit = [(np.frombuffer(x, np.uint8).reshape(32, w) > 0).sum(axis=1) for x, w in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(lit)), 32))), pa.array(np.tile(np.arange(32), len(lit))), pa.array(np.concatenate([np.zeros(0, np.int64), *lit]))], ["vec_id", "r", "lit"])
+
+    return raster.bar_images(e, ["vec_id"], height=32).select("vec_id", "width", "pixels").mapInArrow(rows, "vec_id long, r long, lit long")
+
+
+@query("with e as (select vec_id, cast(embedding as double[]) as v from embeddings), p as (select vec_id, v, i, least(greatest((i + 0.5::double) * (64 / 24.0::double) - 0.5::double, 0), 63) as x from e, (select unnest(range(0, 24)) as i) as places) select vec_id, cast(i as bigint) as i, round(v[cast(floor(x) as int) + 1] * (1 - (x - floor(x))) + v[least(cast(floor(x) as int) + 2, 64)] * (x - floor(x)), 6) as v from p")
+def raster_row_centred(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("row"))
+    return e.select("vec_id", F.posexplode(A.resized_centred(F.col("row"), 64, 24)).alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
+
+
 @query("with e as (select vec_id, [cast(round(x * 100) as int) for x in embedding] as row from embeddings), p as (select vec_id, row, unnest(range(0, 24)) as i from e), q as (select vec_id, row, i, i * (63.0::double / 24) as x from p) select vec_id, i, cast(round(row[cast(floor(x) as int) + 1] * (1 - (x - floor(x))) + row[least(cast(floor(x) as int) + 2, 64)] * (x - floor(x))) as int) as v from q")
 def raster_row_resize(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")

@@ -524,6 +524,23 @@ def region(reads: DataFrame, chrom: str, begin: int, end: int) -> DataFrame:
     return reads.where((F.col("chrom") == chrom) & (F.col("start0") < end) & (F.col("end0") > begin))
 
 
+def contigs(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, len) of the headers of a BAM file or of a folder's BAM files, each contig once."""
+
+    def heads(parts):
+        for part in parts:
+            for uri in part.column(0).to_pylist():
+                fs, inner = open_uri(uri)
+                with fs.open_input_file(inner) as file:
+                    plain = not block_size(file.read_at(min(file.size(), 65536), 0))
+                    rows = read_header(PlainBlocks(file, 0) if plain else Blocks(file, 0))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["chrom", "len"])
+
+    found = files_of(path)
+    uris = spark.createDataFrame([(u,) for u, _ in found], "uri string").repartition(max(1, min(len(found), 1000)), "uri")
+    return uris.mapInArrow(heads, "chrom string, len long").distinct()
+
+
 def index_stats(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, mapped, unmapped) of every contig with mapped reads, summed over files, from the indexes alone: no read is read. A file without
     index, or whose index has no counts, is an error."""
