@@ -284,7 +284,21 @@ def sv_merge_imprecise(spark, d):
     return merge.placed(u, ["tile", "step"], ["chrom"]).select("chrom", "place", "ord")
 
 
-@query()
+def _fused(n: int, first: str, second: str) -> str:
+    """SQL for one two-pointer merge of calls (set, ord, chrom, pos, svtype, svlen, id); of a matched pair the first one's call stays."""
+    ranked = "row_number() over (partition by chrom order by pos, set, ord) as r"
+    return f"""ra{n} as (select *, {ranked} from {first}), rb{n} as (select *, {ranked} from {second}),
+steps{n}(chrom, p, q, i, j) as (select distinct chrom, cast(1 as bigint), cast(1 as bigint), cast(null as bigint), cast(null as bigint) from calls
+  union all select s.chrom, case when go = 'b' then s.p else s.p + 1 end, case when go = 'a' then s.q else s.q + 1 end, case when go <> 'b' then i end, case when go <> 'a' then j end
+  from (select w.chrom, w.p, w.q, a.ord as i, b.ord as j, case when a.ord is null then 'b' when b.ord is null then 'a' when {_EQUAL} then 'ab' when a.pos < b.pos then 'a' else 'b' end as go
+    from steps{n} w left join ra{n} a on a.chrom = w.chrom and a.r = w.p left join rb{n} b on b.chrom = w.chrom and b.r = w.q where a.ord is not null or b.ord is not null) s),
+fused{n} as (select a.* exclude (r) from ra{n} a join steps{n} s on s.i = a.ord union all select b.* exclude (r) from rb{n} b join steps{n} s on s.j = b.ord where s.i is null)"""
+
+
+_SETS = ", ".join(f"set{k} as (select {k} as set, * from calls where ord % 3 = {k})" for k in range(3))
+
+
+@query(f"with recursive {X.CALLS}, {_SETS}, {_fused(1, 'set0', 'set1')}, {_fused(2, 'fused1', 'set2')} select chrom, pos, id from fused2")
 def sv_fuse_nway(spark, d):
     c = X.calls(spark, d).drop("caller", "k")
     return merge.fuse([c.where(F.col("ord") % 3 == k) for k in range(3)], match._kept).select("chrom", "pos", "id")
