@@ -84,3 +84,13 @@ def test_random_access_and_checksums(spark, tmp_path):
     (tmp_path / "cut.zst").write_bytes(data[:-5])
     with pytest.raises(ValueError, match="cut short"):
         T.Reader(str(tmp_path / "cut.zst"))
+
+
+def test_clashing_columns(spark):
+    from svlake.llm.queries import tokenizer_path
+    from svlake.llm.token_files import token_digests
+
+    rows = [(i, f"some text {i}", 5, "x", 9, 1, "s") for i in range(20)] + [(None, None, 5, "x", 9, 1, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, start int, n_tokens string, ids_crc32 int, shard int, uri string")
+    plain = token_digests(d.select("doc_id", "text"), tokenizer_path()).collect()
+    assert sorted(map(str, token_digests(d, tokenizer_path()).collect())) == sorted(map(str, plain))
