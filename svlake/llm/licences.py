@@ -5,8 +5,8 @@ overlapping windows of 8 to 64 words, half a window apart, wherever they hold a
 found however much text stands around it. A multinomial logistic regression over sparse word 1- to 3-grams tells the licence families and
 ``unknown`` apart. It is trained from the templates below - whole, in parts, with words lost or replaced, beside other words -
 and from a bounded sample of the corpus's own lines as unknown. Its temperature is set on rows kept out of training, and a
-paragraph with less than the calibrated probability is unknown. A prediction counts if the paragraph also shares enough
-word pairs with a template of that family.
+paragraph with less than the calibrated probability is unknown; that is calibrated on lines and on windows of each size. A prediction
+counts if the paragraph also has enough of the word pairs of a template of that family.
 
 N-grams that no template has carry no weight, so a paragraph without any of them is unknown without being scored.
 """
@@ -132,6 +132,7 @@ class LicenceModel:
     """A sparse softmax regression and the templates' word pairs."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
+        self.templates = templates
         self.families = [*sorted(templates), UNKNOWN]
         self.pairs = {f: [_pairs(words(t)) for t in templates[f]] for f in sorted(templates)}
         self.grams: dict[tuple, int] = {}
@@ -163,13 +164,19 @@ class LicenceModel:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def closeness(self, w: list[str], family: str) -> float:
+        """The largest share of a template's or the paragraph's word pairs, whichever has fewer, that both have."""
+        mine = _pairs(w)
+        return max((len(mine & t) / max(1, min(len(mine), len(t))) for t in self.pairs[family]), default=0.0)
+
     def similarity(self, w: list[str], family: str) -> float:
         return self.compare(w, family)[0]
 
     def compare(self, w: list[str], family: str) -> tuple[float, int, frozenset]:
-        """Of the template that is closest: the share of its or the paragraph's word pairs that both have, whichever has fewer, how many these are, and which."""
+        """Of the template that is closest: the share of its word pairs that the paragraph has, how many these are, and which. A few words of a
+        template are a small share of it, so what only sounds like a notice isn't confirmed."""
         mine = _pairs(w)
-        shared = [(len(both) / max(1, min(len(mine), len(t))), len(both), both) for t in self.pairs[family] if (both := mine & t)]
+        shared = [(len(both) / len(t), len(both), both) for t in self.pairs[family] if (both := mine & t)]
         return max(shared, key=lambda x: x[:2], default=(0.0, 0, frozenset()))
 
     def train(self, samples: list[tuple[list[str], int]], epochs: int = 30, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> None:
@@ -198,19 +205,25 @@ class LicenceModel:
             return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
         self.temperature = float(min(np.geomspace(0.2, 5, 41), key=loss))
-        # The least probability at which at most 1 of 100 unknown paragraphs kept out of training would be named.
-        p = np.array([self.probabilities(w) for w, _ in held])
-        named = np.sort(p[y == len(self.families) - 1, :-1].max(axis=1, initial=0))
-        self.least = float(max(0.5, named[int(0.99 * (len(named) - 1))])) if len(named) else 0.5
+        # The least probability at which at most 1 of 100 unknown paragraphs kept out of training would be named, and at most 1 of
+        # 100 windows of each size over them, which is how longer texts are read.
+        unknown = [w for w, k in held if k == len(self.families) - 1]
+        flow = [x for w in unknown for x in w]
+        kinds = [unknown, *([flow[i : i + n] for i in range(0, len(flow) - n + 1, n // 2)] for n in WINDOWS)]
+        self.least = 0.5
+        for paragraphs in kinds:
+            tops = np.sort([self.probabilities(w)[:-1].max() for w in paragraphs if not self.known_words.isdisjoint(w)])
+            if len(tops):
+                self.least = max(self.least, float(tops[int(0.99 * (len(tops) - 1))]))
 
 
 def samples_of(model: LicenceModel, lines: list[str], seed: int = 2, copies: int = 40) -> list[tuple[list[str], int]]:
     rng = np.random.default_rng(seed)
-    other = [w for w in map(words, [*lines, *OTHERS]) if w and all(model.similarity(w, f) < 0.5 for f in model.pairs)]
+    other = [w for w in map(words, [*lines, *OTHERS]) if w and all(model.closeness(w, f) < 0.5 for f in model.pairs)]
     filler = [x for w in other for x in w] or ["text"]
     unknown, out = len(model.families) - 1, []
     for y, family in enumerate(model.families[:-1]):
-        for t in TEMPLATES[family]:
+        for t in model.templates[family]:
             w = words(t)
             out.append((w, y))
             for _ in range(copies):
@@ -291,7 +304,8 @@ def _scan(shared):
 
 def scan_licences(docs: DataFrame, confirm: float = 0.6, sample_docs: int = 1_000, sample_lines: int = 4_000, seed: int = 1) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of each line of ``docs`` (doc_id, text) at which the classifier
-    names a family in the line or a window, one row for each family; lines count from 0, blank ones too. ``confirmed`` says that a template of the family shares at least ``confirm`` of the word pairs.
+    names a family in the line or a window, one row for each family; lines count from 0, blank ones too. ``similarity`` is the share of a template's word pairs that stand there,
+    ``confirmed`` says that it is at least ``confirm``.
 
     Unknown examples are the first ``sample_lines`` lines of at most ``sample_docs`` documents, in the order of a hash of
     doc_id. Null and empty texts have no lines; rows without doc_id are scanned as any other; repeated rows give repeated results;

@@ -121,3 +121,25 @@ def test_version_changes_stay_confirmed():
     m = L.LicenceModel()
     assert m.similarity(L.words("This work is licensed under the GNU General Public License, version 2."), "gpl") > 0.9
     assert m.similarity(L.words("a walk in the park with friends"), "gpl") < 0.3
+
+
+def test_prose_that_sounds_like_a_notice_is_not_confirmed(spark):
+    """Sentences that begin like a template, beside true notices; windows are calibrated as they are read."""
+    prose = [
+        "no part of this work may be reproduced in the kitchen", "any person obtaining a copy of this book must pay", "use of this source code is governed by a committee of bakers",
+        "the list of conditions and the following disclaimer were read aloud", "the software is provided to schools as is usual in the county",
+    ]
+    filler = "the baker opened the shop at six and sold bread to people from the village until noon every day"
+    texts = [*prose, *(f"{filler} {x} {filler}" for x in prose), *(f"{filler}\n{x}\n{filler}" for x in prose)]
+    true = [t for f in sorted(L.TEMPLATES) for t in L.TEMPLATES[f]]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{filler}\n\n{t}\n\n{filler}") for i, t in enumerate(true)]
+    got = L.scan_licences(spark.createDataFrame(docs, "doc_id long, text string")).where("confirmed").collect()
+    assert not [r for r in got if r.doc_id < 100]
+    assert len({r.doc_id for r in got}) >= 0.95 * len(true)
+
+
+def test_own_templates():
+    model = L.LicenceModel({"house": ["You may use this recipe in your own kitchen and share it with friends as long as you name the cook."]})
+    model.train(L.samples_of(model, ["the river was high in spring and the bridge stayed closed", "a recipe for soup with onions and old bread"] * 20))
+    assert [x[1] for x in L.named(model, "You may use this recipe in your own kitchen and share it with friends as long as you name the cook.")] == ["house"]
+    assert L.named(model, "the river was high in spring") == []
