@@ -10,11 +10,14 @@ A bucket may hold a third of all rows, so no bucket is gathered. First each memb
 leaders (minima, found by pre-aggregation), then, in buckets where more than one component is left, with those buckets'
 leaders until that finds nothing new, and last, where several components still meet, pairs of different components are
 compared with each other. Pairs within one component could add no information, and pairs whose sizes differ too much can't be similar.
+The texts of members still open after the first comparison are written once, with 16 bits of each shingle; later ones don't read the documents again.
 
 A large family of near copies has many members just below the threshold to most others. Members with a common pivot are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
 |a ^ b| = |D(a)| + |D(b)| - 2 |D(a) & D(b)|, so a linked pair must share more of its differences than sizes allow to be missing
 from the rarest-first prefixes of D(a) and D(b). Joining prefixes finds every such pair; bitmaps of the differences, whose
-differing bits bound |a ^ b| from below, keep nearly all others from being made.
+differing bits bound |a ^ b| from below, keep nearly all others from being made. Members with different pivots are compared pair by
+pair where a bucket has few of them for each of its members; a crowded bucket's members differ from a pivot of the bucket instead, so no
+bucket is squared.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
 
 WORDS = 8  # 64-bit words of a bitmap of differences
+PAIRS = 64  # pairs with different pivots that a bucket may have for each of its members before they share a pivot
+FAMILY = 1000  # members of one pivot that a copy of the pivot's set serves
 BANDS, ROWS, BATCH = 48, 7, 32  # a pair at 0.8 is missed by the bands with probability (1 - 0.8**7)**48 = 1e-5
 
 
@@ -136,7 +141,7 @@ def _verifier(percent: int, kind: type):
 
 
 def _differences(batches):
-    """(rep, component, n, set, pivot, pivot's set) -> the rep's difference from its pivot, with both sizes."""
+    """(rep, component, copy, set, pivot, pivot's set) -> the rep's difference from its pivot, with both sizes."""
     for batch in batches:
         out = []
         for x, y in zip(batch.column(3), batch.column(5), strict=True):
@@ -146,6 +151,18 @@ def _differences(batches):
         yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), batch.column(1), *made], ["pivot", "rep", "component", "d", "n", "np"])
 
 
+def _deltas(members: DataFrame, sets: DataFrame, family: int) -> DataFrame:
+    """Differences of members (rep, component, pivot) from their pivots, by sets (doc_id, shingles). A pivot's set is copied for every ``family``
+    members, or a large family would be one join key."""
+    copies = materialise(members.groupBy("pivot").agg(F.ceil(F.count("*") / family).alias("copies")), "pivots")
+    own = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s"))
+    dealt = members.join(copies, "pivot").select("rep", "component", "pivot", F.expr("pmod(xxhash64(rep), copies)").alias("copy"))
+    served = copies.select(F.col("pivot").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(sets, "doc_id")
+    served = served.select(F.col("doc_id").alias("pivot"), "copy", F.col("shingles").alias("p"))
+    both = dealt.join(own, "rep").join(served, ["pivot", "copy"]).select("rep", "component", "copy", "s", "pivot", "p")
+    return materialise(both.mapInArrow(_differences, "pivot long, rep long, component long, d array<long>, n long, np long"), "differences")
+
+
 def _difference_links(percent: int, delta: DataFrame) -> DataFrame:
     """Links between members (pivot, rep, component, d, n, np) of one pivot and different components.
 
@@ -181,13 +198,15 @@ def _difference_links(percent: int, delta: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, seed: int = 7
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, seed: int = 7,
+    pairs_per_member: int = PAIRS, family: int = FAMILY,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets. component_id is the smallest
     doc_id reachable over links. Null and empty texts have no shingles and no links. Rows that share a doc_id are one node with the links of all their texts.
     Rows without doc_id take no part; their component_id is null and they are kept. An empty table gives an empty result.
+    ``pairs_per_member`` and ``family`` only choose how work is dealt out; results don't depend on them.
     """
     spark, hashes = docs.sparkSession, bands * rows // BATCH * BATCH
     bounded_batches(spark)
@@ -203,18 +222,25 @@ def near_duplicates(
     sketch = materialise(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch").dropDuplicates(), "sketches")
     near = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
-    def verified(pairs: DataFrame, short: bool) -> DataFrame:
+    def sets_of(pairs: DataFrame, short: bool) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, short), "doc_id long, shingles binary"), "sets")
+        if short and shorts is not None:
+            return shorts.join(wanted, "doc_id", "left_semi")
+        return materialise(open_texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, short), "doc_id long, shingles binary"), "sets")
+
+    def verified(pairs: DataFrame, short: bool) -> DataFrame:
+        sets = sets_of(pairs, short)
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
         full = pairs.join(right, "b").join(left, "a").select("a", "sa", "b", "sb")
         return materialise(full.mapInArrow(_verifier(percent, np.uint16 if short else np.uint64), "a long, b long").distinct(), "links")
 
     def links(judged: DataFrame) -> DataFrame:
-        """Those of the pairs (a, na, sa, b, nb, sb) that hold."""
+        """Those of the pairs (a, na, sa, b, nb, sb) that hold. Nothing is read for them when none is left."""
         first = judged.where(near("na", "nb")).select("a", "sa", "b", "sb")
-        likely = materialise(first.mapInArrow(_pruner(steps), "a long, b long").distinct(), "likely")
-        return verified(verified(likely, short=True), short=False)
+        found = materialise(first.mapInArrow(_pruner(steps), "a long, b long").distinct(), "likely")
+        for short in (True, False):
+            found = verified(found, short) if found.limit(1).count() else found
+        return found
 
     def sketched(pairs: DataFrame) -> DataFrame:
         left, right = (sketch.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
@@ -231,11 +257,15 @@ def near_duplicates(
     several = materialise(named.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id"), "several")
     texts = named.join(several, "doc_id").select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep").distinct()
     bridges = texts.groupBy("doc_id").agg(F.min("rep").alias("a")).join(texts, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    open_texts, shorts = signed, None
     found = links(sketched(met.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")))).union(bridges)
     reached = components(found)
     tried = None
     while True:
         left_over = open_rows()
+        if shorts is None:  # components only grow, so no later round has members that aren't open now
+            open_texts = materialise(signed.join(left_over.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+            shorts = materialise(open_texts.mapInArrow(_shingler(words, True), "doc_id long, shingles binary"), "shorts")
         pairs = left_over.where("rep <> leader and component <> led").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "starred")
         more = links(sketched(pairs))
@@ -255,19 +285,22 @@ def near_duplicates(
     # Ids with several texts are compared by their sketches: they have no single set to differ from another.
     for k in ("rep", "pivot"):
         jumped = jumped.join(several.withColumnRenamed("doc_id", k), k, "left_anti")
-    members = materialise(left_over.select("rep", "component").distinct().join(jumped, "rep"), "members")
+    placed = materialise(left_over.where("rep <> leader").select("bucket", "rep", "component").join(jumped, "rep", "left"), "placed")
+    kinds = placed.where("pivot is not null").groupBy("bucket", "pivot").agg(F.count("*").cast("double").alias("f"))
+    kinds = kinds.groupBy("bucket").agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.col("f")).alias("same"), F.max_by("pivot", F.struct("f", -F.col("pivot"))).alias("common"))
+    crowded = materialise(kinds.where(f"n * n - same > 2 * {pairs_per_member} * n").select("bucket", "common"), "crowded")
+    placed = materialise(placed.join(crowded, "bucket", "left"), "placed")
+    gathered = placed.where("pivot is not null and common is not null").select("rep", "component", F.col("common").alias("pivot"))
+    members = left_over.select("rep", "component").distinct().join(jumped, "rep").select("rep", "component", "pivot")
+    members = materialise(members.union(gathered).distinct(), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).union(members.select("pivot")).distinct()
-    sets = materialise(signed.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, False), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-    own, other = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s)) for k, s in (("rep", "s"), ("pivot", "p")))
-    apart = members.join(own, "rep").join(other, "pivot").select("rep", "component", F.lit(0).alias("unused"), "s", "pivot", "p")
-    delta = materialise(apart.mapInArrow(_differences, "pivot long, rep long, component long, d array<long>, n long, np long"), "differences")
-    more = materialise(_difference_links(percent, delta), "links")
-    cross = left_over.join(sketch, "rep").join(members.select("rep", "pivot"), "rep", "left").where("rep <> leader")
-    x = cross.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("pivot").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = cross.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("pivot").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    y = y.toDF("bucket", "b", "cb", "pb", "nb", "sb")
-    apart = ~F.coalesce(x.pa == y.pb, F.lit(False))
-    more = more.union(links(x.join(y, (x.bucket == y.bucket) & (x.a < y.b) & (x.ca != y.cb) & apart & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb")))
+    sets = materialise(open_texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, False), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    more = materialise(_difference_links(percent, _deltas(members, sets, family)), "links")
+    cross = placed.join(sketch, "rep")
+    x = cross.select("bucket", "common", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("pivot").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = cross.select(F.col("bucket").alias("other"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("pivot").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.expr("pa is null or pb is null or (pa <> pb and common is null)")
+    more = more.union(links(x.join(y, (F.col("bucket") == F.col("other")) & F.expr("a < b and ca <> cb") & apart & near("na", "nb")).select("a", "na", "sa", "b", "nb", "sb")))
     if more.limit(1).count():
         reached = components(found.union(more))
     owners = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))

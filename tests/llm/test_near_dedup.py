@@ -95,3 +95,48 @@ def test_rows_that_share_an_id_are_one_node(spark):
     for order in (rows, rows[::-1]):
         got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), words=2).collect()
         assert {(r.doc_id, r.component_id) for r in got} == {(i, root(i)) for i, _ in rows}
+
+
+def near_family(seed, bases, copies, changes, size=60):
+    """Copies of related texts, each with as many words changed as leaves most pairs just below the threshold."""
+    rng = random.Random(seed)
+    first = [f"w{rng.randrange(2000)}" for _ in range(size)]
+    rows = []
+    for _ in range(bases):
+        base = list(first)
+        for at in rng.sample(range(size), 3):
+            base[at] = f"b{rng.random()}"
+        for _ in range(copies):
+            c = list(base)
+            for at in rng.sample(range(size), rng.choice(changes)):
+                c[at] = f"z{rng.random()}"
+            rows.append(" ".join(c))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("per_member", "family"), [(64, 1000), (0, 3)])
+def test_crowded_buckets_equal_brute_force(spark, per_member, family):
+    """Members with different pivots: pair by pair, and all by a pivot of the bucket, with one copy of a pivot's set and with several."""
+    rows = near_family(3, 6, 12, (2, 3, 4, 5))
+    repeated = [*rows, (3, rows[9][1]), (5, "alone"), (len(rows), rows[4][1] + " more")]
+    for found in (rows, repeated):
+        got = near_dedup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"), words=2, pairs_per_member=per_member, family=family).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_nodes(found, 2)
+
+
+def brute_nodes(rows, size):
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(i, shingles(t, size)) for i, t in rows]
+    for n, (i, s) in enumerate(sets):
+        for j, t in sets[n + 1 :]:
+            if 100 * len(s & t) >= 80 * len(s | t):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in parent}
