@@ -11,6 +11,7 @@ none does. Only tiles whose entry is right stay, so the result is that of one pa
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from bisect import bisect_right
@@ -116,11 +117,11 @@ def _two_pointers(pos: int, length: int) -> Callable:
     return fold
 
 
-def _tiled(d: DataFrame, side: int, before: int, behind: int, width: int) -> DataFrame:
+def _tiled(d: DataFrame, side: int | Column, before: int, behind: int, width: int) -> DataFrame:
     """Calls in each tile they are seen from: ``before`` bases before its start to ``behind`` bases behind its end."""
     first, last = F.floor((F.col("pos") - behind) / width), F.floor((F.col("pos") + before) / width)
     d = d.where("chrom is not null and pos is not null")
-    return d.select("chrom", F.explode(F.sequence(first, last)).alias("tile"), F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "svtype", F.col("svlen").cast("long").alias("svlen"))
+    return d.select("chrom", F.explode(F.sequence(first, last)).alias("tile"), (F.lit(side) if isinstance(side, int) else side).alias("side"), F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), "svtype", F.col("svlen").cast("long").alias("svlen"))
 
 
 def _sweep(calls: DataFrame, fold: Callable, width: int) -> DataFrame:
@@ -143,11 +144,19 @@ def _sweep(calls: DataFrame, fold: Callable, width: int) -> DataFrame:
         columns = list(zip(*steps, strict=True))
         return pa.table([pa.array([chrom] * len(steps), pa.string()), pa.array([tile] * len(steps), pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], schema=kinds)
 
-    go = lambda d: _kept(d.groupBy("chrom", "tile").applyInArrow(folded, "chrom string, tile long, step long, at long, i long, j long"))
-    exits = lambda d, n: d.where("step = -1").select("chrom", "tile", F.lit(n).alias("round"), F.struct("at", "i", "j").alias("leave"))
-    calls = _kept(calls)
-    rounds = [go(calls)]
+    go = lambda d: d.groupBy("chrom", "tile").applyInArrow(folded, "chrom string, tile long, step long, at long, i long, j long")
     none = F.struct(*[F.lit(None).cast("long").alias(c) for c in ("at", "i", "j")])
+    entry = [F.lit(2).alias("side"), F.col("now.at").alias("pos"), F.col("now.i").alias("ord"), F.lit(None).cast("string").alias("svtype"), F.col("now.j").alias("svlen")]
+    return _settled(calls, go, F.struct("at", "i", "j"), none, entry)
+
+
+def _settled(calls: DataFrame, go: Callable[[DataFrame], DataFrame], leave: Column, none: Column, entry: list[Column]) -> DataFrame:
+    """What ``go`` gives for (chrom, tile) groups of calls once each tile has been entered with the state its left neighbour was left in. ``go``
+    makes one row of step -1 for each tile, whose exit state is ``leave``; ``none`` is the state to begin with, and ``entry`` makes a row like those
+    of ``calls`` of a state called now. Tiles are gone through again until no entry state changes."""
+    exits = lambda d, n: d.where("step = -1").select("chrom", "tile", F.lit(n).alias("round"), leave.alias("leave"))
+    calls = _kept(calls)
+    rounds = [_kept(go(calls))]
     states = _kept(exits(rounds[0], 0).withColumn("enter", none))
     while True:
         ahead = states.select("chrom", (F.col("tile") + 1).alias("tile"), F.col("leave").alias("now"))
@@ -155,8 +164,7 @@ def _sweep(calls: DataFrame, fold: Callable, width: int) -> DataFrame:
         due = _kept(due.select("chrom", "tile", "now"))
         if due.limit(1).count() == 0:
             break
-        entry = due.select("chrom", "tile", F.lit(2).alias("side"), F.col("now.at").alias("pos"), F.col("now.i").alias("ord"), F.lit(None).cast("string").alias("svtype"), F.col("now.j").alias("svlen"))
-        rounds.append(go(calls.join(due, ["chrom", "tile"], "left_semi").unionByName(entry)))
+        rounds.append(_kept(go(calls.join(due, ["chrom", "tile"], "left_semi").unionByName(due.select("chrom", "tile", *entry)))))
         new = exits(rounds[-1], len(rounds) - 1).join(due.withColumnRenamed("now", "enter"), ["chrom", "tile"])
         states = _kept(states.join(due, ["chrom", "tile"], "left_anti").unionByName(new))
     last = [r.where("step >= 0").join(states.where(F.col("round") == n), ["chrom", "tile"], "left_semi") for n, r in enumerate(rounds)]
@@ -182,6 +190,52 @@ def two_pointer_match(a: DataFrame, b: DataFrame, pos: int = POS, length: int =
     return two_pointer_steps(a, b, pos, length).where("i is not null and j is not null").select("i", "j")
 
 
+def chain_taken(calls: DataFrame, sets: int, pos: int = POS, length: int = LEN) -> DataFrame:
+    """(ord) of the calls that a chain of two-pointer merges takes: set 1 into set 0, set 2 into what is left of both, and so on. ``calls`` are those of
+    all sets with their number ``set``; ord is unique over all sets and breaks ties of pos.
+
+    One sweep runs all merges. In a tile the last merge goes to the tile's end, and each one before it a tolerance further than the one behind,
+    since that must see what is left so far ahead. The state between tiles has the place of each merge and the calls already taken of those the next tile still sees.
+    """
+    width, stages = TILE_CELLS * max(pos, 1), sets - 1
+    kinds = pa.schema([("chrom", pa.string()), ("tile", pa.int64()), ("step", pa.int64()), ("ord", pa.int64()), ("state", pa.string())])
+    fold = _two_pointers(pos, length)
+
+    def folded(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        chrom, tile = (k.as_py() for k in key)
+        seen, entry = [[] for _ in range(sets)], None
+        for side, *row in zip(*[t.column(c).to_pylist() for c in ("side", "pos", "ord", "svtype", "svlen")], strict=True):
+            if side < 0:
+                entry = row[2]
+            else:
+                seen[side].append(tuple(row))
+        for s in seen:
+            s.sort(key=lambda r: r[:2])
+        places, gone = json.loads(entry) if entry else ([_NONE] * stages, [])
+        gone, taken, left, exits = set(gone), [], seen[0], []
+        for m in range(stages):
+            begin, end = (n * width + (stages - 1 - m) * pos for n in (tile, tile + 1))
+            a, b = ([r for r in s if begin <= r[0] < end + pos] for s in (left, seen[m + 1]))
+
+            def merge(a=a, b=b, end=end, at=tuple(places[m])):
+                exits.append((yield from fold(a, b, end, at)))
+
+            new = [j for _, i, j in merge() if i is not None and j is not None]
+            taken += new
+            gone.update(new)
+            left = sorted(left + [r for r in seen[m + 1] if r[1] not in gone], key=lambda r: r[:2])
+        ahead = sorted(r[1] for s in seen[1:-1] for r in s if r[0] >= (tile + 1) * width and r[1] in gone)
+        state = json.dumps([exits, ahead]) if ahead or any(e != _NONE for e in exits) else None
+        n = len(taken) + 1
+        columns = ([chrom] * n, [tile] * n, [-1, *range(n - 1)], [None, *taken], [state] + [None] * (n - 1))
+        return pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+
+    go = lambda d: d.groupBy("chrom", "tile").applyInArrow(folded, "chrom string, tile long, step long, ord long, state string")
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("long")
+    entry = [F.lit(-1).alias("side"), no.alias("pos"), no.alias("ord"), F.col("now").alias("svtype"), no.alias("svlen")]
+    return _settled(_tiled(calls, F.col("set"), 0, stages * pos, width), go, F.col("state"), none, entry).select("ord")
+
+
 def summary(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: same, dif1, dif2."""
     n = lambda d, name: d.agg(F.count("*").alias(name))

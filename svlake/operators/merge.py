@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -53,11 +52,13 @@ def union_merged(a: DataFrame, b: DataFrame, pos: int = M.POS, length: int = M.L
     return first.select(*columns).unionByName(second.select(*columns))
 
 
-def fuse(sets: list[DataFrame], checkpoint: Callable[[DataFrame], DataFrame], pos: int = M.POS, length: int = M.LEN) -> DataFrame:
-    """Merge several call sets one after another; ``checkpoint`` makes each step's result a table of its own. ord is made unique
-    by the set's number in its highest bits."""
-    tagged = [s.withColumn("ord", F.col("ord") + (k << 56)) for k, s in enumerate(sets)]
-    return reduce(lambda x, y: checkpoint(union_merged(x, y, pos, length).select(*x.columns)), tagged[1:], tagged[0])
+def fuse(sets: list[DataFrame], pos: int = M.POS, length: int = M.LEN) -> DataFrame:
+    """What merging several call sets one after another by two pointers leaves, in one sweep over all of them: of each matched pair the call of the
+    earlier sets. ord is made unique by the set's number in its highest bits. Calls without chrom or pos are left out; one set stays as it is."""
+    tagged = [s.withColumn("ord", F.col("ord") + (k << 56)).withColumn("set", F.lit(k)) for k, s in enumerate(sets)]
+    calls = reduce(DataFrame.unionByName, tagged).where("chrom is not null and pos is not null")
+    left = calls if len(sets) == 1 else calls.join(M.chain_taken(calls, len(sets), pos, length), "ord", "left_anti")
+    return left.select(*sets[0].columns)
 
 
 def placed(rows: DataFrame, order: list[str], by: list[str] | None = None, name: str = "place") -> DataFrame:

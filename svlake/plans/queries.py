@@ -301,7 +301,7 @@ _SETS = ", ".join(f"set{k} as (select {k} as set, * from calls where ord % 3 = {
 @query(f"with recursive {X.CALLS}, {_SETS}, {_fused(1, 'set0', 'set1')}, {_fused(2, 'fused1', 'set2')} select chrom, pos, id from fused2")
 def sv_fuse_nway(spark, d):
     c = X.calls(spark, d).drop("caller", "k")
-    return merge.fuse([c.where(F.col("ord") % 3 == k) for k in range(3)], match._kept).select("chrom", "pos", "id")
+    return merge.fuse([c.where(F.col("ord") % 3 == k) for k in range(3)]).select("chrom", "pos", "id")
 
 
 @query(f"{_FORWARD} select count(*) as same, (select count(*) from a) - count(*) as dif1, (select count(*) from b) - count(*) as dif2 from m")

@@ -157,6 +157,43 @@ def test_matching_dense_calls(spark, monkeypatch, kinds):
         assert len({r.tile for r in got}) >= 240 // cells
 
 
+def chained(sets: list[list[tuple]], pos: int = 500) -> list[tuple]:
+    """Calls (set, ord) that merging one set after another leaves, by one loop for each merge."""
+    near = lambda x, y: x[1] == y[1] and x[4] == y[4] and abs(x[2] - y[2]) <= pos and (x[5] is None or y[5] is None or abs(x[5] - y[5]) <= 100)
+    left = []
+    for k, s in enumerate(sets):
+        new, i, j, taken = sorted(((k, c, p, o, t, n) for o, c, p, _, t, n in s), key=lambda r: (r[2], r[0], r[3])), 0, 0, set()
+        while i < len(left) and j < len(new):
+            if near(left[i], new[j]):
+                taken.add(j)
+                i, j = i + 1, j + 1
+            elif left[i][2] < new[j][2]:
+                i += 1
+            else:
+                j += 1
+        left = sorted(left + [r for j, r in enumerate(new) if j not in taken], key=lambda r: (r[2], r[0], r[3]))
+    return sorted((r[0], r[3]) for r in left)
+
+
+@pytest.mark.parametrize(("n", "dense", "cells"), [(2, 30_000, 64), (3, 120_000, 8), (5, 120_000, 3), (4, 400_000, 1)])
+def test_fusing_many_sets_in_one_sweep(spark, monkeypatch, n, dense, cells):
+    """Chains of merges over small tiles, down to tiles that a merge reaches beyond, are those of one pass over everything."""
+    rng = random.Random(n)
+    sets = [[(o, "1", rng.randrange(dense), f"x.{o}", rng.choice(["INS", "DEL", None]), rng.choice([None, 50, 120, 300])) for o in range(400 + 50 * k)] for k in range(n)]
+    monkeypatch.setattr(match, "TILE_CELLS", cells)
+    got = merge.fuse([spark.createDataFrame(s, SCHEMA).withColumn("extra", F.lit(k)) for k, s in enumerate(sets)]).collect()
+    assert sorted((r.extra, r.ord - (r.extra << 56)) for r in got) == chained(sets)
+    assert len(got) < sum(map(len, sets))
+
+
+def test_fusing_odd_sets(spark):
+    one = spark.createDataFrame([(1, "1", 5, "a.1", "INS", 3), (2, None, 5, "a.2", "INS", 3), (3, "1", None, "a.3", "INS", 3), (4, "1", 5, "a.4", None, None)], SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert sorted(r.id for r in merge.fuse([one]).collect()) == ["a.1", "a.4"]
+    assert sorted(r.id for r in merge.fuse([empty, one, empty, one]).collect()) == ["a.1", "a.4"]
+    assert merge.fuse([empty, empty]).count() == 0
+
+
 def test_empty_sets(spark):
     empty = spark.createDataFrame([], SCHEMA)
     one = spark.createDataFrame([(1, "1", 5, "a.1", "INS", 3)], SCHEMA)
