@@ -51,12 +51,17 @@ def scores(model, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, vector_to_array("probability").alias("scores"))
 
 
-def scores_by(predict, rows: DataFrame, batch: int = 64):
-    """Rows with ``scores`` from a function that makes a batch predictor: predict() returns f(array (n, d)) -> array (n, classes)."""
+def scores_by(predict, rows: DataFrame, batch: int = 64, width: int | None = None) -> DataFrame:
+    """Rows with ``scores`` from a function that makes a batch predictor: predict() returns f(array (n, width)) -> array (n, classes). Vectors are
+    equally long; ``width`` is taken from one of them if it isn't given. A row without vector has no scores."""
     from pyspark.sql.types import ArrayType, FloatType
 
-    udf = predict_batch_udf(predict, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=None)
-    return rows.withColumn("scores", udf("vector"))
+    if width is None:
+        one = rows.where("vector is not null").select(F.size("vector")).first()
+        width = one[0] if one else 1
+    udf = predict_batch_udf(predict, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[[width]])
+    whole = F.coalesce(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), width))
+    return rows.withColumn("scores", F.when(F.col("vector").isNotNull(), udf(whole)))
 
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

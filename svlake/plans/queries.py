@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from svlake.functions import arrays as A
 from svlake.functions import vcf_info as V
-from svlake.operators import clean, match, merge, metrics, overlap, pileup, quantiles, raster, score, windows
+from svlake.operators import clean, match, merge, metrics, overlap, pileup, quantiles, raster, score, search, windows
 from svlake.plans import fixtures as X
 from svlake.sources import bam, files, vcf
 
@@ -674,6 +674,23 @@ def emb_pca_kmeans(spark, d):
 
 # -- scores ----------------------------------------------------------------------------------------------------------
 
+@query("select vec_id, cast(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 as int) as predicted from embeddings where embedding is not null")
+def emb_batch_predict(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    weights = np.eye(65, 4)  # each class scores by a component of its own
+    scored = score.scores_by(search.predictor(weights), e, 4096, 64).where("scores is not null")
+    return scored.select("vec_id", (F.array_position("scores", F.array_max("scores")) - 1).cast("int").alias("predicted"))
+
+
+@query()
+def emb_search(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null")  # the given labels don't depend on the vectors; the signs of two components do
+    rows = e.select("vec_id", F.col("embedding").alias("vector"), F.expr("int(embedding[0] > 0) * 2 + int(embedding[1] > 0)").alias("label"))
+    parts = score.split_of(rows, "vec_id")
+    found = search.successive_halving(parts.where("part = 'train'"), parts.where("part = 'test'"), match._shared(spark, "search"), 4)
+    return found.select("rung", "trial", "passes", "promoted", "n", F.round(F.col("correct") / F.col("n"), 3).alias("accuracy"))
+
+
 _KEPT = f"with {X.CALLS}, kept as (select * from calls where svtype in ('INS', 'DEL') and ('0x' || substr(md5(id), 1, 8))::bigint % 2 = 1)"
 
 
