@@ -10,6 +10,7 @@ A bucket may hold a third of all rows, so no bucket is gathered. First each memb
 leaders (minima, found by pre-aggregation), then, in buckets where more than one component is left, with those buckets'
 leaders until that finds nothing new, and last, where several components still meet, pairs of different components are
 compared with each other. Pairs within one component could add no information, and pairs whose sizes differ too much can't be similar.
+Sets and sketches are read for ids that met others only; a broadcast bitmap of those ids keeps other texts from being shuffled.
 The texts of members still open after the first comparison are written once, with 16 bits of each shingle; later ones don't read the documents again.
 
 A large family of near copies has many members just below the threshold to most others. Members with a common pivot are therefore compared by their differences from it: with D(x) the symmetric difference of x and the pivot,
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
+from .common import among, arrow_texts, bounded_batches, components, materialise, shingle_set, word_hashes
 
 WORDS = 8  # 64-bit words of a bitmap of differences
 PAIRS = 64  # pairs with different pivots that a bucket may have for each of its members before they share a pivot
@@ -215,18 +216,18 @@ def near_duplicates(
     rows_ = materialise(signed.mapInArrow(_signer(words, bands, rows, seed), "doc_id long, n_shingles long, set_key binary, buckets array<long>, sketch binary"), "signed")
     named = rows_.where("doc_id is not null and n_shingles > 0")
     classes = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes, (named.doc_id == classes.rep) & (named.set_key == classes.set_key)).select("rep", F.col("n_shingles").alias("n"), "buckets", "sketch")
-    buckets = materialise(reps.select(F.explode("buckets").alias("bucket"), "rep"), "buckets")
+    reps = lambda found, *columns: found.join(classes, (F.col("doc_id") == F.col("rep")) & (found.set_key == classes.set_key)).select("rep", *columns)
+    buckets = materialise(reps(named, "buckets").select(F.explode("buckets").alias("bucket"), "rep"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("bucket", "leader")
     met = materialise(buckets.join(shared, "bucket").select("bucket", "leader", "rep").distinct(), "met")
-    sketch = materialise(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch").dropDuplicates(), "sketches")
+    sketch = materialise(reps(among(named, "doc_id", met.select("rep")), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(), "sketches")
     near = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
     def sets_of(pairs: DataFrame, short: bool) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if short and shorts is not None:
             return shorts.join(wanted, "doc_id", "left_semi")
-        return materialise(open_texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(words, short), "doc_id long, shingles binary"), "sets")
+        return materialise(among(open_texts, "doc_id", wanted).mapInArrow(_shingler(words, short), "doc_id long, shingles binary"), "sets")
 
     def verified(pairs: DataFrame, short: bool) -> DataFrame:
         sets = sets_of(pairs, short)
@@ -264,7 +265,7 @@ def near_duplicates(
     while True:
         left_over = open_rows()
         if shorts is None:  # components only grow, so no later round has members that aren't open now
-            open_texts = materialise(signed.join(left_over.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+            open_texts = materialise(among(signed, "doc_id", left_over.select("rep")), "texts")
             shorts = materialise(open_texts.mapInArrow(_shingler(words, True), "doc_id long, shingles binary"), "shorts")
         pairs = left_over.where("rep <> leader and component <> led").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "starred")

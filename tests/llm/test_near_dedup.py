@@ -140,3 +140,22 @@ def brute_nodes(rows, size):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in parent}
+
+
+def test_texts_of_few_ids_are_not_shuffled(spark):
+    """Without broadcast joins, as ids are too many for one on large tables, a broadcast bitmap drops other rows before the shuffle."""
+    from svlake.llm.common import among
+
+    rows = spark.range(-2000, 8000).selectExpr("if(id % 97 = 0, null, id * 1000003) as doc_id", "repeat('x', 20) as text").union(spark.createDataFrame([(None, "n")], "doc_id long, text string"))
+    ids = spark.range(-300, 300).selectExpr("id * 1000003 as rep").union(spark.createDataFrame([(5,), (None,)], "rep long"))
+    want = sorted(r.doc_id for r in rows.join(ids.withColumnRenamed("rep", "doc_id").distinct(), "doc_id", "left_semi").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (4_000_000, 10):
+            found = among(rows, "doc_id", ids, most=most)
+            assert sorted(r.doc_id for r in found.collect()) == want
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (most > 10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
