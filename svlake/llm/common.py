@@ -56,9 +56,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def among(rows: DataFrame, key: str, ids: DataFrame, most: int = 4_000_000, bits: int = 16) -> DataFrame:
+def among(rows: DataFrame, key: str, ids: DataFrame, most: int = 4_000_000, bits: int = 16, exact: bool = True) -> DataFrame:
     """Rows whose ``key``, a long, is in the one column of ``ids``. A bitmap of hashed ids, ``bits`` to 2 * ``bits`` for each, is broadcast first and drops nearly
-    all other rows where they are read, so that texts aren't shuffled to be dropped; the join on the ids decides. Beyond ``most`` ids there is no bitmap."""
+    all other rows where they are read, so that texts aren't shuffled to be dropped; the join on the ids decides, which
+    ``exact=False`` leaves to the caller. Beyond ``most`` ids there is no bitmap."""
     ids = ids.toDF(key).distinct()
     n = ids.count()
     if n <= most:
@@ -66,7 +67,7 @@ def among(rows: DataFrame, key: str, ids: DataFrame, most: int = 4_000_000, bits
         word, bit = F.expr(f"shiftright({slot}, 6)"), F.expr(f"shiftleft(1L, cast({slot} & 63L as int))")
         maps = ids.select(word.alias("among_word"), bit.alias("among_bit")).groupBy("among_word").agg(F.bit_or("among_bit").alias("among_bits"))
         rows = rows.join(F.broadcast(maps), (word == F.col("among_word")) & (F.col("among_bits").bitwiseAND(bit) != 0), "left_semi")
-    return rows.join(ids, key, "left_semi")
+    return rows.join(ids, key, "left_semi") if exact else rows
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:

@@ -104,3 +104,25 @@ def test_clashing_columns(spark):
     lab = spark.createDataFrame([(i, y, "n") for i, y in labels], "doc_id long, toxic int, text string")
     plain = T.toxicity(d.select("doc_id", "text", "lang"), lab.select("doc_id", "toxic")).collect()
     assert sorted(map(tuple, T.toxicity(d, lab).collect())) == sorted(map(tuple, plain))
+
+
+def test_every_labelled_row_counts(spark):
+    """A word of few toxic documents among more rows than fit one block is learned wherever its documents stand; nothing is sampled."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choice(words, 6)) + (" vile" if i % 3 == 0 and i % 9 else f" gruesome{i // 900}" if i % 9 == 0 else ""), "en") for i in range(9000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = d.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    rows = d.join(lab, "doc_id").where("doc_id % 5 <> 0")
+    made, _, _ = T.learned(rows, block=1500)
+    plain = T.ConvText()
+    seen = [(t, int(i % 3 == 0)) for i, t, _ in docs if i % 5 and T.key_of(t) % 5]
+    plain.start(T.seen_in(seen), sum(1 - y for _, y in seen), sum(y for _, y in seen))
+    rare = np.array([T.parts_of(f"gruesome{k}")[0] for k in range(10)])
+    assert (plain.table[rare, 0] > 0.2).all()
+    assert (made["table"][rare, 0] > 0.5).all()
+    vectors = T.Vocabulary(made["table"])
+    right = [(T._sigmoid(made["slope"] * T.logit(made, vectors(t)) + made["shift"]) >= 0.5) == (i % 3 == 0) for i, t, _ in docs]
+    assert np.mean(right) > 0.97
+    keys = d.select("text", F.xxhash64("text").alias("k")).limit(50).collect()
+    assert all(T.key_of(r.text) == r.k for r in keys)
