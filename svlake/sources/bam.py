@@ -197,6 +197,13 @@ def is_record(data: bytes, at: int, contigs: int) -> int | None:
     return 4 + int(f["size"])
 
 
+def candidates(data: np.ndarray, lo: int, hi: int, contigs: int, piece: int = 1 << 12) -> Iterator[int]:
+    """Places of [lo, hi) that could begin a record. Their fixed fields are gathered ``piece`` places at a time: all at once they take over 300 bytes a place."""
+    for begin in range(lo, hi, piece):
+        places = np.arange(begin, min(begin + piece, hi))
+        yield from places[plausible(data, places, contigs)].tolist()
+
+
 def resync(blocks: Blocks, contigs: int, hi: int, chain: int = 4) -> bool:
     """Drop what lies before the first record that begins in a block before ``hi``; False if there is none. A place counts if
     it and the records behind it, ``chain`` in all or up to the end of the file, are well formed."""
@@ -204,9 +211,8 @@ def resync(blocks: Blocks, contigs: int, hi: int, chain: int = 4) -> bool:
     while True:
         limit = next((s for s, p in zip(blocks.starts, blocks.places, strict=True) if p >= hi), len(blocks.data))
         data = np.frombuffer(bytes(blocks.data), np.uint8)
-        places = np.arange(at, max(at, min(limit, len(data) - FIXED.itemsize + 1)))
         short = False
-        for u in places[plausible(data, places, contigs)].tolist() if len(places) else []:
+        for u in candidates(data, at, min(limit, len(data) - FIXED.itemsize + 1), contigs):
             end, n = u, 1
             for _ in range(chain):
                 n = is_record(blocks.data, end, contigs)
