@@ -27,7 +27,7 @@ from .common import among, bounded_batches, materialise
 WORD = re.compile(r"\w+")
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 AFFIXES = (3, 4, 5, 6)
-PARTS = 1 + 2 * len(AFFIXES)
+PARTS, MASK = 1 + 2 * len(AFFIXES), (1 << BITS) - 1
 SHARE = np.array([1.0] + [1 / (2 * len(AFFIXES))] * (2 * len(AFFIXES)), np.float32)  # of each part in a word's vector
 PIECE = 1 << 15
 #: Labelled rows of a block, and about the characters that are held of one; passes over the rows, of several blocks and of one.
@@ -40,52 +40,109 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def parts_of(word: str) -> list[int]:
-    """Embedding rows of a word: itself, and its beginnings and ends of 3 to 6 letters; the last row stands for none."""
-    none, mask, h = 1 << BITS, (1 << BITS) - 1, xxhash.xxh3_64_intdigest
-    out = [h("=" + word) & mask]
-    for n in AFFIXES:
-        out += [h("<" + word[:n]) & mask, h(">" + word[-n:]) & mask] if len(word) > n else [none, none]
+def parts_of_all(words: list[str]) -> np.ndarray:
+    """Embedding rows of words, (n, PARTS): of each itself, and its beginnings and ends of 3 to 6 letters; the last row of the table stands for none."""
+    h = xxhash.xxh3_64_intdigest
+    out = np.full((len(words), PARTS), 1 << BITS, np.int32)
+    out[:, 0] = [h("=" + w) & MASK for w in words]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    for i, n in enumerate(AFFIXES):
+        longer = np.flatnonzero(size > n)
+        some = [words[k] for k in longer.tolist()]
+        out[longer, 1 + 2 * i] = [h("<" + w[:n]) & MASK for w in some]
+        out[longer, 2 + 2 * i] = [h(">" + w[-n:]) & MASK for w in some]
     return out
 
 
-class PartsOf(dict):
-    """parts_of by word; forgets all when it holds ``most`` words."""
-
-    def __missing__(self, word: str, most: int = 200_000) -> list[int]:
-        if len(self) >= most:
+def parts_of(word: str) -> list[int]:
+    return parts_of_all([word])[0].tolist()
+
+
+def by_size(rows: Iterable[tuple], most: int = 1 << 20) -> Iterable[list[tuple]]:
+    """Rows (text or word numbers, ...) in groups of at most ``most`` characters or words, or of one row."""
+    group, size = [], 0
+    for row in rows:
+        n = 0 if row[0] is None else len(row[0])
+        if group and size + n > most:
+            yield group
+            group, size = [], 0
+        group.append(row)
+        size += n
+    if group:
+        yield group
+
+
+class Words(dict):
+    """Numbers words and keeps a row for each, its embedding rows, for about ``most`` words at a time."""
+
+    def __init__(self, most: int = 400_000, width: int = PARTS, dtype: type = np.int32):
+        super().__init__()
+        self.most, self.fresh = most, []
+        self.rows = np.zeros((1 << 12, width), dtype)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def made(self, words: list[str]) -> np.ndarray:
+        return parts_of_all(words)
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of the words of each text, in order; ``rows`` then holds their rows. Forgets earlier words first if there are ``most``."""
+        if len(self) >= self.most:
             self.clear()
-        self[word] = found = parts_of(word)
+        first, found = len(self), []
+        for text in texts:
+            words = words_of(text)
+            found.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        if len(self) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(self), len(self.rows)), self.rows.shape[1]), self.rows.dtype)])
+        for lo in range(0, len(self.fresh), 4096):
+            new = self.made(self.fresh[lo : lo + 4096])
+            self.rows[first + lo : first + lo + len(new)] = new
+        self.fresh.clear()
         return found
 
 
-PARTS_OF = PartsOf()
-
-
-class Vocabulary:
-    """Numbers words and keeps a vector for each, for at most ``most`` words at a time."""
+class Vocabulary(Words):
+    """Words with their vectors."""
 
     def __init__(self, table: np.ndarray, most: int = 400_000):
-        self.table, self.most = table, most
-        self.index: dict[str, int] = {}
-        self.vectors = np.zeros((1 << 12, DIM), np.float32)
+        super().__init__(most, DIM, np.float32)
+        self.table = table
+
+    def made(self, words: list[str]) -> np.ndarray:
+        return np.einsum("npd,p->nd", self.table[parts_of_all(words)], SHARE)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The word vectors of a text, (n, DIM)."""
-        words = words_of(text)
-        if len(self.index) + len(words) > self.most:
-            self.index.clear()
-        index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            first = len(index)
-            index |= zip(new, range(first, first + len(new)), strict=True)
-            if len(index) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros((max(len(index), len(self.vectors)), DIM), np.float32)])
-            for lo in range(0, len(new), 4096):
-                rows = np.array([parts_of(w) for w in new[lo : lo + 4096]])
-                self.vectors[first + lo : first + lo + len(rows)] = np.einsum("npd,p->nd", self.table[rows], SHARE)
-        return self.vectors[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
+        found = self.numbers([text])[0]
+        return self.rows[found]
+
+    def logits(self, model: dict, texts: list[str | None]) -> list[float]:
+        return [logit(model, self.rows[found]) for some in by_size((t,) for t in texts) for found in self.numbers([r[0] for r in some])]
+
+
+def taps(filters: list[np.ndarray]) -> np.ndarray:
+    """All filters as one matrix: their first places, then the second places of those that have one, and so on."""
+    return np.concatenate([f[j] for j in range(max(WIDTHS)) for f in filters if len(f) > j], axis=1)
+
+
+def responses(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Of all filters, the narrowest first, at each place of word vectors; where a filter reaches beyond the end, without the missing words."""
+    made = x @ taps
+    out, at = made[:, : len(WIDTHS) * FILTERS], len(WIDTHS) * FILTERS
+    for j in range(1, max(WIDTHS)):
+        n = FILTERS * sum(w > j for w in WIDTHS)
+        out[: max(len(x) - j, 0), -n:] += made[j:, at : at + n]
+        at += n
+    return out
+
+
+def places(n: int, width: int) -> int:
+    """At how many places of a text of ``n`` words a filter stands."""
+    return max(n - width + 1, 1)
 
 
 class ConvText:
@@ -106,14 +163,6 @@ class ConvText:
         odds = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (clean + 1))
         self.table[:-1, 0] = np.where(seen.sum(axis=0) >= least, odds, 0)[:-1] / 4
 
-    def _responses(self, x: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for w, f in zip(WIDTHS, self.filters, strict=True):
-            padded = x if len(x) >= w else np.concatenate([x, np.zeros((w - len(x), DIM), np.float32)])
-            n = len(padded) - w + 1
-            out.append(sum(padded[j : n + j] @ f[j] for j in range(w)))
-        return out
-
     def params(self) -> list[np.ndarray]:
         return [*self.filters, self.bias, self.out]
 
@@ -121,33 +170,40 @@ class ConvText:
         """One pass over texts, in batches of 32 in random order, by Adam; ``weights`` of the classes 0 and 1."""
         params, offset_m, offset_v = self.params(), 0.0, 0.0
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        order = rng.permutation(len(texts))
+        order, words = rng.permutation(len(texts)), Words()
+        gap, absent, each = max(WIDTHS) - 1, np.full((1, PARTS), 1 << BITS, np.int32), np.arange(len(WIDTHS) * FILTERS)
         for step, at in enumerate(range(0, len(order), 32), 1):
-            known: dict[str, int] = {}
-            coded = [np.array([known.setdefault(w, len(known)) for w in words_of(texts[i])], np.int64) for i in order[at : at + 32]]
-            parts = np.array([PARTS_OF[w] for w in known], np.int32).reshape(-1, PARTS)
-            vectors = np.einsum("npd,p->nd", self.table[parts], SHARE)
             grads, moved, d_offset = [np.zeros_like(p) for p in params], [], 0.0
-            for i, words in zip(order[at : at + 32], coded, strict=True):
-                ids = words[rng.random(len(words)) >= dropout]
-                if not len(ids):
-                    continue
-                x = vectors[ids]
-                responses = self._responses(x)
-                top = [r.argmax(axis=0) for r in responses]
-                pooled = np.stack([r[t, np.arange(FILTERS)] for r, t in zip(responses, top, strict=True)]) + self.bias
-                active = np.maximum(pooled, 0).ravel()
+            coded = words.numbers([texts[i] for i in order[at : at + 32]])
+            batch = [(held, y[i]) for i, ids in zip(order[at : at + 32], coded, strict=True) if len(held := ids[rng.random(len(ids)) >= dropout])]
+            none, place = len(words), np.empty(len(words) + 1, np.int64)
+            for some in by_size(batch, 1 << 16):  # its texts behind each other, with gaps of no words
+                ids = np.concatenate([part for held, _ in some for part in (held, np.full(gap, none, np.int32))])
+                found = np.unique(ids)
+                place[found] = np.arange(len(found))
+                ids, parts = place[ids], np.concatenate([words.rows[found[:-1]], absent])
+                x = np.einsum("npd,p->nd", self.table[parts], SHARE)[ids]
+                made, lo, top = responses(x, taps(self.filters)), 0, []
+                for held, _ in some:
+                    top.append([lo + made[lo : lo + places(len(held), w), k * FILTERS : (k + 1) * FILTERS].argmax(axis=0) for k, w in enumerate(WIDTHS)])
+                    lo += len(held) + gap
+                top, truth = np.array(top).reshape(len(some), -1), np.array([label for _, label in some])
+                pooled = made[top, each] + self.bias.ravel()
+                active = np.maximum(pooled, 0)
                 p = 1 / (1 + np.exp(-np.clip(active @ self.out + self.offset, -30, 30)))
-                d = np.float32((p - y[i]) * weights[y[i]] / 32)
-                d_offset += d
-                grads[-1] += d * active
-                back = d * self.out.reshape(pooled.shape) * (pooled > 0)
-                grads[-2] += back
+                d = ((p - truth) * np.array(weights)[truth] / 32).astype(np.float32)
+                back = d[:, None] * self.out * (pooled > 0)
+                d_offset += d.sum()
+                grads[-1] += d @ active
+                grads[-2] += back.sum(axis=0).reshape(self.bias.shape)
                 for k, w in enumerate(WIDTHS):
+                    of = slice(k * FILTERS, (k + 1) * FILTERS)
+                    b, f = back[:, of].nonzero()
+                    g = back[:, of][b, f][:, None]
                     for j in range(w):
-                        rows = np.minimum(top[k] + j, len(x) - 1)
-                        grads[k][j] += x[rows].T * back[k]
-                        moved.append((parts[ids[rows]], (self.filters[k][j] * back[k]).T))
+                        rows = top[:, of][b, f] + j
+                        np.add.at(grads[k][j].T, f, x[rows] * g)
+                        moved.append((parts[ids[rows]], self.filters[k][j].T[f] * g))
             for p_, g, a, b in zip(params, grads, m, v, strict=True):
                 a[:] = 0.9 * a + 0.1 * g
                 b[:] = 0.999 * b + 0.001 * g * g
@@ -156,7 +212,9 @@ class ConvText:
             self.offset -= np.float32(rate * (offset_m / (1 - 0.9**step)) / (np.sqrt(offset_v / (1 - 0.999**step)) + 1e-8))
             if moved:
                 rows, g = (np.concatenate(x) for x in zip(*moved, strict=True))
-                np.add.at(self.table, rows, -0.05 * g[:, None, :] * SHARE[:, None])
+                rows, to = np.unique(rows, return_inverse=True)
+                g = (g[:, None, :] * SHARE[:, None]).reshape(-1, DIM)
+                self.table[rows] -= 0.05 * np.stack([np.bincount(to.ravel(), c, len(rows)) for c in g.T], axis=1)
             self.table[-1] = 0
 
     def flat(self) -> np.ndarray:
@@ -172,22 +230,19 @@ class ConvText:
         self.offset = np.float32(rest[at])
 
     def compile(self) -> dict:
-        return {"table": self.table, "filters": self.filters, "bias": self.bias, "out": self.out, "offset": float(self.offset), "slope": self.slope, "shift": self.shift}
+        return {"table": self.table, "filters": self.filters, "taps": taps(self.filters), "bias": self.bias, "out": self.out, "offset": float(self.offset), "slope": self.slope, "shift": self.shift}
 
 
 def logit(model: dict, x: np.ndarray) -> float:
     """The score before calibration of a text's word vectors."""
-    best = np.full((len(WIDTHS), FILTERS), -np.inf, np.float32)
-    for lo in range(0, max(len(x), 1), PIECE):
-        part = x[lo : lo + PIECE + max(WIDTHS) - 1]
-        for i, (w, f) in enumerate(zip(WIDTHS, model["filters"], strict=True)):
-            held = part if len(part) >= w else np.concatenate([part, np.zeros((w - len(part), DIM), np.float32)])
-            n = len(held) - w + 1
-            total = held[:n] @ f[0]
-            for j in range(1, w):
-                total += held[j : n + j] @ f[j]
-            best[i] = np.maximum(best[i], total.max(axis=0))
-    return float(np.maximum(best + model["bias"], 0).ravel() @ model["out"] + model["offset"])
+    best, longest = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32), max(WIDTHS)
+    for lo in range(0, places(len(x), longest), PIECE):
+        part = x[lo : lo + PIECE + longest - 1]
+        made = responses(part if len(part) else np.zeros((1, DIM), np.float32), model["taps"])
+        for i, w in enumerate(WIDTHS[1:], 1):
+            made[places(len(part), w) :, i * FILTERS : (i + 1) * FILTERS] = -np.inf
+        best = np.maximum(best, made.max(axis=0))
+    return float(np.maximum(best + model["bias"].ravel(), 0) @ model["out"] + model["offset"])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -202,11 +257,13 @@ def key_of(text: str | None) -> int:
 
 def seen_in(rows: Iterable[tuple[str | None, int]]) -> np.ndarray:
     """Documents of each class (0, 1) that hold each row of the table, from (text, toxic)."""
-    seen = np.zeros((2, (1 << BITS) + 1), np.int64)
-    for text, label in rows:
-        words = set(words_of(text))
-        if words:
-            seen[label, np.unique(np.array([PARTS_OF[w] for w in words]))] += 1
+    seen, words, last = np.zeros((2, (1 << BITS) + 1), np.int64), Words(), np.zeros((1 << BITS) + 1, np.int64)
+    for some in by_size(rows):
+        for found, (_, label) in zip(words.numbers([r[0] for r in some]), some, strict=True):
+            parts = words.rows[np.unique(found)].ravel()
+            at = np.arange(len(parts))
+            last[parts] = at
+            seen[label, parts[last[parts] == at]] += 1  # each row once
     return seen
 
 
@@ -283,7 +340,8 @@ def train(rows: list[tuple[str | None, str | None, int]], seed: int = 3) -> tupl
         model.unflat(flat)
     made = model.compile()
     vectors = Vocabulary(made["table"])
-    bins = Counter((r[1], r[2], binned(logit(made, vectors(r[0])))) for k, r in zip(kept, rows, strict=True) if k in judging)
+    judged = [r for k, r in zip(kept, rows, strict=True) if k in judging]
+    bins = Counter((r[1], r[2], binned(z)) for r, z in zip(judged, vectors.logits(made, [r[0] for r in judged]), strict=True))
     return calibrated(made, [(*b, n) for b, n in bins.items()])
 
 
@@ -325,8 +383,8 @@ def _bins(shared):
     def run(batches):
         vectors, found = Vocabulary(shared.value["table"]), Counter()
         for b in batches:
-            for text, lang, toxic in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                found[lang, toxic, binned(logit(shared.value, vectors(text)))] += 1
+            logits = vectors.logits(shared.value, b.column(0).to_pylist())
+            found.update(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), map(binned, logits), strict=True))
         rows = [(*k, n) for k, n in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "toxic", "q", "n"])
 
@@ -374,7 +432,7 @@ def _score(shared):
         model = shared.value
         vectors = Vocabulary(model["table"])
         for batch in batches:
-            z = np.array([logit(model, vectors(t)) for t in batch.column(1).to_pylist()])
+            z = np.array(vectors.logits(model, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_sigmoid(model["slope"] * z + model["shift"]), pa.float64())], ["doc_id", "lang", "score"])
 
     return run

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import sys
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from svlake.llm import toxicity as T
@@ -126,3 +129,76 @@ def test_every_labelled_row_counts(spark):
     assert np.mean(right) > 0.97
     keys = d.select("text", F.xxhash64("text").alias("k")).limit(50).collect()
     assert all(T.key_of(r.text) == r.k for r in keys)
+
+
+def calls(f) -> int:
+    """How many functions, of Python or of C, ``f`` calls."""
+    seen = [0]
+
+    def count(frame, event, arg):
+        seen[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return seen[0]
+
+
+def test_work_of_a_text_is_not_done_word_by_word():
+    """Learning and scoring call few functions for a new word (14 to 16 when each word was hashed and looked up by itself) and for a text of known words (210 in a pass of training)."""
+    new = [" ".join(f"neuwort{i}x{j}" for j in range(200)) for i in range(60)]
+    known = [" ".join(f"w{(i + j) % 20}" for j in range(40)) for i in range(640)]
+    model = T.ConvText()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": new, "lang": ["en"] * 60})
+    run = T._score(SimpleNamespace(value=model.compile()))
+    assert calls(lambda: list(run([batch]))) < 13 * 60 * 200
+    assert calls(lambda: T.seen_in([(t, i % 2) for i, t in enumerate(new)])) < 13 * 60 * 200
+    assert calls(lambda: T.fold(model, [(t, i % 2) for i, t in enumerate(known)], (1.0, 1.0), [3, 0, 0])) < 130 * 640
+
+
+def test_a_piece_of_the_last_words_adds_no_response(monkeypatch):
+    """One or two words behind the last whole piece are no place for a wider filter: it would find words missing there that the whole text has."""
+    made = T.ConvText()
+    made.filters = [np.abs(f) for f in made.filters]  # absent words answer more than any that are there
+    made.bias += 50
+    model = made.compile()
+    x = -np.abs(np.random.default_rng(4).normal(size=(200, T.DIM))).astype(np.float32)
+    whole = {n: T.logit(model, x[:n]) for n in range(70, 90)}
+    monkeypatch.setattr(T, "PIECE", 37)
+    assert all(abs(T.logit(model, x[:n]) - z) < 1e-4 for n, z in whole.items())
+
+
+def test_training_follows_the_gradient():
+    """One batch changes the table by the slope of its loss, text by text, short and repeated words too."""
+    texts, y, weights = ["a vile word", "plain", "two words", None, "vile vile " * 30], np.array([1, 0, 0, 1, 1]), (0.5, 2.0)
+    model = T.ConvText(7)
+    before = model.table.astype(np.float64)
+
+    def loss(table):
+        plain = {"table": table, "filters": start.filters, "bias": start.bias, "out": start.out, "offset": float(start.offset), "slope": 1.0, "shift": 0.0}
+        p = [plain_score(plain, t) for t in texts]
+        return sum(-weights[k] * np.log(q if k else 1 - q) / 32 for t, k, q in zip(texts, y, p, strict=True) if t)
+
+    start = T.ConvText(7)
+    model.fit(texts, y, weights, np.random.default_rng(1), dropout=0.0)
+    for word in ("vile", "plain", "two", "words"):
+        for row in set(T.parts_of(word)) - {1 << T.BITS}:
+            for d in (0, 5):
+                up, down = before.copy(), before.copy()
+                up[row, d] += 1e-7
+                down[row, d] -= 1e-7
+                slope = (loss(up) - loss(down)) / 2e-7
+                assert abs(model.table[row, d] - before[row, d] + 0.05 * slope) < 1e-6, (word, row, d)
+
+
+def test_long_batches_are_learned_in_groups(monkeypatch):
+    docs, labels = corpus(120)
+    texts, y = [d[1] for d in docs], np.array([t for _, t in labels])
+    whole, apart = T.ConvText(), T.ConvText()
+    whole.fit(texts, y, (1.0, 1.0), np.random.default_rng(1))
+    monkeypatch.setattr(T, "by_size", lambda rows, most=0: ([r] for r in rows))
+    apart.fit(texts, y, (1.0, 1.0), np.random.default_rng(1))
+    assert np.abs(whole.flat() - apart.flat()).max() < 1e-4
+    assert np.abs(whole.flat() - T.ConvText().flat()).max() > 0.01
